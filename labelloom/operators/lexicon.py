@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.labels import NEGATIVE, POSITIVE
 from ..functions.text import contains_any, py_strip
@@ -22,7 +22,7 @@ STAGES = ("original", "not_in_negative", "longer_than_one", "not_short_latin",
           "no_stop_phrase", "min_hits", "category_ok")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_lower(s: pd.Series) -> pd.Series:
     """NFKC + lower case, NULL -> ''."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x).lower() if isinstance(x, str) else "")

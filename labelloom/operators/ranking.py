@@ -129,10 +129,11 @@ def smallest_k(df: DataFrame, k: int, value: str, tie: str) -> DataFrame:
     df = df.filter(F.col(value).isNotNull())
     if k <= SMALL_LIMIT:
         return df.orderBy(value, tie).limit(k)
-    return _cut(df, k, value, tie)
+    return smallest_k_by_count(df, k, value, tie)
 
 
-def _cut(df: DataFrame, k: int, value: str, tie: str) -> DataFrame:
+def smallest_k_by_count(df: DataFrame, k: int, value: str, tie: str) -> DataFrame:
+    """``smallest_k`` by counting only; several passes over ``df``, each a small aggregation."""
     if df.count() <= k:
         return df
     cut, below = _narrow(df, value, k)

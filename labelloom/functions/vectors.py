@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -24,11 +24,16 @@ def concat_vectors(vs: Sequence[Column | str]) -> Column:
     return F.concat(*[_col(v) for v in vs])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also when the body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalize(v: Column | str) -> Column:
     """Unit length; a zero vector stays as it is."""
     v = F.transform(_col(v), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
 
 
 def logit(p: Column | str, eps: float = 1e-12) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.vectors import concat_vectors, crop
+from ..functions.vectors import concat_vectors, crop, let
 from .joins import skewed_lookup
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -117,23 +117,30 @@ def token_array(text: Column | str, stop_words: Sequence[str] = ()) -> Column:
     return words
 
 
-def _bigrams(words: Column) -> Column:
-    following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
-    pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(pairs, lambda x: x.isNotNull())  # the last word has no follower
+def with_bigrams(words: Column) -> Column:
+    """Words followed by the pairs of neighbouring words."""
+    def body(w: Column) -> Column:
+        following = F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))
+        pairs = F.zip_with(w, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(w, F.filter(pairs, lambda x: x.isNotNull()))  # the last word has no follower
+
+    return let(words, body)
 
 
 def term_frequencies(words: Column, ngrams: int = 2) -> Column:
     """Token array -> ``array<struct<term,tf>>`` within the row: sort, then run lengths. No shuffle."""
-    terms = F.concat(words, _bigrams(words)) if ngrams > 1 else words
-    s = F.array_sort(terms)
-    n = F.size(s)
-    starts = F.filter(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)),
-    )
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a - 1).alias("term"), (b - a).alias("tf")))
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        index = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.filter(index, lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+
+    def pack(s: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(F.size(s) + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a - 1).alias("term"), (b - a).alias("tf")))
+
+    terms = F.sort_array(with_bigrams(words) if ngrams > 1 else words)
+    packed = let(terms, lambda s: let(runs(s), lambda starts: pack(s, starts)))
+    return F.filter(packed, lambda x: x["term"].isNotNull())
 
 
 def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float = 0.95, ngrams: int = 2,

@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
@@ -112,7 +112,7 @@ def _knn_broadcast(q: DataFrame, t: DataFrame, k: int) -> DataFrame:
 def _with_cell(df: DataFrame, centres: np.ndarray) -> DataFrame:
     """Nearest pivot and the distance to it."""
     shared = df.sparkSession.sparkContext.broadcast(centres)
-    schema = df.schema.add("cell", "int").add("reach", "double")
+    schema = T.StructType(df.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("reach", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
@@ -173,19 +173,18 @@ def _knn_blocks(q: DataFrame, t: DataFrame, k: int, block_rows: int, pivots: int
     plan = spark.createDataFrame(
         [(a, b, qn[a], tn[b]) for a, b in pairs], "qcell int, tcell int, qn int, tn int"
     )
-    plan = F.broadcast(plan)  # at most pivots^2 rows
-
     def sub(n: str):
         return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
 
+    # the plan has at most pivots^2 rows
     qq = (
-        q.join(plan, q["cell"] == plan["qcell"])
-        .select("id", "vec", "fold", "qcell", "tcell", sub("qn").alias("qsub"),
+        q.join(F.broadcast(plan.withColumnRenamed("qcell", "cell")), "cell")
+        .select("id", "vec", "fold", F.col("cell").alias("qcell"), "tcell", sub("qn").alias("qsub"),
                 F.explode(F.sequence(F.lit(0), F.col("tn") - 1)).alias("tsub"))
     )
     tt = (
-        t.join(plan, t["cell"] == plan["tcell"])
-        .select("id", "vec", "fold", "label", "qcell", "tcell", sub("tn").alias("tsub"),
+        t.join(F.broadcast(plan.withColumnRenamed("tcell", "cell")), "cell")
+        .select("id", "vec", "fold", "label", "qcell", F.col("cell").alias("tcell"), sub("tn").alias("tsub"),
                 F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qsub"))
     )
     group = ["qcell", "qsub", "tcell", "tsub"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+import math
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,19 @@ Trainer = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 MEMORY_THEN_DISK = StorageLevel.MEMORY_AND_DISK
 
 
+ROWS_PER_TASK = 20_000
+
+
+def cached(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cached frame, the same rows in no more tasks than their number is worth).
+
+    Iterative fits run one job per step, so tiny partitions would cost more than the arithmetic.
+    Large inputs keep their partitions: coalescing never goes above the present number.
+    """
+    df = df.persist(MEMORY_THEN_DISK)
+    return df, df.coalesce(max(1, math.ceil(df.count() / ROWS_PER_TASK)))
+
+
 def with_features(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """``array<float>`` -> ML vector, only at the border to Spark ML."""
     return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
@@ -101,7 +115,7 @@ def linear_svm(c: float = 1.0, balanced: bool = False, key: str = "row_id", fold
 
     def train(df: DataFrame):
         df = balanced_weights(df) if balanced else df
-        folded = stratified_folds(df, key, "label", folds, seed, "_platt").persist(MEMORY_THEN_DISK)
+        stored, folded = cached(stratified_folds(df, key, "label", folds, seed, "_platt"))
         try:
             parts = [
                 margin(svc(folded.filter(F.col("_platt") != i)), folded.filter(F.col("_platt") == i))
@@ -113,7 +127,7 @@ def linear_svm(c: float = 1.0, balanced: bool = False, key: str = "row_id", fold
             platt = LogisticRegression(featuresCol="_margin").fit(out_of_fold)
             model = svc(folded)
         finally:
-            folded.unpersist()
+            stored.unpersist()
 
         def score(rows: DataFrame) -> DataFrame:
             out = margin(model, rows).withColumn("_margin", array_to_vector(F.array("raw")))
@@ -191,7 +205,7 @@ def ada_boost(rounds: int = 50, seed: int = 10) -> Trainer:
         return sum((a * (2.0 * s(v) - 1.0) for a, s in terms), F.lit(0.0)) / float(sum(a for a, _ in terms))
 
     def train(df: DataFrame):
-        base = df.select("label", "features", vector_to_array("features").alias("_v")).persist(MEMORY_THEN_DISK)
+        stored, base = cached(df.select("label", "features", vector_to_array("features").alias("_v")))
         terms: list = []
         try:
             exponent = F.lit(0.0)
@@ -212,7 +226,7 @@ def ada_boost(rounds: int = 50, seed: int = 10) -> Trainer:
                 terms.append((alpha, pick))
                 exponent = exponent + F.lit(alpha) * miss
         finally:
-            base.unpersist()
+            stored.unpersist()
 
         def score(rows: DataFrame) -> DataFrame:
             d = votes(terms, vector_to_array("features"))
@@ -329,7 +343,7 @@ def out_of_fold(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int
     The features are cached while the fold models are fitted.
     """
     folded = df if "fold" in df.columns else stratified_folds(df, key, "label", folds, seed)
-    folded = folded.persist(MEMORY_THEN_DISK)
+    _, folded = cached(folded)
     ids = sorted(r["fold"] for r in folded.select("fold").distinct().collect())
     parts = []
     for i in ids:
@@ -370,7 +384,7 @@ def compare_models(df: DataFrame, zoo: Mapping[str, Trainer], key: str = "row_id
     """``feature_set, classifier, mean_accuracy, mean_f1, mean_precision``; a failing model gets NULLs."""
     spark = df.sparkSession
     schema = "feature_set string, classifier string, mean_accuracy double, mean_f1 double, mean_precision double"
-    base = (df if "fold" in df.columns else stratified_folds(df, key, "label", folds, seed)).persist(MEMORY_THEN_DISK)
+    stored, base = cached(df if "fold" in df.columns else stratified_folds(df, key, "label", folds, seed))
     rows = []
     for name, trainer in zoo.items():
         try:
@@ -379,7 +393,7 @@ def compare_models(df: DataFrame, zoo: Mapping[str, Trainer], key: str = "row_id
         except Exception as e:
             print(f"{name} failed: {e}")
             rows.append((feature_set, name, None, None, None))
-    base.unpersist()
+    stored.unpersist()
     return spark.createDataFrame(rows, schema)  # one row per model
 
 

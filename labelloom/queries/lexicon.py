@@ -96,7 +96,7 @@ def lexicon_funnel(spark, d) -> DataFrame:
 
 
 @query("lexicon_cleaned", f"""WITH {sql_lexicon()}, {_SQL_CORPUS}, {_SQL_HITS}
-SELECT term, definition, category, hits FROM lex JOIN hits USING (term)
+SELECT term, definition, coalesce(category, '') AS category, hits FROM lex JOIN hits USING (term)
 WHERE negative_hits = 0 AND length(trim(term)) > 1 AND NOT regexp_full_match(trim(term), '[A-Za-z]{{1,2}}')
   AND NOT contains(definition, '原本') AND NOT contains(definition, '通称') AND hits >= 1
   AND NOT contains(lower(coalesce(category, '')), 'other')""")

@@ -30,7 +30,7 @@ def _cv(spark, d, name: str, trainer: M.Trainer, folds: int = 3) -> DataFrame:
 
 @query("cv_logreg")
 def cv_logreg(spark, d) -> DataFrame:
-    return _cv(spark, d, "Logistic Regression", M.logistic_regression(100), folds=5)
+    return _cv(spark, d, "Logistic Regression", M.logistic_regression(50), folds=3)
 
 
 @query("cv_forest")
@@ -45,12 +45,12 @@ def cv_tree(spark, d) -> DataFrame:
 
 @query("cv_svm_linear")
 def cv_svm_linear(spark, d) -> DataFrame:
-    return _cv(spark, d, "SVM (Linear Kernel)", M.linear_svm(1.0, max_iter=30))
+    return _cv(spark, d, "SVM (Linear Kernel)", M.linear_svm(1.0, folds=3, max_iter=15), folds=2)
 
 
 @query("cv_svm_rbf")
 def cv_svm_rbf(spark, d) -> DataFrame:
-    return _cv(spark, d, "SVM (C=1)", M.rbf_svm(1.0, dim=128, max_iter=30), folds=2)
+    return _cv(spark, d, "SVM (C=1)", M.rbf_svm(1.0, dim=128, folds=2, max_iter=15), folds=2)
 
 
 @query("cv_adaboost")
@@ -60,13 +60,13 @@ def cv_adaboost(spark, d) -> DataFrame:
 
 @query("cv_knn")
 def cv_knn(spark, d) -> DataFrame:
-    return _cv(spark, d, "Nearest Neighbors", M.nearest_neighbours(10), folds=5)
+    return _cv(spark, d, "Nearest Neighbors", M.nearest_neighbours(10), folds=3)
 
 
 @query("oof_svm_balanced")
 def oof_svm_balanced(spark, d) -> DataFrame:
     """Out-of-fold probabilities of the class-balanced SVM, for every row."""
-    out = M.out_of_fold(vectors(spark, d), M.linear_svm(1.0, balanced=True, folds=3, max_iter=20), folds=3)
+    out = M.out_of_fold(vectors(spark, d), M.linear_svm(1.0, balanced=True, folds=2, max_iter=15), folds=2)
     return out.select("row_id", "label", "fold", F.round("prob1", 4).alias("prob1"), "prediction")
 
 

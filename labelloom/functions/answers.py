@@ -1,8 +1,8 @@
 """Parsing free-form model answers into label sets, as column expressions.
 
 The tolerant JSON step tries, in order: the text as it is; the text from its first bracket on,
-without code fences; trailing commas removed; single quotes turned into double quotes; open
-strings and brackets closed. The last resort picks the ``groups`` list out by pattern.
+without code fences; trailing commas removed; open strings and brackets closed; the same with single
+quotes turned into double quotes. The last resort picks the ``groups`` list out by pattern.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .labelsets import TOPIC_IDS
 from .text import _col, py_strip
+from .vectors import let
 
 # Answer markers.
 OPEN_TAG = "<final_answer>"
@@ -51,38 +52,43 @@ def _occurrences(s: Column, ch: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
 
 
-def _from_first_bracket(s: Column) -> Column:
-    no_fence = F.regexp_replace(s, r"```[A-Za-z]*", "")
-    return F.regexp_extract(no_fence, r"(?s)([\[{].*)", 1)
-
-
 def _close_open_parts(s: Column) -> Column:
-    # a dangling comma or an odd quote at the end is finished before the brackets are
+    # an odd quote or a dangling comma at the end is finished before the brackets are
     quoted = F.when(_occurrences(s, '"') % 2 == 1, F.concat(s, F.lit('"'))).otherwise(s)
-    trimmed = F.regexp_replace(quoted, r"[,:\s]+$", "")
-    lists = F.greatest(_occurrences(trimmed, "[") - _occurrences(trimmed, "]"), F.lit(0))
-    objects = F.greatest(_occurrences(trimmed, "{") - _occurrences(trimmed, "}"), F.lit(0))
-    return F.concat(trimmed, F.repeat(F.lit("]"), lists), F.repeat(F.lit("}"), objects))
+
+    def close(t: Column) -> Column:
+        lists = F.greatest(_occurrences(t, "[") - _occurrences(t, "]"), F.lit(0))
+        objects = F.greatest(_occurrences(t, "{") - _occurrences(t, "}"), F.lit(0))
+        return F.concat(t, F.repeat(F.lit("]"), lists), F.repeat(F.lit("}"), objects))
+
+    return let(F.regexp_replace(quoted, r"[,:\s]+$", ""), close)
 
 
 def tolerant_json(c: Column | str) -> Column:
-    """Answer text (tags already stripped) -> VARIANT, or NULL when nothing JSON-like is found."""
+    """Answer text (tags already stripped) -> VARIANT, or NULL when nothing JSON-like is found.
+
+    Each repair is only evaluated when the ones before it failed.
+    """
+    def groups_only(t: Column) -> Column:
+        found = F.regexp_extract(t, r'"groups"\s*:\s*(\[[^\]]*\])', 1)
+        return F.try_parse_json(F.when(found != "", F.concat(F.lit('{"groups":'), found, F.lit("}"))))
+
+    def requoted(t: Column) -> Column:
+        return F.coalesce(F.try_parse_json(t), F.try_parse_json(_close_open_parts(t)), groups_only(t))
+
+    def without_commas(t: Column) -> Column:
+        return F.coalesce(
+            F.try_parse_json(t), F.try_parse_json(_close_open_parts(t)),
+            let(F.replace(t, F.lit("'"), F.lit('"')), requoted),
+        )
+
+    def repaired(cut: Column) -> Column:
+        fixed = let(F.regexp_replace(cut, r",(\s*[\]}])", "$1"), without_commas)
+        return F.when(cut != "", F.coalesce(F.try_parse_json(cut), fixed))
+
     s = _col(c)
-    cut = _from_first_bracket(s)
-    no_commas = F.regexp_replace(cut, r",(\s*[\]}])", "$1")
-    double_quoted = F.replace(no_commas, F.lit("'"), F.lit('"'))
-    groups_only = F.regexp_extract(double_quoted, r'"groups"\s*:\s*(\[[^\]]*\])', 1)
-    return F.coalesce(
-        F.try_parse_json(s),
-        F.try_parse_json(F.nullif(cut, F.lit(""))),
-        F.try_parse_json(F.nullif(no_commas, F.lit(""))),
-        F.try_parse_json(F.nullif(double_quoted, F.lit(""))),
-        F.try_parse_json(_close_open_parts(no_commas)),
-        F.try_parse_json(_close_open_parts(double_quoted)),
-        F.try_parse_json(
-            F.when(groups_only != "", F.concat(F.lit('{"groups":'), groups_only, F.lit("}")))
-        ),
-    )
+    from_bracket = F.regexp_extract(F.regexp_replace(s, r"```[A-Za-z]*", ""), r"(?s)([\[{].*)", 1)
+    return F.coalesce(F.try_parse_json(s), let(from_bracket, repaired))
 
 
 def parse_answers(df: DataFrame, raw: str = "raw_output", label_ids: Sequence[str] = TOPIC_IDS,

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.vectors import concat_vectors, crop, let
+from ..functions.vectors import let
 from .joins import skewed_lookup
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -76,31 +77,45 @@ def encode(df: DataFrame, text: str, encoder: Encoder | Callable[[], Encoder], n
     return df.mapInPandas(run, schema)
 
 
-def embed(df: DataFrame, key: str, text: str, encoder: Encoder,
-          templates: Sequence[str] = DEFAULT_PROMPTS, dim: int = 0, dedupe: bool = True,
-          provenance: Mapping[str, str] | None = None) -> DataFrame:
-    """``df`` plus ``embedding``: one cropped vector per prompt, concatenated in prompt order.
+def _encode_prompts(df: DataFrame, text: str, encoder, templates: Sequence[str], dim: int,
+                    batch_size: int = 256) -> DataFrame:
+    """Add ``embedding``: all prompts of a row are encoded in one pass over the partition."""
+    schema = T.StructType(df.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    build = isinstance(encoder, type)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder() if build else encoder
+        for pdf in batches:
+            texts = [s if isinstance(s, str) else "" for s in pdf[text]]
+            parts = []
+            for t in templates:
+                prompts = [t.replace("{text}", s) for s in texts]
+                rows = [enc(prompts[i:i + batch_size]) for i in range(0, len(prompts), batch_size)]
+                v = np.concatenate(rows) if rows else np.empty((0, max(dim, 0)))
+                if dim > v.shape[1]:
+                    raise ValueError(f"crop to {dim} exceeds vector size {v.shape[1]}")
+                parts.append(v[:, :dim] if dim > 0 else v)
+            pdf["embedding"] = list(np.concatenate(parts, axis=1).astype(np.float32))
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def embed(df: DataFrame, text: str, encoder: Encoder, templates: Sequence[str] = DEFAULT_PROMPTS, dim: int = 0,
+          dedupe: bool = True, provenance: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` plus ``embedding``: one vector per prompt, cropped to ``dim``, concatenated in prompt order.
 
     With ``dedupe`` every distinct text is encoded once and joined back by a digest of the text;
     a text shared by very many rows is joined by broadcast (see ``skewed_lookup``).
     ``provenance`` values become constant columns.
     """
-    def vectors(texts: DataFrame) -> DataFrame:
-        out = texts
-        parts = []
-        for i, t in enumerate(templates):
-            prompt = F.replace(F.lit(t), F.lit("{text}"), F.coalesce(F.col(text), F.lit("")))
-            out = encode(out.withColumn("_prompt", prompt), "_prompt", encoder, f"_e{i}").drop("_prompt")
-            parts.append(crop(f"_e{i}", dim))
-        return out.withColumn("embedding", concat_vectors(parts)).drop(*[f"_e{i}" for i in range(len(templates))])
-
     if dedupe:
         keyed = df.withColumn("_d", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        distinct = keyed.groupBy("_d").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias(text))
-        coded = vectors(distinct).select("_d", "embedding")
+        distinct = keyed.select("_d", F.coalesce(F.col(text), F.lit("")).alias(text)).dropDuplicates(["_d"])
+        coded = _encode_prompts(distinct, text, encoder, templates, dim).select("_d", "embedding")
         out = skewed_lookup(keyed, coded, "_d", share=0.01).drop("_d")
     else:
-        out = vectors(df)
+        out = _encode_prompts(df, text, encoder, templates, dim)
     return out.withColumns({k: F.lit(v) for k, v in (provenance or {}).items()})
 
 
@@ -160,6 +175,8 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float =
         tf.groupBy("term").agg(F.count("*").alias("df"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
         .withColumn("idf", F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
+        # read by the size check and by the join; stays cached until the caller clears it
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     joined = _with_idf(tf, vocab, strategy)
     per_doc = joined.withColumn("_x", F.col("tf") * F.col("idf")).groupBy(key).agg(

@@ -39,10 +39,13 @@ def topic_gold(flags: DataFrame, texts: DataFrame, key: str = "idx", order: str
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.001) -> list:
-    """Keys holding more than ``share`` of the rows; at most ``1/share`` of them."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    """Keys holding more than ``share`` of the rows; at most ``1/share`` of them, never the unique ones."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    biggest = counts.filter(F.col("_n") > 1).orderBy(F.desc("_n"), key).limit(int(1 / share) + 1).collect()
+    if not biggest:
+        return []
     total = df.count()
-    return [r[key] for r in counts.filter(F.col("_n") > F.lit(share * total)).select(key).collect()]
+    return [r[key] for r in biggest if r["_n"] > share * total and r[key] is not None]
 
 
 def skewed_lookup(left: DataFrame, right: DataFrame, key: str, share: float = 0.001,

@@ -26,8 +26,7 @@ except ImportError:  # the join strategy needs nothing but numpy
 
 ARRAY_TERMS = 24
 AUTOMATON_BYTES = 32 << 20
-_BITMAP_BITS = 1 << 23
-_PRIME = np.uint64(1099511628211)
+MAX_BITMAP_BITS = 29  # 64 MB
 
 
 class TermList:
@@ -85,57 +84,113 @@ def _finder(spark, terms: list[str], first_only: bool):
     return F.pandas_udf(found, T.ArrayType(T.StringType()))
 
 
-def _window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
-    """Bitmap position of every window of ``length`` code points."""
-    n = len(codes) - length + 1
-    h = np.full(n, 14695981039346656037, dtype=np.uint64)
-    for i in range(length):
-        h = (h ^ codes[i:i + n]) * _PRIME
-    return (h ^ (h >> np.uint64(31))) & np.uint64(_BITMAP_BITS - 1)
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+class WindowHasher:
+    """Hash of every window of a text, any window length in a few vector operations.
+
+    With G[i] = sum of code[j] * B^j over j < i (modulo 2^64), a window's hash is
+    (G[i+n] - G[i]) * B^-i, the same wherever the window stands.
+    """
+
+    _BASE = np.uint64(0x9E3779B97F4A7C15)
+    _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self, bits: int):
+        self.bits = np.uint64(64 - bits)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, self._BASE))])
+            self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, self._INVERSE))])
+
+    def prefix(self, s: str) -> np.ndarray:
+        codes = _codes(s)
+        self._powers(len(codes) + 1)
+        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes.astype(np.uint64) * self.up[:len(codes)], dtype=np.uint64)])
+
+    def windows(self, prefix: np.ndarray, length: int) -> np.ndarray:
+        n = len(prefix) - length
+        h = (prefix[length:] - prefix[:n]) * self.down[:n] + np.uint64(length)
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def first(self, h: np.ndarray) -> np.ndarray:
+        return h >> self.bits
+
+    def second(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> self.bits
+
+
+def _is_set(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return ((bitmap[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _distinct_windows(s: str, codes: np.ndarray, at: np.ndarray, length: int) -> set[str]:
+    """The distinct substrings of one length at the given positions."""
+    if len(at) < 64 or "\x00" in s:  # fixed-width strings would lose trailing NULs
+        return {s[i:i + length] for i in at}
+    found: set[str] = set()
+    step = max(1, (1 << 22) // length)
+    for i in range(0, len(at), step):
+        block = np.lib.stride_tricks.sliding_window_view(codes, length)[at[i:i + step]]
+        found.update(np.unique(np.ascontiguousarray(block).view(f"<U{length}").ravel()).tolist())
+    return found
+
+
+def _term_bitmap(terms: TermList) -> tuple[int, np.ndarray, list[int]]:
+    """(bits, bitmap, term lengths): a Bloom filter of the terms with two positions each.
+
+    At least 1024 bits per term until ``MAX_BITMAP_BITS`` is reached; beyond it the filter only
+    gets less selective. Its size, not the number of terms, is what reaches the driver.
+    """
+    bits = min(MAX_BITMAP_BITS, max(20, (1024 * max(terms.count, 1)).bit_length()))
+
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = WindowHasher(bits)
+        for batch in batches:
+            h = [hasher.windows(hasher.prefix(t), len(t)) for t in batch]
+            yield pd.Series([[int(hasher.first(x)[0]), int(hasher.second(x)[0])] for x in h], dtype=object)
+
+    pos = F.pandas_udf(hashed, T.ArrayType(T.LongType()))
+    pages = (
+        terms.frame.select(F.explode(pos("term")).alias("p"))
+        .withColumn("p", F.col("p") + 1)  # the bitmap functions count from 1
+        .groupBy(F.bitmap_bucket_number("p").alias("page"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bytes"))
+    )
+    bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in pages.toLocalIterator():
+        page = np.frombuffer(r["bytes"], dtype=np.uint8)
+        at = (r["page"] - 1) * len(page)
+        bitmap[at:at + len(page)] |= page
+    lengths = sorted(r["n"] for r in terms.frame.select(F.length("term").alias("n")).distinct().collect())
+    return bits, bitmap, lengths
 
 
 def _substring_candidates(texts: DataFrame, text: str, terms: TermList) -> DataFrame:
     """Rows of ``texts`` with ``term`` = a substring that may be a term; exact after the join."""
-    spark = texts.sparkSession
-
-    def bitmap_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({
-                "len": [len(t) for t in pdf["term"]],
-                "pos": [int(_window_hashes(_codes(t), len(t))[0]) for t in pdf["term"]],
-            })
-
-    # at most _BITMAP_BITS positions per term length, however many terms there are
-    marks = (
-        terms.frame.mapInPandas(bitmap_part, "len int, pos int")
-        .groupBy("len", F.floor(F.col("pos") / 4096).alias("page"))
-        .agg(F.collect_set("pos").alias("pos"))
-        .toLocalIterator()
-    )
-    maps: dict[int, np.ndarray] = {}
-    for r in marks:
-        bits = maps.setdefault(r["len"], np.zeros(_BITMAP_BITS // 8, dtype=np.uint8))
-        pos = np.asarray(r["pos"])
-        np.bitwise_or.at(bits, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
-    shared = spark.sparkContext.broadcast(maps)
+    shared = texts.sparkSession.sparkContext.broadcast(_term_bitmap(terms))
 
     def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = shared.value
+        bits, bitmap, lengths = shared.value
+        hasher = WindowHasher(bits)
         for batch in batches:
             out = []
             for s in batch:
                 hits: set[str] = set()
                 if isinstance(s, str) and s:
-                    codes = _codes(s)
-                    for length, bits in tables.items():
-                        if len(codes) >= length:
-                            pos = _window_hashes(codes, length)
-                            on = (bits[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1
-                            hits.update(s[i:i + length] for i in np.flatnonzero(on))
+                    prefix, codes = hasher.prefix(s), _codes(s)
+                    for length in lengths:
+                        if length > len(s):
+                            break
+                        h = hasher.windows(prefix, length)
+                        at = np.flatnonzero(_is_set(bitmap, hasher.first(h)))
+                        at = at[_is_set(bitmap, hasher.second(h[at]))]
+                        if len(at):
+                            hits |= _distinct_windows(s, codes, at, length)
                 out.append(sorted(hits))
             yield pd.Series(out, dtype=object)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .ranking import bucket_by_group, quantile_bounds
 
@@ -20,9 +20,11 @@ def score_columns(df: DataFrame, label: str, drop: Sequence[str] = ("Question",)
 
 def valid_scores(df: DataFrame, label: str, scores: Sequence[str]) -> DataFrame:
     """``category, score, y``: numeric scores with a label, long form."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     wide = df.select(
         F.col(label).cast("int").alias("y"),
-        *[F.col(f"`{c}`").cast("string").try_cast("double").alias(c) for c in scores],
+        *[(F.col(f"`{c}`").try_cast("double") if c in text else F.col(f"`{c}`").cast("double")).alias(c)
+          for c in scores],
     )
     long = wide.unpivot("y", list(scores), "category", "score")
     return long.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("y").isNotNull())
@@ -69,16 +71,17 @@ def roc_points(df: DataFrame, label: str, scores: Sequence[str], drop_collinear:
     line between their neighbours.
     """
     cum = _cumulative(valid_scores(df, label, scores), buckets)
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     if drop_collinear:
         nxt = F.col("nxt")
-        # a point is on a line when the step after it equals the step into it
-        cum = cum.filter(nxt.isNull() | (nxt["pos"] != F.col("pos")) | (nxt["neg"] != F.col("neg")))
+        # a point is on a line when the step after it equals the step into it; the ends always stay
+        on_line = (nxt["pos"] == F.col("pos")) & (nxt["neg"] == F.col("neg"))
+        cum = cum.filter(first | nxt.isNull() | ~on_line)
     point = F.struct(F.col("score").alias("threshold"), (F.col("fp") / F.col("N")).alias("fpr"),
                      (F.col("tp") / F.col("P")).alias("tpr"))
     start = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     # the row with the highest score of a category also yields its start point
-    top = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
-    return cum.select("category", F.inline(F.when(top, F.array(start, point)).otherwise(F.array(point))))
+    return cum.select("category", F.inline(F.when(first, F.array(start, point)).otherwise(F.array(point))))
 
 
 def auc_by_score(df: DataFrame, label: str, scores: Sequence[str], buckets: int = 64) -> DataFrame:

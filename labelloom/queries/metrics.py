@@ -157,7 +157,7 @@ def roc_points(spark, d) -> DataFrame:
 
 @query("roc_points_thinned", f"""WITH {_SQL_SCORES}
 SELECT category, score AS threshold, round(fp / n::DOUBLE, 6) AS fpr, round(tp / p::DOUBLE, 6) AS tpr FROM c
-WHERE npos IS NULL OR npos <> pos OR nneg <> neg
+WHERE npos IS NULL OR npos <> pos OR nneg <> neg OR (tp = pos AND fp = neg)
 UNION ALL SELECT DISTINCT category, 'infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM c""")
 def roc_points_thinned(spark, d) -> DataFrame:
     out = roc.roc_points(_scores(spark, d), "y", ["s1", "s2", "s3", "one_class"], drop_collinear=True, buckets=8)

@@ -54,7 +54,7 @@ def _sql_embedded() -> str:
 @query("embed_prompts", _sql_embedded())
 def embed_prompts(spark, d) -> DataFrame:
     docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
-    out = X.embed(docs, "doc_id", "text", LetterCounts(), PROMPTS, dim=3, provenance={"embedding_model": "letters"})
+    out = X.embed(docs, "text", LetterCounts(), PROMPTS, dim=3, provenance={"embedding_model": "letters"})
     names = [f"e{p}_{c}" for p in range(3) for c in "aei"]
     return out.select("doc_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
                       "embedding_model")
@@ -72,7 +72,7 @@ def prompt_variants(spark, d) -> DataFrame:
 def hashed_embedding(spark, d) -> DataFrame:
     """The stand-in sentence encoder over whole documents."""
     docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
-    out = X.embed(docs, "doc_id", "text", X.NgramHashEncoder(64))
+    out = X.embed(docs, "text", X.NgramHashEncoder(64))
     v = F.col("embedding")
     return out.select("doc_id", F.size(v).alias("dim"), F.round(v[0].cast("double"), 5).alias("e0"),
                       F.round(v[191].cast("double"), 5).alias("e191"))
@@ -142,8 +142,8 @@ WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}
  v AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM f, c GROUP BY term
        HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * any_value(n)),
  x AS (SELECT doc_id, term, tf, tf * idf AS x FROM f JOIN v USING (term)),
- y AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM x),
- r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank FROM y)
+ y AS (SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 9) AS weight FROM x),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM y)
 SELECT doc_id, rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 5""")
 def tfidf_top_terms(spark, d) -> DataFrame:
     docs = table(spark, d, "documents", spread=True).select("doc_id", "text")

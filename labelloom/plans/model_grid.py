@@ -27,13 +27,15 @@ def run(texts: DataFrame, encoders: Mapping[str, X.Encoder], out: str, zoo: Mapp
     return {"results": done, "top": M.best_models(done) if done is not None else None}
 
 
-def task_grid(examples: DataFrame, zoo: Mapping[str, M.Trainer], encoder: X.Encoder, positive: str = "Yes",
-              folds: int = 5) -> DataFrame:
-    """Leaderboard input per task of the fan-out: each task's examples against the positive label."""
+def task_grid(examples: DataFrame, key: str, zoo: Mapping[str, M.Trainer], encoder: X.Encoder,
+              positive: str = "Yes", folds: int = 5) -> DataFrame:
+    """Leaderboard input per task of the fan-out (``key, task, x, y``): each task's examples against
+    the positive label.
+    """
     out = None
     for task in sorted(r["task"] for r in examples.select("task").distinct().collect()):
         rows = examples.filter(F.col("task") == task).select(
-            F.monotonically_increasing_id().alias("row_id"), F.col("x").alias("text"),
+            F.xxhash64(key, "x").alias("row_id"), F.col("x").alias("text"),
             (F.col("y") == positive).cast("int").alias("label"))
         ready = M.with_features(X.embed(rows, "text", encoder)).drop("text")
         part = M.compare_models(ready, zoo, folds=folds, feature_set=task)

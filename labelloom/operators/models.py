@@ -60,10 +60,10 @@ def _with_probabilities(df: DataFrame, drop: Sequence[str]) -> DataFrame:
     return df.withColumns({"prob0": p[0], "prob1": p[1]}).drop("probability", *drop)
 
 
-def probabilistic(estimator) -> Trainer:
-    """Trainer from a Spark ML classifier that outputs probabilities."""
+def probabilistic(build: Callable[[], Estimator]) -> Trainer:
+    """Trainer from a factory of a Spark ML classifier that outputs probabilities."""
     def train(df: DataFrame):
-        model = estimator.fit(df)
+        model = build().fit(df)
         return lambda rows: _with_probabilities(model.transform(rows), ["rawPrediction", "prediction"])
 
     return train
@@ -73,18 +73,19 @@ def logistic_regression(max_iter: int = 10_000) -> Trainer:
     # an L2 penalty of 1/(C*n) on the mean loss is the C=1 penalty on the summed loss
     def train(df: DataFrame):
         n = df.count()
-        est = LogisticRegression(maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False)
-        return probabilistic(est)(df)
+        return probabilistic(
+            lambda: LogisticRegression(maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False)
+        )(df)
 
     return train
 
 
 def random_forest(trees: int = 100, seed: int = 10) -> Trainer:
-    return probabilistic(RandomForestClassifier(numTrees=trees, seed=seed))
+    return probabilistic(lambda: RandomForestClassifier(numTrees=trees, seed=seed))
 
 
 def decision_tree(depth: int = 10, seed: int = 10) -> Trainer:
-    return probabilistic(DecisionTreeClassifier(maxDepth=depth, seed=seed))
+    return probabilistic(lambda: DecisionTreeClassifier(maxDepth=depth, seed=seed))
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -145,27 +145,44 @@ def smallest_k_by_count(df: DataFrame, k: int, value: str, tie: str) -> DataFram
 
 
 def row_ordinal(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0..n-1 in file order, for a frame read straight from files.
+    """0..n-1 in file order (path, then position), for a frame read straight from files.
 
-    The offset of every file split comes from one count per split, so no global sort is needed.
-    Splits are ordered by path and block start, which is file order for one file as well as many.
+    One counting pass gives every file (Parquet) or file split (text formats) its offset; that table
+    is no longer than the driver's own file listing, so it is broadcast and the rows never move.
+    Parquet rows know their position in the file. For text formats the position comes from the task's
+    row counter, and a row outside its split's counted range fails the job: the splits then changed
+    between the passes (pin them with ``spark.sql.files.minPartitionNum``).
     """
+    spark = df.sparkSession
+    meta = F.col("_metadata")
+    if "row_index" in df.select("_metadata").schema[0].dataType.fieldNames():
+        tagged = df.select("*", meta["file_path"].alias("_path"), meta["row_index"].alias("_pos"))
+        counts = tagged.groupBy("_path").agg(F.count("*").alias("n")).orderBy("_path").collect()
+        before, rows = 0, []
+        for r in counts:
+            rows.append((r["_path"], before))
+            before += r["n"]
+        offsets = F.broadcast(spark.createDataFrame(rows, "_path string, _before long"))
+        return tagged.join(offsets, "_path").withColumn(name, F.col("_before") + F.col("_pos")).drop(
+            "_path", "_pos", "_before"
+        )
     tagged = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
+        "*", meta["file_path"].alias("_path"), meta["file_block_start"].alias("_start"),
         F.monotonically_increasing_id().alias("_mid"),
     )
-    splits = tagged.groupBy("_path", "_start").agg(
-        F.min("_mid").alias("_first"), F.count("*").alias("_n")
-    )
-    # one row per file split
-    offsets = splits.select(
-        "_path", "_start",
-        (F.sum("_n").over(Window.orderBy("_path", "_start")) - F.col("_n") - F.col("_first")).alias("_shift"),
-    )
+    counts = tagged.groupBy("_path", "_start").agg(F.min("_mid").alias("first"), F.count("*").alias("n"))
+    before, rows = 0, []
+    for r in counts.orderBy("_path", "_start").collect():
+        rows.append((r["_path"], r["_start"], before, r["first"], r["n"]))
+        before += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(
+        rows, "_path string, _start long, _before long, _first long, _n long"
+    ))
+    pos = F.col("_mid") - F.col("_first")
+    moved = F.col("_first").isNull() | (pos < 0) | (pos >= F.col("_n"))
     return (
-        tagged.join(offsets, ["_path", "_start"])
-        .withColumn(name, F.col("_mid") + F.col("_shift"))
-        .drop("_path", "_start", "_mid", "_shift")
+        tagged.join(offsets, ["_path", "_start"], "left")
+        .withColumn(name, F.when(moved, F.raise_error(F.lit("file splits changed between passes")))
+                    .otherwise(F.col("_before") + pos))
+        .drop("_path", "_start", "_mid", "_before", "_first", "_n")
     )

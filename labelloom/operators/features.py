@@ -111,7 +111,8 @@ def embed(df: DataFrame, text: str, encoder: Encoder, templates: Sequence[str] =
     """
     if dedupe:
         keyed = df.withColumn("_d", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-        distinct = keyed.select("_d", F.coalesce(F.col(text), F.lit("")).alias(text)).dropDuplicates(["_d"])
+        # distinct over both columns is a hash aggregate; the digest alone would need a sort
+        distinct = keyed.select("_d", F.coalesce(F.col(text), F.lit("")).alias(text)).distinct()
         coded = _encode_prompts(distinct, text, encoder, templates, dim).select("_d", "embedding")
         out = skewed_lookup(keyed, coded, "_d", share=0.01).drop("_d")
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import label_text
@@ -20,15 +21,16 @@ _SQL_SCORED = SQL_OOF + """,
 
 
 def _scored(spark, d) -> DataFrame:
+    """Cached: the report reads it more than once (the audit job keeps it as a table instead)."""
     return oof_frame(spark, d).select(
         F.col("vec_id").alias("row_index"), F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("text"),
         label_text("label").alias("label_raw"), "label", "prob0", "prob1",
-        (F.col("prob1") >= 0.5).cast("int").alias("prediction"))
+        (F.col("prob1") >= 0.5).cast("int").alias("prediction")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _report(spark, d, **kw) -> DataFrame:
+def _report(spark, d, scored: DataFrame | None = None, **kw) -> DataFrame:
     ignored = table(spark, d, "embeddings").filter("vec_id % 7 = 0").select(F.col("vec_id").alias("row_index"))
-    return A.issue_report(_scored(spark, d), ignore=ignored, **kw)
+    return A.issue_report(_scored(spark, d) if scored is None else scored, ignore=ignored, **kw)
 
 
 def _shown(report: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def suspicious_by_confidence(spark, d) -> DataFrame:
 @query("dropped_dataset", f"WITH {_SQL_SCORED} SELECT row_index, label_raw FROM g WHERE row_index NOT IN (SELECT row_index FROM b)")
 def dropped_dataset(spark, d) -> DataFrame:
     scored = _scored(spark, d)
-    return A.drop_suspicious(scored, _report(spark, d)).select("row_index", "label_raw")
+    return A.drop_suspicious(scored, _report(spark, d, scored)).select("row_index", "label_raw")
 
 
 @query("least_certain", f"""WITH {_SQL_SCORED}, q AS (SELECT row_index, prediction,

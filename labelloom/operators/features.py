@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.vectors import let
 from .joins import skewed_lookup
@@ -168,25 +168,22 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float =
     size allows, otherwise the few very frequent terms are broadcast and the rest joins by shuffle.
     """
     stop = english_stop_words() if stop_words is None else list(stop_words)
-    tf = docs.select(key, token_array(text, stop).alias("_w")).select(
-        key, F.inline(term_frequencies(F.col("_w"), ngrams))
-    )
+    words = docs.select(key, token_array(text, stop).alias("_w"))
+    tf = words.select(key, F.inline(term_frequencies(F.col("_w"), ngrams)))
+    seen = F.array_distinct(with_bigrams(F.col("_w")) if ngrams > 1 else F.col("_w"))
     n = docs.count()
     vocab = (
-        tf.groupBy("term").agg(F.count("*").alias("df"))
+        words.select(F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
         .withColumn("idf", F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
         # read by the size check and by the join; stays cached until the caller clears it
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    joined = _with_idf(tf, vocab, strategy)
-    per_doc = joined.withColumn("_x", F.col("tf") * F.col("idf")).groupBy(key).agg(
-        F.collect_list(F.struct("term", "tf", "df", "_x")).alias("_t"),
-        F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"),
-    )
-    return per_doc.select(key, "_norm", F.inline("_t")).select(
-        key, "term", "tf", "df", (F.col("_x") / F.col("_norm")).alias("weight")
-    )
+    joined = _with_idf(tf, vocab, strategy).withColumn("_x", F.col("tf") * F.col("idf"))
+    # rows stay long: a window per document is a sort on the key, where collecting arrays would
+    # fall back to sorted object aggregation
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
+    return joined.select(key, "term", "tf", "df", (F.col("_x") / norm).alias("weight"))
 
 
 def _with_idf(tf: DataFrame, vocab: DataFrame, strategy: str) -> DataFrame:
@@ -206,10 +203,7 @@ def _with_idf(tf: DataFrame, vocab: DataFrame, strategy: str) -> DataFrame:
 
 
 def top_terms(weights: DataFrame, key: str, n: int) -> DataFrame:
-    """The n heaviest terms of every document, ties by term."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term")))
-    return (
-        weights.groupBy(key).agg(F.slice(rows, 1, n).alias("_t"))
-        .select(key, F.posexplode("_t").alias("pos", "t"))
-        .select(key, (F.col("pos") + 1).alias("rank"), F.col("t.term").alias("term"), (-F.col("t.w")).alias("weight"))
-    )
+    """The n heaviest terms of every document, ties by term. Reuses the partitioning of ``tfidf``."""
+    order = Window.partitionBy(key).orderBy(F.desc("weight"), "term")
+    ranked = weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    return ranked.select(key, "rank", "term", "weight")

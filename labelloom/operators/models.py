@@ -257,11 +257,12 @@ class SmoothedTfIdf(Estimator, HasInputCol, HasOutputCol):
 
 
 def tfidf_stages(text: str, out: str = "tfidf", min_df: int = 2, max_df: float = 0.95,
-                 vocabulary: int = 1 << 18) -> list:
+                 vocabulary: int = (1 << 31) - 1) -> list:
     """Spark ML stages text -> TF-IDF vector over words and bigrams.
 
-    ``vocabulary`` bounds the model (the most frequent terms win beyond it); the relational
-    ``features.tfidf`` has no such bound.
+    A model's dictionary and coefficients live on the driver: raise ``min_df``, or set ``vocabulary``
+    (the most frequent terms win), when the corpus has more terms than a model should. The relational
+    ``features.tfidf`` has no such dictionary.
     """
     return [
         RegexTokenizer(inputCol=text, outputCol="_words", gaps=False, pattern=r"[\p{L}\p{N}_]{2,}"),

@@ -50,11 +50,12 @@ def _mapper(threads: int):
 
 def score_rows(df: DataFrame, scorer: Callable[[str, str | None], dict], text: str,
                categories: Sequence[str] = MODERATION_CATEGORIES, models: Sequence[str | None] = (None,),
-               tries: int = 5, pause: float = 15.0, threads: int = 1) -> DataFrame:
+               tries: int = 5, pause: float = 15.0, threads: int = 1, tasks: int | None = None) -> DataFrame:
     """Input columns plus the missing category columns (double).
 
     ``scorer(text, model)`` returns category -> score. Blank text and a call that fails ``tries``
-    times leave NULLs. Rows keep their keys; order is a matter for the sink.
+    times leave NULLs. Rows keep their keys; order is a matter for the sink. ``tasks`` x ``threads``
+    bounds the number of calls in flight.
     """
     wanted = list(categories)
     fields = [T.StructField(f.name, T.DoubleType()) if f.name in wanted else f for f in df.schema.fields]
@@ -71,11 +72,15 @@ def score_rows(df: DataFrame, scorer: Callable[[str, str | None], dict], text: s
                 pdf[c] = pd.Series([g.get(c) for g in got], dtype="float64", index=pdf.index)
             yield pdf[names]
 
-    return df.mapInPandas(run, schema)
+    return _spread(df, tasks).mapInPandas(run, schema)
+
+
+def _spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    return df if tasks is None else df.repartition(tasks)
 
 
 def score_rows_map(df: DataFrame, scorer: Callable[[str], dict], text: str, pause: float = 0.0,
-                   name: str = "scores", threads: int = 1) -> DataFrame:
+                   name: str = "scores", threads: int = 1, tasks: int | None = None) -> DataFrame:
     """Add a ``map<string,double>`` column; a failed call gives an empty map."""
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.MapType(T.StringType(), T.DoubleType()))])
 
@@ -94,7 +99,7 @@ def score_rows_map(df: DataFrame, scorer: Callable[[str], dict], text: str, paus
             pdf[name] = do(one, list(pdf[text]))
             yield pdf
 
-    return df.mapInPandas(run, schema)
+    return _spread(df, tasks).mapInPandas(run, schema)
 
 
 def expand_prompts(df: DataFrame, prompts: dict[str, str]) -> DataFrame:
@@ -106,7 +111,7 @@ def expand_prompts(df: DataFrame, prompts: dict[str, str]) -> DataFrame:
 
 def complete_rows(df: DataFrame, prompts: dict[str, str], completer: Callable[[str, str], str | dict],
                   key: str = "idx", text: str = "text", keep: Sequence[str] = (),
-                  label_ids: Sequence[str] = TOPIC_IDS, threads: int = 1) -> DataFrame:
+                  label_ids: Sequence[str] = TOPIC_IDS, threads: int = 1, tasks: int | None = None) -> DataFrame:
     """Answer log: one row per (row, prompt) with raw output, parsed value, groups and error.
 
     ``completer(prompt, message)`` returns the answer text, or a message dict with ``content`` and
@@ -138,7 +143,7 @@ def complete_rows(df: DataFrame, prompts: dict[str, str], completer: Callable[[s
             pdf["call_error"] = [g[2] for g in got]
             yield pdf[names]
 
-    answered = rows.mapInPandas(run, schema).withColumn(
+    answered = _spread(rows, tasks).mapInPandas(run, schema).withColumn(
         "raw_output", first_message_field("content", "reasoning")
     )
     parsed = parse_answers(answered, "raw_output", label_ids)

@@ -8,6 +8,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # a sort-merge join whose build partitions turn out small is run as a hash join instead
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # texts are long: smaller Arrow batches keep Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",

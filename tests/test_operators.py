@@ -226,7 +226,9 @@ def test_knn_without_enough_training_rows(spark):
 
 # --- features -------------------------------------------------------------------------------------
 
-def test_tfidf_against_python(spark):
+@pytest.mark.parametrize("hot_terms", [2, 10_000])
+def test_tfidf_against_python(spark, monkeypatch, hot_terms):
+    monkeypatch.setattr(features, "HOT_TERMS", hot_terms)  # 2: some terms take the shuffle join
     docs = ["The cat and the dog", "cat cat bird", "dog_1 bird cat", "x yy", "", "猫 bird"] + ["cat bird"] * 5
     df = spark.createDataFrame(list(enumerate(docs)), "id int, text string")
     def terms(s):

@@ -34,6 +34,8 @@ def test_query_equals_sql(spark, con, name):
     cur = con.execute(entry.oracle_sql()[name])
     cols = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(cols)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(cur.fetchall(), cols)
 
 

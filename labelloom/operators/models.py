@@ -339,13 +339,15 @@ def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int = 10, seed: int = 42,
-                threshold: float = 0.5) -> DataFrame:
+                threshold: float = 0.5, cache: bool = True) -> DataFrame:
     """``key, label, fold, prob0, prob1, prediction`` for every row, each scored by a model that has not seen it.
 
-    The features are cached while the fold models are fitted.
+    The features are cached for the fold models and stay cached for the returned plan; pass
+    ``cache=False`` for a frame that already is.
     """
     folded = df if "fold" in df.columns else stratified_folds(df, key, "label", folds, seed)
-    _, folded = cached(folded)
+    if cache:
+        _, folded = cached(folded)
     ids = sorted(r["fold"] for r in folded.select("fold").distinct().collect())
     parts = []
     for i in ids:
@@ -356,7 +358,7 @@ def out_of_fold(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int
 
 
 def cross_validate(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int = 5, seed: int = 42,
-                   threshold: float = 0.5) -> DataFrame:
+                   threshold: float = 0.5, cache: bool = True) -> DataFrame:
     """One row ``mean_accuracy, mean_f1, mean_precision``: means of the weighted fold metrics.
 
     ``folds <= 1`` or a single class gives NULLs.
@@ -366,7 +368,7 @@ def cross_validate(df: DataFrame, trainer: Trainer, key: str = "row_id", folds:
         return df.sparkSession.range(1).select(
             *[null.alias(f"mean_{m}") for m in ("accuracy", "f1", "precision")]
         )
-    scored = out_of_fold(df, trainer, key, folds, seed, threshold)
+    scored = out_of_fold(df, trainer, key, folds, seed, threshold, cache)
     return fold_means(weighted_metrics(scored, "label", "prediction", by=["fold"]))
 
 
@@ -390,7 +392,7 @@ def compare_models(df: DataFrame, zoo: Mapping[str, Trainer], key: str = "row_id
     rows = []
     for name, trainer in zoo.items():
         try:
-            m = cross_validate(base, trainer, key, folds, seed, threshold).first()
+            m = cross_validate(base, trainer, key, folds, seed, threshold, cache=False).first()
             rows.append((feature_set, name, m["mean_accuracy"], m["mean_f1"], m["mean_precision"]))
         except Exception as e:
             print(f"{name} failed: {e}")

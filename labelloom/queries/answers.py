@@ -153,3 +153,22 @@ def gold_answers(spark, d) -> DataFrame:
     broken = F.when(F.col("doc_id") % 5 == 0, F.lit('{"groups": oops')).otherwise(answer)
     return sets.select("doc_id", answer.alias("answer"), F.array_join(S.parse_answer_json(broken), ",").alias("back"),
                        *[hot[f"is_{i}"].alias(f"is_{i}") for i in ("4", "7", "w")])
+
+
+@query("remap_scores", """
+SELECT event_id, round(CASE WHEN s <= 0.1 THEN 0 WHEN s < 0.6 THEN 0.5 * (s - 0.1) / 0.5::DOUBLE
+   ELSE least(1, 0.5 + 0.5 * (s - 0.6) / 0.4::DOUBLE) END, 6) AS score
+FROM (SELECT event_id, value / 100.0::DOUBLE AS s FROM events)""")
+def remap_scores(spark, d) -> DataFrame:
+    s = F.col("value") / 100.0
+    return table(spark, d, "events").select("event_id", F.round(S.remap_score(s, 0.6, 0.1), 6).alias("score"))
+
+
+@query("user_messages", """
+SELECT conv_id, turn, md5('文本: ' || text) AS message_md5,
+       CASE WHEN trim(role) = 'system' THEN 'reasoned' ELSE role END AS usable FROM conversations""")
+def user_messages(spark, d) -> DataFrame:
+    content = F.when(F.col("role") == "system", F.lit(" \n")).otherwise(F.col("role"))
+    return table(spark, d, "conversations").select(
+        "conv_id", "turn", F.md5(A.user_message("text")).alias("message_md5"),
+        A.first_message_field(content, F.lit("reasoned")).alias("usable"))

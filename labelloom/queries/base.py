@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.readers import _fs
+from ..sources.readers import file_system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
     if spread:
-        fs, p = _fs(spark, path)
+        fs, p = file_system(spark, path)
         if fs.getContentSummary(p).getLength() < cores * _SMALL_SPLIT:
             key = _KEYS[name]
             df = df.repartition(cores, *((key,) if isinstance(key, str) else key))

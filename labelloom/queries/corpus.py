@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import labels as L, text as X
 from ..operators import joins, pivot, tasks
 from ..operators.ranking import row_ordinal
+from ..plans import corpora
 from .base import query, sql_strip, table
 
 RAW_LABELS = ("Potentially", "None", None, "", " potentially ", "NONE", "nan", "Possible", "TRUE", "false")
@@ -299,3 +300,46 @@ def upsert_results(spark, d) -> DataFrame:
     updates = ev.filter(F.col("user_id") % 2 == 0).groupBy("user_id").agg(
         (F.nullif(is_type["click"], F.lit(1)) * 10).alias("clicks"), is_type["purchase"].alias("buys"))
     return joins.upsert(existing, updates, "user_id").fillna(-1)
+
+
+@query("harmless_rows", """
+SELECT md5(d.text) AS text_md5, 'None' AS label, count(*) AS n FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0
+GROUP BY 1, 2""")
+def harmless_rows(spark, d) -> DataFrame:
+    """Rows whose label is 0; the label arrives as a number in text."""
+    recs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
+        "text", F.concat(F.col("toxic").cast("string"), F.lit(".0")).alias("label"))
+    out = corpora.harmless_rows(recs)
+    return out.groupBy(F.md5(corpora.TEXT).alias("text_md5"), F.col(corpora.LABEL).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("instruction_records", """
+SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR ELSE '' END AS qid, '' AS category, lang AS title, '' AS "desc",
+       md5(text) AS answer_md5, source AS "SOURCE", coalesce(upvotes, '-') AS upvotes
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN n_chars::VARCHAR END AS upvotes FROM documents) WHERE length(text) < 1024""")
+def instruction_records(spark, d) -> DataFrame:
+    k = F.col("doc_id")
+    meta = F.when(k % 3 == 0, F.concat(F.lit('{"question_id": '), k.cast("string"), F.lit(".0}"))).when(k % 3 == 1, "{}")
+    raw = table(spark, d, "documents").select(
+        F.col("lang").alias("INSTRUCTION"), F.col("text").alias("RESPONSE"), F.col("source").alias("SOURCE"),
+        meta.alias("METADATA"), F.when(k % 2 == 0, F.col("n_chars").cast("string")).alias("upvotes"))
+    out = corpora.instruction_records(raw)
+    return out.select("qid", "category", "title", "desc", F.md5("answer").alias("answer_md5"), "SOURCE",
+                      F.coalesce("upvotes", F.lit("-")).alias("upvotes"))
+
+
+@query("span_table", """
+WITH r AS (SELECT doc_id, toxic, quality FROM labels)
+SELECT md5(d.text) AS text_md5, CASE WHEN toxic = 1 OR quality = 0 THEN 'Potentially' ELSE 'None' END AS label, count(*) AS n
+FROM r JOIN documents d USING (doc_id) WHERE toxic = 1 AND d.lang NOT IN ('de', 'fr') GROUP BY 1, 2""")
+def span_table(spark, d) -> DataFrame:
+    """Span records built from the documents: pruned, then text and label."""
+    entries = {
+        "content": F.col("text"), "Q1 hateful": F.when(F.col("toxic") == 1, "HATE").otherwise("none"),
+        "Q1 Group": F.when(F.col("lang") == "de", "Others").when(F.col("lang") == "fr", " NULL").otherwise("Region, x"),
+        "Q9 hateful": F.when(F.col("quality") == 0, "hate").otherwise("none"),
+    }
+    rec = F.create_map(*[c for k, v in entries.items() for c in (F.lit(k), v)])
+    recs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(rec.alias("record"))
+    out = corpora.span_records_to_table(recs)
+    return out.groupBy(F.md5(corpora.TEXT).alias("text_md5"), F.col(corpora.LABEL).alias("label")).agg(F.count("*").alias("n"))

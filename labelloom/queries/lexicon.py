@@ -137,3 +137,11 @@ def hybrid_proba(spark, d) -> DataFrame:
     return both.select("doc_id", "hit", "prediction", F.round("soft_prob1", 6).alias("soft_prob1"),
                        F.round("soft_prob0", 6).alias("soft_prob0"), F.round("prob1", 6).alias("hard_prob1"),
                        F.round(logit("prob1"), 3).alias("hard_logit"))
+
+
+@query("usable_terms", """SELECT DISTINCT trim(w, ' ' || chr(10)) AS term FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)
+WHERE trim(w, ' ' || chr(10)) <> ''""")
+def usable_terms(spark, d) -> DataFrame:
+    """Every distinct stripped word of the documents as a lexicon."""
+    words = table(spark, d, "documents", spread=True).select(F.explode(F.split("text", " ")).alias("term"))
+    return X.usable_terms(words)

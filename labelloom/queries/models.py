@@ -1,4 +1,4 @@
-"""Spark ML classifiers: cross-validation, hybrids, comparison. Checked by rows and tolerance, not by SQL."""
+"""Classifiers: cross-validation, hybrids, comparison. Only the neighbour vote can be stated in SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from ..operators import features as X, models as M
 from ..operators.matching import flag_any_term
 from .base import query, table
 from .lexicon import lexicon_of
+from .metrics import sql_weighted
+from .vectors import SQL_OOF
 
 
 def vectors(spark, d) -> DataFrame:
@@ -58,9 +60,13 @@ def cv_adaboost(spark, d) -> DataFrame:
     return _cv(spark, d, "AdaBoost", M.ada_boost(10), folds=2)
 
 
-@query("cv_knn")
+@query("cv_knn", f"""WITH {SQL_OOF}, o AS (SELECT *, (prob1 >= 0.5)::INT AS pred FROM oof),
+ w AS ({sql_weighted('o', 'label', 'pred', 'fold', None)})
+SELECT 'Nearest Neighbors' AS classifier, round(avg(accuracy), 6) AS mean_accuracy, round(avg(f1), 6) AS mean_f1,
+       round(avg("precision"), 6) AS mean_precision FROM w""")
 def cv_knn(spark, d) -> DataFrame:
-    return _cv(spark, d, "Nearest Neighbors", M.nearest_neighbours(10), folds=3)
+    out = _cv(spark, d, "Nearest Neighbors", M.nearest_neighbours(10), folds=5)
+    return out.select("classifier", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 @query("oof_svm_balanced")

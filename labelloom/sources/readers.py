@@ -41,14 +41,14 @@ def require_same_count(a: DataFrame, b: DataFrame) -> None:
         raise ValueError(f"row counts differ: {na} and {nb}")
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     return bool(fs.exists(p))
 
 
@@ -92,7 +92,7 @@ def read_headerless_tsv(spark: SparkSession, path, names: Sequence[str] = ("sent
 
 def _is_array_file(spark: SparkSession, path: str) -> bool:
     """First non-blank character of the file's head is ``[``. Reads a few bytes, not the file."""
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     stream = fs.open(p)
     try:
         head = bytearray()
@@ -109,7 +109,7 @@ def _is_array_file(spark: SparkSession, path: str) -> bool:
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     found = fs.globStatus(p)
     out: list[str] = []
     for status in found or []:
@@ -144,20 +144,24 @@ def _typed(objects: DataFrame, schema: str | T.DataType) -> DataFrame:
 
 
 def read_json_any(spark: SparkSession, path: str, schema: str, missing_ok: bool = False,
-                  strict_arrays: bool = False) -> DataFrame:
+                  strict_arrays: bool = False, fmt: str = "auto") -> DataFrame:
     """JSON-array files and JSONL files, told apart by their first non-blank character.
 
     Bad lines and elements that are not objects are dropped. ``schema`` is DDL, or a map type such
     as ``map<string,string>`` for records with varying keys (one ``record`` column). ``missing_ok``
     turns an absent path into an empty frame; ``strict_arrays`` makes an array file that does not
-    parse an error.
+    parse an error. ``fmt="lines"`` or ``"array"`` skips the look into every file, for directories of
+    very many files; lines are split across tasks, an array file is one task's work.
     """
     files = _files(spark, path)
     if not files:
         if missing_ok:
             return _typed(spark.createDataFrame([], "json string"), schema)
         raise FileNotFoundError(path)
-    arrays = [f for f in files if _is_array_file(spark, f)]
+    if fmt == "auto":
+        arrays = [f for f in files if _is_array_file(spark, f)]
+    else:
+        arrays = files if fmt == "array" else []
     lines = [f for f in files if f not in set(arrays)]
     parts = []
     if arrays:

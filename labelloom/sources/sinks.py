@@ -105,9 +105,9 @@ def upsert_tsv(spark: SparkSession, path: str, row_key: str, updates: DataFrame)
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
-    from .readers import _fs
+    from .readers import file_system
 
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return None
     names = sorted(

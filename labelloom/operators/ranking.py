@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Up to this many rows a plain ORDER BY .. LIMIT is used: it keeps k rows per task.
 SMALL_LIMIT = 10_000
@@ -144,6 +145,12 @@ def smallest_k_by_count(df: DataFrame, k: int, value: str, tie: str) -> DataFram
     )
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small frame of driver rows; by way of Arrow it becomes a local relation without a Python stage."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=names), schema)
+
+
 def row_ordinal(df: DataFrame, name: str = "row_index") -> DataFrame:
     """0..n-1 in file order (path, then position), for a frame read straight from files.
 
@@ -162,7 +169,7 @@ def row_ordinal(df: DataFrame, name: str = "row_index") -> DataFrame:
         for r in counts:
             rows.append((r["_path"], before))
             before += r["n"]
-        offsets = F.broadcast(spark.createDataFrame(rows, "_path string, _before long"))
+        offsets = F.broadcast(_local(spark, rows, "_path string, _before long"))
         return tagged.join(offsets, "_path").withColumn(name, F.col("_before") + F.col("_pos")).drop(
             "_path", "_pos", "_before"
         )
@@ -175,9 +182,7 @@ def row_ordinal(df: DataFrame, name: str = "row_index") -> DataFrame:
     for r in counts.orderBy("_path", "_start").collect():
         rows.append((r["_path"], r["_start"], before, r["first"], r["n"]))
         before += r["n"]
-    offsets = F.broadcast(spark.createDataFrame(
-        rows, "_path string, _start long, _before long, _first long, _n long"
-    ))
+    offsets = F.broadcast(_local(spark, rows, "_path string, _start long, _before long, _first long, _n long"))
     pos = F.col("_mid") - F.col("_first")
     moved = F.col("_first").isNull() | (pos < 0) | (pos >= F.col("_n"))
     return (

@@ -11,3 +11,10 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# functions for the Python workers travel by value: executors need no copy of this package
+register_pickle_by_value(sys.modules[__name__])

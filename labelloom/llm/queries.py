@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_text, quality, secrets, simhash, url_filter
+from . import decontamination, html_text, mixing, quality, secrets, simhash, url_filter
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -95,3 +95,43 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                     F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def sql_mixture(docs: str) -> str:
+    """The mixture of the rows of ``docs`` (doc_id, text, source) as SQL."""
+    q, block = mixing.CYCLE, mixing.BLOCK_CHARS
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, length(coalesce(text, ''))::BIGINT AS chars,
+    md5('{mixing.SEED}:' || doc_id::VARCHAR) AS h FROM {docs}),
+w AS (SELECT source, greatest(floor(sqrt(sum(chars)::DOUBLE))::BIGINT, 1) AS w FROM d GROUP BY source),
+base AS (SELECT source, w, greatest((w::HUGEINT * {q}) // (sum(w) OVER ()), 1)::BIGINT AS b, (sum(w) OVER ())::HUGEINT AS all_w FROM w),
+ranked AS (
+  SELECT source, b, {q} - sum(b) OVER () AS rest,
+    row_number() OVER (ORDER BY w::HUGEINT * {q} - b * all_w DESC, source) AS r,
+    row_number() OVER (ORDER BY b DESC, source) AS s FROM base),
+slots AS (
+  SELECT source, (b + CASE WHEN rest > 0 AND r <= rest THEN 1 WHEN rest < 0 AND s = 1 THEN rest ELSE 0 END)::BIGINT AS a,
+    row_number() OVER (ORDER BY source) AS i FROM ranked),
+edf AS (
+  SELECT -1 AS t, list(0::BIGINT ORDER BY i) AS done, 0::BIGINT AS pick, list(a ORDER BY i) AS a FROM slots
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, i: x + (i = p)::BIGINT), p, a FROM (
+    SELECT t, done, a, list_sort(list_transform(list_filter(range(1, len(a) + 1),
+        lambda i: done[i] < a[i] AND (done[i] * {q}) // a[i] <= t + 1),
+        lambda i: {{'deadline': ((done[i] + 1) * {q} + a[i] - 1) // a[i], 'i': i}}))[1].i AS p FROM edf)
+  WHERE t + 1 < {q}),
+turns AS (SELECT pick, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t >= 0),
+placed AS (
+  SELECT doc_id, source, (sum(chars) OVER (PARTITION BY source ORDER BY h, chars, doc_id ROWS UNBOUNDED PRECEDING) - chars)::BIGINT AS start
+  FROM d)
+SELECT doc_id, p.source, start // {block} AS block, start,
+  (start // {block} // a) * {q} + ((start // {block} % a) * {q}) // a AS release,
+  (start // {block} // a) * {q} + (((start // {block} % a) + 1) * {q} + a - 1) // a AS deadline,
+  (start // {block} // a) * {q} + turns.slot AS slot
+FROM placed p JOIN slots ON slots.source = p.source JOIN turns ON turns.pick = slots.i AND turns.nth = start // {block} % a"""
+
+
+@query("op7_source_mixing", sql_mixture("documents"))
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")

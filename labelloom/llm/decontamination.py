@@ -31,9 +31,10 @@ BLOCK_BYTES = 1 << 20
 # Fixed rule: words are runs of digits, letters and characters beyond ASCII; A-Z are lower-cased.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_INDEX = ("segment string, doc_ids array<bigint>, first_positions array<bigint>, n_words array<bigint>, terms array<string>, "
+_INDEX = ("segment string, doc_ids array<bigint>, digests array<bigint>, first_positions array<bigint>, n_words array<bigint>, terms array<string>, "
           "list_ends array<bigint>, positions array<bigint>")
-_INDEX_TYPE = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("first_positions", pa.list_(pa.int64())),
+_INDEX_TYPE = pa.schema([("segment", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("digests", pa.list_(pa.int64())),
+                         ("first_positions", pa.list_(pa.int64())),
                          ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())),
                          ("list_ends", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))])
 
@@ -49,6 +50,7 @@ def _index(docs: DataFrame, key: str, text: str, vocabulary: Sequence[bytes]) ->
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         ids: list = []
+        digests: list[int] = []
         sizes: list[int] = []
         numbers: list[np.ndarray] = []
         tokens = 0
@@ -62,17 +64,18 @@ def _index(docs: DataFrame, key: str, text: str, vocabulary: Sequence[bytes]) ->
             known = np.flatnonzero(flat >= 0)
             order = known[np.argsort(flat[known], kind="stable")]
             which, counts = np.unique(flat[order], return_counts=True)
-            row = [f"{task}-{made}", list(ids), first.tolist(), sizes.copy(), [vocabulary[i].decode() for i in which.tolist()],
+            row = [f"{task}-{made}", ids.copy(), digests.copy(), first.tolist(), sizes.copy(), [vocabulary[i].decode() for i in which.tolist()],
                    np.cumsum(counts).tolist(), at[order]]
             made += 1
             tokens = 0
-            ids.clear(), sizes.clear(), numbers.clear()
+            ids.clear(), digests.clear(), sizes.clear(), numbers.clear()
             return pa.record_batch([pa.array([x], type=f.type) for x, f in zip(row, _INDEX_TYPE)], schema=_INDEX_TYPE)
 
         for batch in batches:
-            for ident, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ident, t, digest in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(t)
                 ids.append(ident)
+                digests.append(digest)
                 sizes.append(len(words))
                 numbers.append(np.fromiter(map(number.get, words, repeat(-1)), dtype=np.int32, count=len(words)))
                 tokens += len(words)
@@ -81,7 +84,7 @@ def _index(docs: DataFrame, key: str, text: str, vocabulary: Sequence[bytes]) ->
         if ids:
             yield segment()
 
-    return docs.select(F.col(key).cast("bigint"), text_of(text)).mapInArrow(build, _INDEX)
+    return docs.select(F.col(key).cast("bigint"), text_of(text), F.xxhash64(text_of(text))).mapInArrow(build, _INDEX)
 
 
 class _Windows:
@@ -151,9 +154,9 @@ def _union_length(spans: np.ndarray, document: np.ndarray, n_documents: int) ->
 
 
 _MATCH = "struct<item_id:bigint, kind:string, start:bigint, end:bigint>"
-_FOUND = f"row string, doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, matches array<{_MATCH}>"
+_FOUND = f"row string, doc_id bigint, digest bigint, n_words bigint, n_hit bigint, items array<bigint>, matches array<{_MATCH}>"
 _FOUND_TYPE = pa.schema([
-    ("row", pa.string()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())),
+    ("row", pa.string()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())),
     ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
 
@@ -162,8 +165,8 @@ def _search(index: DataFrame, windows: _Windows, near_span: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 part = [c.slice(i, 1).flatten() for c in batch.columns[1:]]
-                ids, first, n_words, terms, ends, positions = (
-                    p.to_pylist() if j in (0, 3) else p.to_numpy(zero_copy_only=False) for j, p in enumerate(part))
+                ids, digests, first, n_words, terms, ends, positions = (
+                    p.to_pylist() if j in (0, 4) else p.to_numpy(zero_copy_only=False) for j, p in enumerate(part))
                 begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 lists = {t.encode(): positions[a:z] for t, a, z in zip(terms, begins.tolist(), ends.tolist())}
                 exact, near = windows.search(lists, near_span)
@@ -189,9 +192,9 @@ def _search(index: DataFrame, windows: _Windows, near_span: int) -> DataFrame:
                     hit = _union_length(flat, np.searchsorted(first, flat[:, 0], "right") - 1, len(ids))
                 kinds = [[dict(zip(("item_id", "kind", "start", "end"), m)) for m in sorted(set(ms))] for ms in matches]
                 names = [f"{batch.column('segment')[i]}:{d}" for d in range(len(ids))]
-                yield pa.record_batch([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()),
-                                       pa.array([sorted(x) for x in items], _FOUND_TYPE.field(4).type),
-                                       pa.array(kinds, _FOUND_TYPE.field(5).type)], schema=_FOUND_TYPE)
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()),
+                                       pa.array([sorted(x) for x in items], _FOUND_TYPE.field(5).type),
+                                       pa.array(kinds, _FOUND_TYPE.field(6).type)], schema=_FOUND_TYPE)
 
     return index.mapInArrow(search, _FOUND)
 
@@ -211,7 +214,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, near_span: int = NEAR_SPAN) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, matches), one row per row of ``docs``.
+    """(doc_id, digest, n_words, n_hit, items, matches), one row per row of ``docs``; ``digest`` is xxhash64 of the text.
 
     A window is ``window`` consecutive item words; an item of fewer words, but not none, is one window. ``n_hit`` counts the
     words inside any exact occurrence, ``items`` are the items with an occurring window, ``matches`` lists phrase and
@@ -240,6 +243,15 @@ def _merged(results: list[DataFrame]) -> DataFrame:
         (s["n"] + F.greatest(x["z"] - F.greatest(x["a"], s["until"]), F.lit(0))).alias("n"),
         F.greatest(s["until"], x["z"]).alias("until")), lambda s: s["n"])
     return every.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), covered.alias("n_hit"),
+        F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.first("n_words").alias("n_words"), covered.alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without an exact benchmark passage, with the columns they came with."""
+    found = contamination(docs, benchmark, key, text, **options).filter("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("_key"), F.col("digest").alias("_other")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_other"))
+    return (docs.withColumn("_digest", F.xxhash64(text_of(text))).join(found, same, "left_anti")
+            .select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_text, mixing, quality, secrets, simhash, url_filter
+from . import decontamination, factorisation, html_text, mixing, quality, secrets, simhash, url_filter
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -135,3 +135,11 @@ FROM placed p JOIN slots ON slots.source = p.source JOIN turns ON turns.pick = s
 @query("op7_source_mixing", sql_mixture("documents"))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = factorisation.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return factorisation.score(docs, model).select(
+        "doc_id", factorisation.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, factorisation, html_text, mixing, quality, secrets, simhash, url_filter
+from . import decontamination, factorisation, html_text, mixing, quality, secrets, simhash, url_filter, word_windows
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -143,3 +143,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = factorisation.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return factorisation.score(docs, model).select(
         "doc_id", factorisation.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = word_windows.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = F.col("_repeats")
+    return d.select("doc_id", r["n_words"].alias("n_words"), r["n_removed"].alias("n_removed"),
+                    F.sha2(r["kept"], 256).alias("kept_sha256"))

@@ -69,45 +69,57 @@ def repeated_words(words: list, size: int = REPEAT_WINDOW) -> int:
 
 
 _COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
-_HISTOGRAMS = "classes array<bigint>, common array<bigint>"
 
+def _histograms(table: np.ndarray, slot: dict[bytes, int], text: bytes) -> tuple[list[int], list[int]]:
+    """Code points per class and words per common word (the last number: all others)."""
+    per_class = np.bincount(table[np.frombuffer(text, dtype=np.uint8)], minlength=len(CLASSES) + 1)[:-1]
+    common = [0] * (len(slot) + 1)
+    for w, n in Counter(text.lower().split()).items():
+        common[slot.get(w, len(slot))] += n
+    return per_class.tolist(), common
 
-def _measure(kind: str):
-    """Column function: text -> counts and histograms, or histograms only (``kind='histograms'``)."""
-    counts = kind == "counts"
-    table, slot = _class_table(), {w.encode(): i for i, w in enumerate(VOCABULARY)}
-    rest = len(slot)
 
-    @F.arrow_udf(f"struct<{_COUNTS.replace(' ', ':').replace(',:', ', ')}, classes:array<bigint>, common:array<bigint>>"
-                 if counts else "struct<classes:array<bigint>, common:array<bigint>>")
-    def measure(texts: pa.Array) -> pa.Array:
+def _tools() -> tuple[np.ndarray, dict[bytes, int]]:
+    return _class_table(), {w.encode(): i for i, w in enumerate(VOCABULARY)}
+
+
+def _shares(text: Column) -> Column:
+    """Both histograms as whole shares of ``SCALE``; all zero below the length guards."""
+    table, slot = _tools()
+
+    @F.arrow_udf("struct<classes:array<bigint>, common:array<bigint>>")
+    def shares(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.to_pylist():
-            b = (t or "").encode("utf-8", "surrogatepass")
-            per_class = np.bincount(table[np.frombuffer(b, dtype=np.uint8)], minlength=len(CLASSES) + 1)[:-1]
-            words = b.split()
-            common = [0] * (rest + 1)
-            for w, n in Counter(b.lower().split()).items():
-                common[slot.get(w, rest)] += n
-            row = {"classes": per_class.tolist(), "common": common}
-            if counts:
-                lines = [x for x in b.split(b"\n") if x.strip()]
-                row |= {"n_words": len(words), "word_chars": int(per_class.sum() - per_class[3]),
-                        "n_symbols": int(per_class[4]), "n_dup_lines": len(lines) - len(set(lines)),
-                        "n_repeat_words": repeated_words(words)}
-            rows.append(row)
-        return pa.array(rows, type=_arrow_type(counts))
+            both = _histograms(table, slot, (t or "").encode("utf-8", "surrogatepass"))
+            rows.append({name: [SCALE * x // n for x in hist] if (n := sum(hist)) >= least else [0] * len(hist)
+                         for name, hist, least in zip(("classes", "common"), both, (MIN_CHARS_JUDGED, MIN_WORDS_JUDGED))})
+        return pa.array(rows, type=pa.struct([("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))]))
 
-    return measure
+    return shares(text)
 
 
-def _arrow_type(counts: bool) -> pa.DataType:
-    fields = [(n.split()[0], pa.int64()) for n in _COUNTS.split(", ")] if counts else []
-    return pa.struct([*fields, ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))])
+def _measures(text: Column) -> Column:
+    """The counts, and both histograms as shares; NULL below the length guards."""
+    table, slot = _tools()
+    names = [n.split()[0] for n in _COUNTS.split(", ")]
+    share = pa.list_(pa.float64())
 
+    @F.arrow_udf("struct<" + ", ".join(f"{n}:bigint" for n in names) + ", classes:array<double>, common:array<double>>")
+    def measures(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            b = (t or "").encode("utf-8", "surrogatepass")
+            classes, common = _histograms(table, slot, b)
+            words, lines, chars = b.split(), [x for x in b.split(b"\n") if x.strip()], sum(classes)
+            rows.append({
+                "n_words": len(words), "word_chars": chars - classes[3], "n_symbols": classes[4],
+                "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeated_words(words),
+                "classes": [x / chars for x in classes] if chars >= MIN_CHARS_JUDGED else None,
+                "common": [x / len(words) for x in common] if len(words) >= MIN_WORDS_JUDGED else None})
+        return pa.array(rows, type=pa.struct([*((n, pa.int64()) for n in names), ("classes", share), ("common", share)]))
 
-def _total(hist: Column) -> Column:
-    return F.aggregate(hist, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return measures(text)
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -116,31 +128,27 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     A document counts once, whatever its length. Sums are partial in each task before they are shuffled, so a language
     with most of the rows costs no more than another. NULL languages form a group of their own.
     """
-    h = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), _measure("histograms")(text_of(text)).alias("_h"))
-    sides = {"classes": (len(CLASSES), MIN_CHARS_JUDGED), "common": (len(VOCABULARY) + 1, MIN_WORDS_JUDGED)}
-    sums = []
-    for name, (n, least) in sides.items():
-        hist = F.col(f"_h.{name}")
-        total = _total(hist)
-        for i in range(n):
-            share = F.when(total >= least, F.floor(hist[i] * SCALE / total)).otherwise(0)
-            sums.append(F.sum(share).cast("bigint").alias(f"_{name}{i}"))
+    h = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), _shares(text_of(text)).alias("_h"))
+    sides = {"classes": len(CLASSES), "common": len(VOCABULARY) + 1}
+    sums = [F.sum(F.col(f"_h.{name}")[i]).alias(f"_{name}{i}") for name, n in sides.items() for i in range(n)]
     out = h.groupBy("_lang").agg(*sums)
-    return out.select("_lang", *(F.array(*[f"_{name}{i}" for i in range(n)]).alias(f"_ref_{name}")
-                                 for name, (n, _) in sides.items()))
 
+    out = out.select("_lang", *(F.array(*[f"_{name}{i}" for i in range(n)]).alias(name) for name, n in sides.items()))
 
-def jensen_shannon(p: Column, q: Column) -> Column:
-    """Distance (root of the divergence in bits, 0 to 1) of two histograms of the same length; NULL if one is empty."""
-    def normal(h: Column) -> Column:
-        return F.transform(h, lambda x: x / _total(h))
+    def mean(name: str) -> Column:
+        total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.when(total > 0, F.transform(name, lambda x: x / total)).alias(f"_ref_{name}")
+
+    return out.select("_lang", *(mean(name) for name in sides))
 
+
+def jensen_shannon(p: Column, q: Column) -> Column:
+    """Distance (root of the divergence in bits, 0 to 1) of two arrays of shares; NULL if either is."""
     def term(x: Column, y: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
-    both = F.zip_with(normal(p), normal(q), lambda x, y: term(x, y) + term(y, x))
-    distance = F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
-    return F.when((_total(p) > 0) & (_total(q) > 0), distance)
+    both = F.zip_with(p, q, lambda x, y: term(x, y) + term(y, x))
+    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", references: DataFrame | None = None,
@@ -155,11 +163,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
     are those of ``docs`` itself.
     """
     refs = language_references(docs, text, lang) if references is None else references
-    d = docs.withColumn("_m", _measure("counts")(text_of(text))).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
+    d = docs.withColumn("_m", _measures(text_of(text))).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
     d = d.join(refs, "_lang", "left")  # a row per language: Spark measures it and broadcasts it
     m = F.col("_m")
-    class_distance = F.when(_total(m["classes"]) >= MIN_CHARS_JUDGED, jensen_shannon(m["classes"], F.col("_ref_classes")))
-    word_distance = F.when(m["n_words"] >= MIN_WORDS_JUDGED, jensen_shannon(m["common"], F.col("_ref_common")))
+    class_distance = jensen_shannon(m["classes"], F.col("_ref_classes"))
+    word_distance = jensen_shannon(m["common"], F.col("_ref_common"))
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     counts = [n.split()[0] for n in _COUNTS.split(", ")]
     d = d.withColumn("_quality", F.struct(*(m[c].alias(c) for c in counts), failed.alias("base_failed"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, factorisation, html_text, mixing, quality, secrets, simhash, url_filter, word_windows
+from . import byte_windows, decontamination, factorisation, html_text, mixing, quality, secrets, simhash, url_filter, word_windows
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -151,3 +151,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("_repeats")
     return d.select("doc_id", r["n_words"].alias("n_words"), r["n_removed"].alias("n_removed"),
                     F.sha2(r["kept"], 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = byte_windows.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = F.col("_repeats")
+    return d.select("doc_id", r["n_bytes"].alias("n_bytes"), r["n_removed"].alias("n_removed"),
+                    F.size(r["spans"]).cast("bigint").alias("n_spans"), F.sha2(r["kept"], 256).alias("kept_sha256"))

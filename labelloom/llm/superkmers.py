@@ -40,12 +40,14 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Runs:
-    """Super-k-mers of some documents: row of the document, first window, number of windows, minimiser."""
+    """Super-k-mers of some documents: row of the document, first window, number of windows, minimiser, and whether the
+    minimiser occurs in the string more than once (only then may the string repeat one of its own windows)."""
 
     row: np.ndarray
     start: np.ndarray
     n: np.ndarray
     value: np.ndarray
+    twice: np.ndarray
 
 
 @dataclass(frozen=True)
@@ -74,33 +76,40 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def runs_of(sizes: np.ndarray, pieces: np.ndarray, k: int, m: int) -> Runs:
-    """``pieces``: hash of the m units at each flat position of the concatenated texts."""
+def runs_of(sizes: np.ndarray, pieces: np.ndarray, k: int, m: int, within: bool) -> Runs:
+    """``pieces``: hash of the m units at each flat position of the concatenated texts. ``twice`` is left out (False)
+    unless ``within``."""
     windows = np.maximum(sizes - k + 1, 0)
     total = int(windows.sum())
     none = np.empty(0, np.int64)
     if not total:
-        return Runs(none, none, none, none.view(_U))
+        return Runs(none, none, none, none.view(_U), none.astype(bool))
     least = sliding_min(pieces, k - m + 1)
     row = np.repeat(np.arange(len(sizes)), windows)
     before = np.cumsum(windows) - windows
     in_row = np.arange(total) - np.repeat(before, windows)
-    value = least[in_row + np.repeat(np.cumsum(sizes) - sizes, windows)]
+    flat = in_row + np.repeat(np.cumsum(sizes) - sizes, windows)
+    value = least[flat]
     new = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1]))))
-    return Runs(row[new], in_row[new], np.diff(np.append(new, total)), value[new])
+    n = np.diff(np.append(new, total))
+    twice = np.zeros(len(new), dtype=bool)
+    if within:
+        # places of the minimiser: those that start one of the run's windows but the last, then those in the last window
+        leads = np.cumsum(np.concatenate(([0], pieces[flat] == value)))
+        end = new + n - 1
+        inside = pieces[flat[end][:, None] + np.arange(k - m + 1)] == value[end][:, None]
+        twice = leads[end] - leads[new] + inside.sum(axis=1) > 1
+    return Runs(row[new], in_row[new], n, value[new], twice)
 
 
 def _repeated(texts: DataFrame, units: Units, within: bool) -> DataFrame:
     """(h): minimisers of at least two documents, or (``within``) of two places."""
-    width = units.k - units.m + 1
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sizes, pieces, _ in units.chunks(batch.column(0)):
-                r = runs_of(sizes, pieces, units.k, units.m)
+                r = runs_of(sizes, pieces, units.k, units.m, within)
                 if within:
-                    # more windows than a piece can lead: the minimiser occurs in the run twice
-                    h, times = r.value, 1 + (r.n > width)
+                    h, times = r.value, 1 + r.twice
                 else:
                     order = np.lexsort((r.row, r.value))
                     h, row = r.value[order], r.row[order]
@@ -130,10 +139,10 @@ def _bitmap(values: DataFrame) -> np.ndarray:
 
 
 _STRINGS = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()),
-                      ("start", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
+                      ("start", pa.int64()), ("n", pa.int64()), ("twice", pa.bool_()), ("packed", pa.binary())])
 
 
-def _cut(texts: DataFrame, units: Units, bitmap: np.ndarray) -> DataFrame:
+def _cut(texts: DataFrame, units: Units, bitmap: np.ndarray, within: bool) -> DataFrame:
     """The super-k-mers whose minimiser the bitmap has, packed, with a 128-bit digest."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
     last = _U(len(bitmap) * 8 - 1)
@@ -143,7 +152,7 @@ def _cut(texts: DataFrame, units: Units, bitmap: np.ndarray) -> DataFrame:
         for batch in batches:
             docs, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, sizes, pieces, pack in units.chunks(batch.column(0)):
-                r = runs_of(sizes, pieces, units.k, units.m)
+                r = runs_of(sizes, pieces, units.k, units.m, within)
                 at = (r.value & last).astype(np.int64)
                 keep = np.flatnonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 if not len(keep):
@@ -154,10 +163,10 @@ def _cut(texts: DataFrame, units: Units, bitmap: np.ndarray) -> DataFrame:
                 digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), dtype=np.int64).reshape(-1, 2)
                 yield pa.record_batch(
                     [pa.array(r.value[keep].view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-                     pa.array(docs[first + row]), pa.array(tags[first + row]), pa.array(start), pa.array(n),
+                     pa.array(docs[first + row]), pa.array(tags[first + row]), pa.array(start), pa.array(n), pa.array(r.twice[keep]),
                      pa.array(packed, pa.binary())], schema=_STRINGS)
 
-    ddl = ("h bigint, d1 bigint, d2 bigint, doc bigint, tag bigint, start bigint, n bigint, packed binary")
+    ddl = ("h bigint, d1 bigint, d2 bigint, doc bigint, tag bigint, start bigint, n bigint, twice boolean, packed binary")
     return texts.select("_bytes", "doc", "tag").mapInArrow(cut, ddl)
 
 
@@ -183,34 +192,32 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
 
     Earlier: in a document with a smaller key or, if ``within``, at an earlier place of the same document. ``doc`` is the
     key (``LAST_ID`` if NULL), ``tag`` the xxhash64 of the text. ``settle`` maps one bucket's (minimiser, doc, start, number
-    of windows, packed string) to the flags of the windows found in earlier strings; ``one_window`` is the Column of the
+    of windows, ``twice``, packed string) to the flags of the windows found in earlier strings; ``one_window`` is the Column of the
     ith window of a packed string, for minimisers with more than ``most_strings`` distinct strings.
     """
     texts = docs.select(text_of(text).cast("binary").alias("_bytes"),
                         F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID)).alias("doc"),
                         F.xxhash64(text_of(text)).alias("tag"))
     bitmap = _bitmap(staged(_repeated(texts, units, within)))
-    cut = staged(_cut(texts, units, bitmap))
+    cut = staged(_cut(texts, units, bitmap, within))
     order = _place() if within else F.col("doc")
-    whole = cut.withColumn("_order", order).groupBy("h", "d1", "d2", "n", "packed").agg(F.min("_order").alias("first"))
+    whole = cut.withColumn("_order", order).groupBy("h", "d1", "d2", "n", "twice", "packed").agg(F.min("_order").alias("first"))
     if within:
         doc = F.floor(F.col("first") / F.lit(_PLACE).cast("decimal(20,0)")).cast("bigint")
         start = (F.col("first") - doc.cast("decimal(38,0)") * F.lit(_PLACE).cast("decimal(20,0)")).cast("bigint")
-        whole = whole.select("h", "d1", "d2", "n", "packed", doc.alias("doc"), start.alias("start"))
+        whole = whole.select("h", "d1", "d2", "n", "twice", "packed", doc.alias("doc"), start.alias("start"))
     else:
-        whole = whole.select("h", "d1", "d2", "n", "packed", F.col("first").alias("doc"), F.lit(0).cast("bigint").alias("start"))
+        whole = whole.select("h", "d1", "d2", "n", "twice", "packed", F.col("first").alias("doc"), F.lit(0).cast("bigint").alias("start"))
     whole = staged(whole)
-    width = units.k - units.m + 1
-    # a run longer than a piece can lead may repeat itself
-    need = F.max(F.col("n") > width) if within else F.lit(False)
-    counts = staged(whole.groupBy("h").agg(F.count("*").alias("_k"), need.alias("_self")).filter("_k > 1 or _self"))
+    counts = whole.groupBy("h").agg(F.count("*").alias("_k"), F.bool_or("twice").alias("_self"))
+    counts = staged(counts.filter("_k > 1 or _self"))
     few, many = counts.filter(F.col("_k") <= most_strings), counts.filter(F.col("_k") > most_strings)
     n_few = few.agg(F.sum("_k")).first()[0] or 0
     buckets = max(1, -(-n_few // BUCKET_STRINGS))
 
     def bucket(table: pa.Table) -> pa.Table:
         h, doc, start, n = (table.column(c).to_numpy() for c in ("h", "doc", "start", "n"))
-        flags = settle(h, doc, start, n, table.column("packed").to_pylist())
+        flags = settle(h, doc, start, n, table.column("twice").to_numpy(), table.column("packed").to_pylist())
         hit = [i for i, f in enumerate(flags) if f is not None and f.any()]
         some = table.take(pa.array(hit, pa.int64()))
         return pa.table({"h": some.column("h"), "d1": some.column("d1"), "d2": some.column("d2"),

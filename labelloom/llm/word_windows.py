@@ -56,7 +56,8 @@ def _units(k: int, m: int) -> Units:
 
 def _settle(k: int):
     """Flags of the windows that start in a string of a smaller document, by sorting all windows of a bucket."""
-    def settle(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, packed: list[bytes]) -> list[np.ndarray]:
+    def settle(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, twice: np.ndarray,
+               packed: list[bytes]) -> list[np.ndarray]:
         words = [p.split(b" ") for p in packed]
         number: dict[bytes, int] = {}
         ids = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), dtype=np.int64)

@@ -251,7 +251,7 @@ def _merged(results: list[DataFrame]) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without an exact benchmark passage, with the columns they came with."""
     found = contamination(docs, benchmark, key, text, **options).filter("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("_key"), F.col("digest").alias("_other")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_other"))
-    return (docs.withColumn("_digest", F.xxhash64(text_of(text))).join(found, same, "left_anti")
+    found = found.select(F.col("doc_id").alias("__key"), F.col("digest").alias("__other")).distinct()
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__other"))
+    return (docs.withColumn("__digest", F.xxhash64(text_of(text))).join(found, same, "left_anti")
             .select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -81,40 +81,40 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id",
     NULL text as empty; rows without a key are shuffled by their text; repeated keys are placed one after another; an
     empty table gives an empty result. Columns of these names that exist already are replaced.
     """
-    d = docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    d = d.withColumn("_chars", F.length(text_of(text)).cast("bigint"))
+    d = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    d = d.withColumn("__chars", F.length(text_of(text)).cast("bigint"))
     ident = F.coalesce(F.col(key).cast("string"), F.md5(text_of(text)))
-    d = d.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), ident)))
+    d = d.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), ident)))
     rows = docs.count()
     digits = 1
     while rows > BUCKET_ROWS * 16 ** digits:
         digits += 1
-    d = d.withColumn("_b", F.substring("_h", 1, digits))
+    d = d.withColumn("__b", F.substring("__h", 1, digits))
 
-    per_bucket = d.groupBy("_source", "_b").agg(F.sum("_chars").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_b")) - F.col("_n")
-    offsets = per_bucket.select("_source", "_b", before.alias("_before"))
-    totals = per_bucket.groupBy("_source").agg(F.sum("_n").alias("_total"))
+    per_bucket = d.groupBy("__source", "__b").agg(F.sum("__chars").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__source").orderBy("__b")) - F.col("__n")
+    offsets = per_bucket.select("__source", "__b", before.alias("__before"))
+    totals = per_bucket.groupBy("__source").agg(F.sum("__n").alias("__total"))
     if weights is None:
-        weight = F.floor(F.sqrt(F.col("_total").cast("double")))
-        weights = totals.select(F.col("_source").alias("source"), weight.alias("weight"))
+        weight = F.floor(F.sqrt(F.col("__total").cast("double")))
+        weights = totals.select(F.col("__source").alias("source"), weight.alias("weight"))
     else:
-        given = weights.select(F.coalesce(F.col("source"), F.lit("")).alias("_source"), "weight")
-        weights = totals.join(given, "_source", "left").select(F.col("_source").alias("source"), "weight")
+        given = weights.select(F.coalesce(F.col("source"), F.lit("")).alias("__source"), "weight")
+        weights = totals.join(given, "__source", "left").select(F.col("__source").alias("source"), "weight")
     slots = cycle_slots(weights, cycle)
-    turns = earliest_deadline_first(slots, cycle).join(slots, "source").withColumnRenamed("source", "_source")
+    turns = earliest_deadline_first(slots, cycle).join(slots, "source").withColumnRenamed("source", "__source")
 
-    inside = Window.partitionBy("_source", "_b").orderBy("_h", "_chars", key).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_inside", F.sum("_chars").over(inside) - F.col("_chars")).join(offsets, ["_source", "_b"])
-    d = d.withColumn("start", F.col("_before") + F.col("_inside"))
+    inside = Window.partitionBy("__source", "__b").orderBy("__h", "__chars", key).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__inside", F.sum("__chars").over(inside) - F.col("__chars")).join(offsets, ["__source", "__b"])
+    d = d.withColumn("start", F.col("__before") + F.col("__inside"))
     d = d.withColumn("block", F.floor(F.col("start") / block_chars).cast("bigint"))
     # one row per slot of the cycle at most: small by construction
-    d = d.join(F.broadcast(slots.select(F.col("source").alias("_source"), "slots")), "_source")
-    d = d.withColumn("nth", F.col("block") % F.col("slots")).withColumn("_round", F.floor(F.col("block") / F.col("slots")))
-    d = d.join(F.broadcast(turns.select("_source", "nth", F.col("slot").alias("_slot"))), ["_source", "nth"])
-    at = F.col("_round") * cycle
+    d = d.join(F.broadcast(slots.select(F.col("source").alias("__source"), F.col("slots").alias("__slots"))), "__source")
+    d = d.withColumn("__nth", F.col("block") % F.col("__slots")).withColumn("__round", F.floor(F.col("block") / F.col("__slots")))
+    d = d.join(F.broadcast(turns.select("__source", F.col("nth").alias("__nth"), F.col("slot").alias("__slot"))), ["__source", "__nth"])
+    at = F.col("__round") * cycle
     return d.select(
         *(F.col(f"`{c}`") for c in docs.columns if c not in ("block", "release", "deadline", "slot", "start")), "block",
-        (at + F.floor(F.col("nth") * cycle / F.col("slots"))).cast("bigint").alias("release"),
-        (at + F.ceil((F.col("nth") + 1) * cycle / F.col("slots"))).cast("bigint").alias("deadline"),
-        (at + F.col("_slot")).cast("bigint").alias("slot"), F.col("start").cast("bigint").alias("start"))
+        (at + F.floor(F.col("__nth") * cycle / F.col("__slots"))).cast("bigint").alias("release"),
+        (at + F.ceil((F.col("__nth") + 1) * cycle / F.col("__slots"))).cast("bigint").alias("deadline"),
+        (at + F.col("__slot")).cast("bigint").alias("slot"), F.col("start").cast("bigint").alias("start"))

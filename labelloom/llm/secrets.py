@@ -146,7 +146,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
 
     Texts without secrets are unchanged (NULL stays NULL). ``n_chars``, if the column exists, follows the new text.
     """
-    spans = "_secrets"
+    spans = "__secrets"
     found = find_secrets(docs, text, spans, **options)
     empty = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 

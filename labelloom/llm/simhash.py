@@ -202,8 +202,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     """
     found = near_duplicates(docs, key, text, **options)
     kept = found.filter(F.col("component_id").isNull() | (F.col(key) == F.col("component_id")))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_other"))
-    kept = kept.select(F.col(key).alias("_key"), F.col("digest").alias("_other")).distinct()
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__other"))
+    kept = kept.select(F.col(key).alias("__key"), F.col("digest").alias("__other")).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return (docs.withColumn("_digest", F.xxhash64(text_of(text))).join(kept, same, "left_semi")
-            .dropDuplicates([key, "_digest"]).select(*columns))
+    return (docs.withColumn("__digest", F.xxhash64(text_of(text))).join(kept, same, "left_semi")
+            .dropDuplicates([key, "__digest"]).select(*columns))

@@ -24,12 +24,8 @@ def span_records_to_table(records: DataFrame) -> DataFrame:
 
 def convert_span_corpus(spark: SparkSession, train_path: str, test_path: str, out: str) -> None:
     """Train rows then test rows; an absent file counts as empty."""
-    parts = []
-    for order, (split, path) in enumerate((("train", train_path), ("test", test_path))):
-        df = span_records_to_table(R.read_json_any(spark, path, RECORD, missing_ok=True))
-        parts.append(df.withColumns({"split": F.lit(split), "_order": F.lit(order)}))
-    both = parts[0].unionByName(parts[1])
-    S.write_tsv(both.select(TEXT, LABEL), out)
+    parts = [span_records_to_table(R.read_json_any(spark, path, RECORD, missing_ok=True)) for path in (train_path, test_path)]
+    S.write_tsv(parts[0].unionByName(parts[1]).select(TEXT, LABEL), out)
 
 
 def harmless_rows(records: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
@@ -41,7 +37,7 @@ def harmless_rows(records: DataFrame, text: str = "text", label: str = "label")
 
 def convert_harmless_corpus(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Writes the table; returns the quarantined lines. An array file has to parse as a whole."""
-    records = R.read_json_any(spark, path, "text string, label int", strict_arrays=True)
+    records = R.read_json_any(spark, path, "text string, label string")
     S.write_tsv(harmless_rows(records), out)
     return R.bad_lines(spark, path)
 

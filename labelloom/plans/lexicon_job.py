@@ -18,8 +18,8 @@ def run(spark: SparkSession, lexicon_path: str, corpus_path: str, out: str,
     corpus = corpus.withColumn("row_key", F.monotonically_increasing_id())
     staged = X.lexicon_with_stages(R.read_lexicon(spark, lexicon_path), corpus, min_hits=min_hits)
     staged = staged.persist(StorageLevel.MEMORY_AND_DISK)  # lexicon-sized; read three times
-    cleaned = X.clean_lexicon(staged).select("term", "definition", "category")
-    S.write_lexicon(cleaned, out)
+    cleaned = X.clean_lexicon(staged).select("term", "definition", "category", "ordinal", "entry")
+    S.write_lexicon(cleaned, out, R.read_lexicon_head(spark, lexicon_path))
     return {
         "funnel": X.funnel(staged),
         "coverage": X.coverage(corpus, "sentence", "label", cleaned, "row_key"),

@@ -7,9 +7,10 @@ where a reader says so.
 from __future__ import annotations
 
 from collections.abc import Sequence
+import json
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import null_tokens, py_strip
 from ..operators.ranking import row_ordinal
@@ -90,22 +91,26 @@ def read_headerless_tsv(spark: SparkSession, path, names: Sequence[str] = ("sent
     return df.filter(~headerish)
 
 
-def _is_array_file(spark: SparkSession, path: str) -> bool:
-    """First non-blank character of the file's head is ``[``. Reads a few bytes, not the file."""
+# blanks of JSON and the byte-order mark
+_LEAD = r" \t\r\n\uFEFF"
+
+
+def _scanner(spark: SparkSession, path: str):
     fs, p = file_system(spark, path)
-    stream = fs.open(p)
+    return spark._jvm.java.util.Scanner(fs.open(p), "UTF-8")
+
+
+def _first_character(spark: SparkSession, path: str) -> str:
+    """The file's first character that is no blank; '' if there is none. Reads up to it, however far that is."""
+    scanner = _scanner(spark, path)
     try:
-        head = bytearray()
-        while len(head) < 2048:
-            b = stream.read()
-            if b < 0:
-                break
-            head.append(b)
-            if head.strip(b" \t\r\n\xef\xbb\xbf"):
-                break
+        return scanner.findWithinHorizon(f"[^{_LEAD}]", 0) or ""
     finally:
-        stream.close()
-    return head.strip(b" \t\r\n\xef\xbb\xbf").startswith(b"[")
+        scanner.close()
+
+
+def _is_array_file(spark: SparkSession, path: str) -> bool:
+    return _first_character(spark, path) == "["
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
@@ -121,89 +126,129 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _array_file_objects(spark: SparkSession, paths: list[str], strict: bool) -> DataFrame:
-    """One row ``json`` per object of whole-file JSON arrays; other elements are dropped."""
-    text = spark.read.text(paths, wholetext=True)
-    parse = F.parse_json if strict else F.try_parse_json
-    items = F.variant_get(parse("value"), "$", "array<variant>")
-    element = text.select(F.explode(items).alias("v"))
-    return element.filter(F.schema_of_variant("v").startswith("OBJECT")).select(F.to_json("v").alias("json"))
+def without_mark(col: str) -> Column:
+    return F.regexp_replace(col, "^\uFEFF", "")
+
 
+def array_objects(texts: DataFrame, col: str = "value", strict: bool = True) -> DataFrame:
+    """Whole JSON arrays in ``col`` -> one row ``json`` per element that is an object; other elements are dropped.
 
-def _jsonl_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
+    A text that is no array is an error, or gives no rows if not ``strict``.
+    """
+    items = F.from_json(without_mark(col), "array<string>", {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+    return texts.select(F.explode(items).alias("json")).filter(F.col("json").startswith("{"))
+
+
+def _is_one_object(col: str) -> Column:
+    """The text is one JSON object and nothing else."""
+    inside = F.from_json(F.concat(F.lit("["), col, F.lit("]")), "array<string>")
+    return F.coalesce(F.col(col).startswith("{") & (F.size(inside) == 1), F.lit(False))
+
+
+def line_objects(lines: DataFrame, col: str = "value") -> DataFrame:
     """One row ``json`` per line that is a JSON object; blank, bad and other lines are dropped."""
-    lines = spark.read.text(paths).select(py_strip("value").alias("json")).filter(F.col("json").startswith("{"))
-    return lines.filter(F.try_parse_json("json").isNotNull())
+    return lines.select(py_strip(without_mark(col)).alias("json")).filter(_is_one_object("json"))
+
+
+def broken_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+    """The lines that are neither blank nor JSON."""
+    json = py_strip(without_mark(col))
+    parsed = F.from_json(F.concat(F.lit("["), json, F.lit("]")), "array<string>")
+    return lines.filter((json != "") & (F.coalesce(F.size(parsed), F.lit(0)) != 1))
+
+
+def _last_of_each_key(record: Column) -> Column:
+    """A map whose repeated keys keep their last value."""
+    entries = F.map_entries(record)
+    later = lambda i: F.slice(entries, i + 2, F.size(entries))
+    kept = F.filter(entries, lambda e, i: ~F.exists(later(i), lambda x: x["key"] == e["key"]))
+    keys = F.map_keys(record)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), record).otherwise(F.map_from_entries(kept))
 
 
-def _typed(objects: DataFrame, schema: str | T.DataType) -> DataFrame:
-    """``json`` -> typed columns, or one ``record`` column for a map schema."""
+def typed_objects(objects: DataFrame, schema: str | T.DataType) -> DataFrame:
+    """``json`` -> typed columns, or one ``record`` column for a map schema; of a repeated key the last value counts."""
     parsed = objects.select(F.from_json("json", schema if isinstance(schema, str) else schema.json()).alias("record"))
-    is_map = isinstance(parsed.schema["record"].dataType, T.MapType)
-    return parsed if is_map else parsed.select("record.*")
+    if isinstance(parsed.schema["record"].dataType, T.MapType):
+        return parsed.select(_last_of_each_key(F.col("record")).alias("record"))
+    return parsed.select("record.*")
 
 
 def read_json_any(spark: SparkSession, path: str, schema: str, missing_ok: bool = False,
-                  strict_arrays: bool = False, fmt: str = "auto") -> DataFrame:
+                  strict_arrays: bool = True, fmt: str = "auto") -> DataFrame:
     """JSON-array files and JSONL files, told apart by their first non-blank character.
 
-    Bad lines and elements that are not objects are dropped. ``schema`` is DDL, or a map type such
-    as ``map<string,string>`` for records with varying keys (one ``record`` column). ``missing_ok``
-    turns an absent path into an empty frame; ``strict_arrays`` makes an array file that does not
-    parse an error. ``fmt="lines"`` or ``"array"`` skips the look into every file, for directories of
-    very many files; lines are split across tasks, an array file is one task's work.
+    Bad lines and elements that are not objects are dropped; an array file that does not parse is an error, unless
+    ``strict_arrays`` is off. ``schema`` is DDL, or a map type such as ``map<string,string>`` for records with varying keys
+    (one ``record`` column). ``missing_ok`` turns an absent path into an empty frame. ``fmt="lines"`` or ``"array"`` skips
+    the look into every file, for directories of very many files; lines are split across tasks, an array file is one
+    task's work.
     """
     files = _files(spark, path)
     if not files:
         if missing_ok:
-            return _typed(spark.createDataFrame([], "json string"), schema)
+            return typed_objects(spark.createDataFrame([], "json string"), schema)
         raise FileNotFoundError(path)
     if fmt == "auto":
         arrays = [f for f in files if _is_array_file(spark, f)]
     else:
         arrays = files if fmt == "array" else []
-    lines = [f for f in files if f not in set(arrays)]
-    parts = []
+    return typed_objects(_objects(spark, arrays, [f for f in files if f not in set(arrays)], strict_arrays), schema)
+
+
+def _objects(spark: SparkSession, arrays: list[str], lines: list[str], strict: bool = True) -> DataFrame:
+    out = spark.createDataFrame([], "json string")
     if arrays:
-        parts.append(_array_file_objects(spark, arrays, strict_arrays))
+        out = out.unionByName(array_objects(spark.read.text(arrays, wholetext=True), strict=strict))
     if lines:
-        parts.append(_jsonl_objects(spark, lines))
-    return _typed(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), schema)
+        out = out.unionByName(line_objects(spark.read.text(lines)))
+    return out
 
 
 def read_records_or_single(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """As ``read_json_any``, but a file holding one (pretty-printed) object is one row and a missing file none."""
-    files = _files(spark, path)
-    singles = [f for f in files if not _is_array_file(spark, f) and _is_single_object(spark, f)]
-    rest = [f for f in files if f not in set(singles)]
-    parts = []
+    """As ``read_json_any``, but a file holding one (pretty-printed) object is one row, a missing file none, and an array
+    file that does not parse is read as lines."""
+    arrays, lines, singles = [], [], []
+    for f in _files(spark, path):
+        first = _first_character(spark, f)
+        (arrays if first == "[" else singles if first == "{" and _spans_lines(spark, f) else lines).append(f)
+    if arrays:
+        whole = spark.read.text(arrays, wholetext=True).select(
+            F.col("_metadata.file_path").alias("f"),
+            F.from_json(without_mark("value"), "array<string>").isNull().alias("bad"))
+        bad = {r["f"] for r in whole.filter("bad").collect()}  # names of files
+        as_lines = [f for f in arrays if any(f.rpartition("/")[2] == b.rpartition("/")[2] for b in bad)]
+        arrays, lines = [f for f in arrays if f not in as_lines], lines + as_lines
+    out = _objects(spark, arrays, lines)
     if singles:
-        whole = spark.read.text(singles, wholetext=True).select(F.col("value").alias("json"))
-        parts.append(_typed(whole, schema))
-    for f in rest:
-        parts.append(read_json_any(spark, f, schema))
-    if not parts:
-        return read_json_any(spark, path, schema, missing_ok=True)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        whole = spark.read.text(singles, wholetext=True).select(py_strip(without_mark("value")).alias("json"))
+        out = out.unionByName(whole.filter(_is_one_object("json")))
+    return typed_objects(out, schema)
 
 
-def _is_single_object(spark: SparkSession, path: str) -> bool:
-    """The file's first line is not a complete JSON value, so the object spans lines."""
-    first = spark.read.text(path).filter(py_strip("value") != "").select(
-        F.try_parse_json("value").isNull().alias("open")
-    ).first()
-    return bool(first and first["open"]) and not spark.read.text(path, wholetext=True).select(
-        F.try_parse_json("value").isNotNull().alias("ok")
-    ).filter("ok").isEmpty()
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """The file's first non-blank line is not a complete JSON value."""
+    scanner = _scanner(spark, path)
+    try:
+        while scanner.hasNextLine():
+            line = scanner.nextLine().lstrip("\ufeff").strip()
+            if line:
+                json.loads(line)
+                return False
+        return False
+    except json.JSONDecodeError:
+        return True
+    finally:
+        scanner.close()
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line`` of the JSONL lines that do not parse (the quarantine of ``read_json_any``)."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    return lines.filter((py_strip("line") != "") & F.try_parse_json("line").isNull())
+    """``file, line`` of the lines of JSONL files that do not parse; array files have no lines."""
+    files = [f for f in _files(spark, path) if not _is_array_file(spark, f)]
+    if not files:
+        return spark.createDataFrame([], "file string, line string")
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return broken_lines(lines, "line")
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -244,13 +289,36 @@ def read_exclusions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out.distinct()
 
 
-LEXICON_SCHEMA = "terms array<struct<term:string,definition:string,category:string>>"
+LEXICON_FIELDS = "term string, definition string, category string"
+
+
+def lexicon_terms(documents: DataFrame, col: str = "value") -> DataFrame:
+    """Lexicon documents -> ``term, definition, category, ordinal, entry``: one row per entry with a non-blank term.
+
+    ``ordinal`` is the entry's place and ``entry`` the whole of it, so that ``write_lexicon`` loses no field and no order.
+    """
+    terms = F.from_json(without_mark(col), "terms array<string>")["terms"]
+    rows = documents.select(F.posexplode(terms).alias("ordinal", "entry")).filter(F.col("entry").startswith("{"))
+    rows = rows.withColumn("t", F.from_json("entry", LEXICON_FIELDS))
+    return rows.select("t.*", F.col("ordinal").cast("bigint").alias("ordinal"), "entry").filter(
+        py_strip(F.coalesce("term", F.lit(""))) != "")
+
+
+def lexicon_head(documents: DataFrame, col: str = "value") -> DataFrame:
+    """``head``: the other top-level keys of each document as one JSON object."""
+    keys = F.from_json(without_mark(col), "map<string,variant>")
+    return documents.select(F.coalesce(F.to_json(F.map_filter(keys, lambda k, v: k != "terms")), F.lit("{}")).alias("head"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """``term, definition, category``: one row per entry with a non-blank term."""
-    doc = spark.read.schema(LEXICON_SCHEMA).option("multiLine", True).json(path)
-    return doc.select(F.inline("terms")).filter(py_strip(F.coalesce("term", F.lit(""))) != "")
+    """``term, definition, category, ordinal, entry`` of a lexicon file."""
+    return lexicon_terms(spark.read.text(path, wholetext=True))
+
+
+def read_lexicon_head(spark: SparkSession, path: str) -> dict:
+    """Top-level keys of a lexicon file other than its terms."""
+    row = lexicon_head(spark.read.text(path, wholetext=True)).first()
+    return json.loads(row["head"]) if row else {}
 
 
 def read_prompt(spark: SparkSession, path: str) -> str:

@@ -123,20 +123,30 @@ def write_metrics(df: DataFrame, path: str, first: str = "prompt_name") -> None:
     write_tsv(df.select(first, *[F.col(f"`{c}`") for c in df.columns if c != first]), path)
 
 
-def write_lexicon(terms: DataFrame, path: str, other: dict | None = None, bytes_limit: int = 256 << 20) -> None:
-    """One JSON object: the other top-level keys unchanged, ``terms`` replaced.
+def lexicon_document(terms: DataFrame, other: dict | None = None) -> DataFrame:
+    """``value``: one JSON object, the other top-level keys unchanged and ``terms`` in their order.
 
-    The format is a single document, so its size is checked before it is assembled.
+    ``entry`` (the whole term as read) is written where it exists, and ``ordinal`` gives the order; without them the
+    known fields are written, ordered by their text.
     """
-    entry = F.to_json(F.struct(*[c for c in ("term", "definition", "category") if c in terms.columns]))
+    fields = [c for c in ("term", "definition", "category") if c in terms.columns]
+    entry = F.col("entry") if "entry" in terms.columns else F.to_json(F.struct(*fields))
+    place = F.col("ordinal") if "ordinal" in terms.columns else F.lit(0).cast("bigint")
+    pairs = F.array_sort(F.collect_list(F.struct(place.alias("p"), entry.alias("e"))))
+    head = json.dumps(other or {}, ensure_ascii=False)[:-1]
+    comma = ", " if other else ""
+    listed = F.array_join(F.transform(pairs, lambda x: x["e"]), ",")
+    return terms.agg(F.concat(F.lit(f"{head}{comma}\"terms\": ["), listed, F.lit("]}")).alias("value"))
+
+
+def write_lexicon(terms: DataFrame, path: str, other: dict | None = None, bytes_limit: int = 256 << 20) -> None:
+    """``lexicon_document`` as a file. The format is a single document, so its size is checked before it is assembled."""
+    fields = [c for c in ("term", "definition", "category") if c in terms.columns]
+    entry = F.col("entry") if "entry" in terms.columns else F.to_json(F.struct(*fields))
     size = terms.agg(F.coalesce(F.sum(F.octet_length(entry)), F.lit(0))).first()[0]
     if size > bytes_limit:
         raise ValueError(f"lexicon of {size} bytes is too large for one JSON document")
-    arr = terms.agg(F.sort_array(F.collect_list(entry)).alias("t"))
-    head = json.dumps(other or {}, ensure_ascii=False)[:-1]
-    comma = ", " if other else ""
-    arr.select(F.concat(F.lit(f"{head}{comma}\"terms\": ["), F.array_join("t", ","), F.lit("]}")).alias("value")) \
-        .write.mode("overwrite").text(path)
+    lexicon_document(terms, other).write.mode("overwrite").text(path)
 
 
 def write_run_config(spark: SparkSession, config: dict, path: str) -> None:

@@ -58,7 +58,47 @@ def test_json_any(spark, tmp_path):
         R.read_json_any(spark, str(tmp_path / "none.json"), schema)
     bad = put(tmp_path / "bad.json", '[{"title": "a"')
     with pytest.raises(Exception):
-        R.read_json_any(spark, bad, schema, strict_arrays=True).collect()
+        R.read_json_any(spark, bad, schema).collect()
+    assert R.read_json_any(spark, bad, schema, strict_arrays=False).count() == 0
+    fallback = put(tmp_path / "fallback.json", '[1]\n{"title": "a"}\n')
+    assert rows(R.read_records_or_single(spark, fallback, schema)) == []  # the first value is an array
+    torn = put(tmp_path / "torn.json", '[1\n{"title": "a"}\n')
+    assert rows(R.read_records_or_single(spark, torn, schema)) == [("a", None)]
+
+
+def test_json_loses_nothing(spark, tmp_path):
+    schema = "a string, b string"
+    record = '{"a": 1, "b": 12.0, "a": "last"}'
+    for name, text in (("arr.json", f"[{record}, {record}]"), ("lines.jsonl", f"{record}\n{record}\n"),
+                       ("mark.json", f"\ufeff[{record}, {record}]"), ("mark.jsonl", f"\ufeff{record}\n{record}"),
+                       ("blank.json", "\n " * 1500 + f"[{record},{record}]"), ("blank.jsonl", "\n" * 3000 + f"{record}\n{record}")):
+        p = put(tmp_path / name, text)
+        assert rows(R.read_json_any(spark, p, schema)) == [("last", "12.0")] * 2, name
+        assert R.read_json_any(spark, p, "map<string,string>").first().record == {"a": "last", "b": "12.0"}, name
+        assert R.bad_lines(spark, p).count() == 0, name
+    pretty = put(tmp_path / "pretty.json", json.dumps([{"a": 1}, {"b": 2}], indent=2))
+    assert R.bad_lines(spark, pretty).count() == 0
+    assert rows(R.read_json_any(spark, put(tmp_path / "two.jsonl", '{"a": 1},{"a": 2}\n{"a": 3}'), schema)) == [("3", None)]
+
+
+def test_large_json_array(spark, tmp_path):
+    p = tmp_path / "large.json"
+    filler = "x" * 1000
+    with p.open("w") as f:
+        f.write("[" + ",".join(f'{{"a": {i}, "b": "{filler}"}}' for i in range(145_000)) + "]")
+    assert p.stat().st_size > 145_000_000
+    assert R.read_json_any(spark, str(p), "a int").agg(F.count("a"), F.max("a")).first()[:] == (145_000, 144_999)
+
+
+def test_zero_labels_of_any_spelling(spark, tmp_path):
+    from labelloom.plans import corpora
+    lines = put(tmp_path / "z.jsonl", '{"text": "x", "label": 0.0}\n{"text": "y", "label": 0}\n{"text": "z", "label": 1}\nbroken\n')
+    bad = corpora.convert_harmless_corpus(spark, lines, str(tmp_path / "o1"))
+    assert [r["line"] for r in bad.collect()] == ["broken"]
+    assert rows(R.read_table_tsv(spark, str(tmp_path / "o1")).select("Question")) == [("x",), ("y",)]
+    array = put(tmp_path / "z.json", '[{"text": "x", "label": 0.0},\n {"text": "y", "label": "0"}]')
+    assert corpora.convert_harmless_corpus(spark, array, str(tmp_path / "o2")).count() == 0
+    assert R.read_table_tsv(spark, str(tmp_path / "o2")).count() == 2
 
 
 def test_json_map_records_and_single_object(spark, tmp_path):
@@ -87,13 +127,16 @@ def test_exclusions(spark, tmp_path):
 
 
 def test_lexicon_prompt_and_back(spark, tmp_path):
-    terms = [{"term": "b", "definition": "d", "category": "c"}, {"term": " "}, {"term": "a", "definition": "x \"q\""}]
+    terms = [{"term": "b", "definition": "d", "category": "c", "id": 7, "tags": ["x", {"y": 1}]}, {"term": " "}, {"term": "a", "definition": "x \"q\""}]
     p = put(tmp_path / "lex.json", json.dumps({"version": 2, "terms": terms}, ensure_ascii=False, indent=1))
     lex = R.read_lexicon(spark, p)
     assert rows(lex.select("term")) == [("a",), ("b",)]
-    S.write_lexicon(lex, str(tmp_path / "out"), other={"version": 2})
+    assert R.read_lexicon_head(spark, p) == {"version": 2}
+    S.write_lexicon(lex, str(tmp_path / "out"), R.read_lexicon_head(spark, p))
     doc = json.loads(spark.read.text(str(tmp_path / "out")).first()[0])
-    assert doc["version"] == 2 and [t["term"] for t in doc["terms"]] == ["a", "b"]
+    assert doc == {"version": 2, "terms": [terms[0], terms[2]]}
+    S.write_lexicon(lex.select("term", "category"), str(tmp_path / "plain"))
+    assert [t["term"] for t in json.loads(spark.read.text(str(tmp_path / "plain")).first()[0])["terms"]] == ["a", "b"]
     assert rows(R.read_lexicon(spark, str(tmp_path / "out")).select("term")) == [("a",), ("b",)]
     assert R.read_prompt(spark, put(tmp_path / "p.txt", "line 1\nline 2\n")) == "line 1\nline 2\n"
 

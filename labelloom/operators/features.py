@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from inspect import signature
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,14 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.vectors import let
-from .joins import skewed_lookup
+from .joins import heavy_keys
 
 Encoder = Callable[[list[str]], np.ndarray]
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 VOCABULARY_BYTES = 64 << 20
 HOT_TERMS = 10_000
+#: a text with this share of all rows is joined by broadcast
+HEAVY_SHARE = 0.002
 
 # Own prompt wordings; ``{text}`` is the row's text.
 DEFAULT_PROMPTS = (
@@ -57,16 +60,24 @@ def prompt_texts(df: DataFrame, text: str, templates: Sequence[str] = DEFAULT_PR
     return df.select("*", F.posexplode(items).alias("prompt_no", "prompt"))
 
 
+def _built(encoder):
+    """The encoder itself, or what a class or a function without parameters makes."""
+    if isinstance(encoder, type):
+        return encoder()
+    try:
+        return encoder if signature(encoder).parameters else encoder()
+    except ValueError:  # a built-in without a signature takes texts
+        return encoder
+
+
 def encode(df: DataFrame, text: str, encoder: Encoder | Callable[[], Encoder], name: str = "embedding",
            batch_size: int = 256) -> DataFrame:
     """Add an ``array<float>`` column. ``encoder`` is a picklable callable on a list of texts, or a
     zero-argument class/factory that is built once per task (for models too large to pickle).
     """
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.ArrayType(T.FloatType()))])
-    build = isinstance(encoder, type)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder() if build else encoder
+        enc = _built(encoder)
         for pdf in batches:
             texts = [s if isinstance(s, str) else "" for s in pdf[text]]
             parts = [enc(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
@@ -81,10 +92,8 @@ def _encode_prompts(df: DataFrame, text: str, encoder, templates: Sequence[str],
                     batch_size: int = 256) -> DataFrame:
     """Add ``embedding``: all prompts of a row are encoded in one pass over the partition."""
     schema = T.StructType(df.schema.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    build = isinstance(encoder, type)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder() if build else encoder
+        enc = _built(encoder)
         for pdf in batches:
             texts = [s if isinstance(s, str) else "" for s in pdf[text]]
             parts = []
@@ -106,15 +115,24 @@ def embed(df: DataFrame, text: str, encoder: Encoder, templates: Sequence[str] =
     """``df`` plus ``embedding``: one vector per prompt, cropped to ``dim``, concatenated in prompt order.
 
     With ``dedupe`` every distinct text is encoded once and joined back by a digest of the text;
-    a text shared by very many rows is joined by broadcast (see ``skewed_lookup``).
+    the vectors of texts that each hold ``HEAVY_SHARE`` of all rows (so a few hundred) are joined by broadcast.
     ``provenance`` values become constant columns.
     """
     if dedupe:
         keyed = df.withColumn("_d", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
         # distinct over both columns is a hash aggregate; the digest alone would need a sort
         distinct = keyed.select("_d", F.coalesce(F.col(text), F.lit("")).alias(text)).distinct()
-        coded = _encode_prompts(distinct, text, encoder, templates, dim).select("_d", "embedding")
-        out = skewed_lookup(keyed, coded, "_d", share=0.01).drop("_d")
+
+        def coded(texts: DataFrame) -> DataFrame:
+            return _encode_prompts(texts, text, encoder, templates, dim).select("_d", "embedding")
+
+        heavy = heavy_keys(keyed, "_d", HEAVY_SHARE)
+        is_heavy = F.col("_d").isin(*heavy)
+        # the texts are divided before they are encoded, so each one is encoded on one side only
+        out = (keyed.filter(~is_heavy) if heavy else keyed).join(coded(distinct.filter(~is_heavy) if heavy else distinct), "_d")
+        if heavy:
+            out = out.unionByName(keyed.filter(is_heavy).join(F.broadcast(coded(distinct.filter(is_heavy))), "_d"))
+        out = out.drop("_d")
     else:
         out = _encode_prompts(df, text, encoder, templates, dim)
     return out.withColumns({k: F.lit(v) for k, v in (provenance or {}).items()})

@@ -3,8 +3,8 @@
 Three exact strategies behind one call, chosen by the measured size of the term list:
 
 * ``array``      few terms: a literal array and ``contains`` inside codegen, no Python
-* ``automaton``  up to ``AUTOMATON_BYTES`` of terms: one Aho-Corasick pass per text in an Arrow
-                 function, independent of the number of terms
+* ``automaton``  up to ``AUTOMATON_NODES`` characters of terms: one Aho-Corasick pass per text in an Arrow
+                 function, independent of the number of terms; built once in each worker process
 * ``join``       any size: the texts' substrings of the occurring term lengths are thinned by a
                  fixed-size hash bitmap and equi-joined with the terms
 
@@ -15,17 +15,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-try:
-    import ahocorasick
-except ImportError:  # the join strategy needs nothing but numpy
-    ahocorasick = None
-
 ARRAY_TERMS = 24
-AUTOMATON_BYTES = 32 << 20
+#: terms of the ``array`` strategy at most: each is a node of the plan
+MOST_ARRAY_TERMS = 500
+#: an automaton has at most one node for each character of its terms, of about 40 bytes in each worker process
+AUTOMATON_NODES = 2_000_000
 MAX_BITMAP_BITS = 29  # 64 MB
 
 
@@ -35,45 +34,54 @@ class TermList:
     def __init__(self, terms: DataFrame, col: str = "term"):
         self.frame = terms.select(F.col(col).alias("term")).filter(F.col("term") != "").distinct()
         size = self.frame.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("b")
+            F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("c")
         ).first()
-        self.count, self.bytes = size["n"], size["b"]
+        self.count, self.characters = size["n"], size["c"]
 
     def strategy(self) -> str:
         if self.count <= ARRAY_TERMS:
             return "array"
-        if ahocorasick is not None and self.bytes <= AUTOMATON_BYTES:
-            return "automaton"
-        return "join"
+        return "automaton" if self.characters <= AUTOMATON_NODES else "join"
 
     def collect(self) -> list[str]:
         """The terms on the driver; only for lists that passed the size check."""
-        if self.bytes > AUTOMATON_BYTES:
-            raise ValueError(f"term list of {self.bytes} bytes is over the broadcast limit")
+        if self.characters > AUTOMATON_NODES:
+            raise ValueError(f"term list of {self.characters} characters is over the broadcast limit")
         return sorted(r["term"] for r in self.frame.collect())
 
 
-def _automaton(terms: list[str]):
-    auto = ahocorasick.Automaton()
-    for t in terms:
-        auto.add_word(t, t)
-    auto.make_automaton()
-    return auto
+    def literals(self) -> list[str]:
+        """The terms for the ``array`` strategy."""
+        if self.count > MOST_ARRAY_TERMS:
+            raise ValueError(f"{self.count} terms are too many for the array strategy ({MOST_ARRAY_TERMS})")
+        return self.collect()
+
+
+def _automaton(shared):
+    """The automaton of a broadcast term list, kept with it: later tasks of the same worker process find it there."""
+    held = shared.value
+    if held.get("automaton") is None:
+        auto = ahocorasick.Automaton()
+        for t in held["terms"]:
+            auto.add_word(t, t)
+        auto.make_automaton()
+        held["automaton"] = auto
+    return held["automaton"]
 
 
 def _finder(spark, terms: list[str], first_only: bool):
     """Arrow function text -> distinct terms found (or just whether one was found)."""
-    shared = spark.sparkContext.broadcast(terms)
+    shared = spark.sparkContext.broadcast({"terms": terms, "automaton": None})
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        auto = _automaton(shared.value)
+        auto = _automaton(shared)
         for texts in batches:
             yield texts.map(
                 lambda s: sorted({hit for _, hit in auto.iter(s)}) if isinstance(s, str) else []
             )
 
     def any_found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        auto = _automaton(shared.value)
+        auto = _automaton(shared)
         for texts in batches:
             yield texts.map(
                 lambda s: isinstance(s, str) and next(auto.iter(s), None) is not None
@@ -209,7 +217,7 @@ def matched_terms(texts: DataFrame, text: str, terms: DataFrame | TermList, term
     key = [c for c in texts.columns if c != text] if key is None else key
     texts = texts.select(*key, F.col(text).alias("_text"))
     if strategy == "array":
-        literal = F.array(*[F.lit(t) for t in terms.collect()]).cast("array<string>")
+        literal = F.array(*[F.lit(t) for t in terms.literals()]).cast("array<string>")
         hits = F.filter(literal, lambda t: F.contains(F.col("_text"), t))
         return texts.select(*key, F.explode(hits).alias("term"))
     if strategy == "automaton":
@@ -231,7 +239,7 @@ def flag_any_term(texts: DataFrame, text: str, terms: DataFrame | TermList, row_
     strategy = terms.strategy() if strategy == "auto" else strategy
     if strategy == "array":
         hit = F.lit(False)
-        for t in terms.collect():
+        for t in terms.literals():
             hit = hit | F.contains(F.col(text), F.lit(t))
         return texts.withColumn(name, F.coalesce(hit, F.lit(False)).cast("int"))
     if strategy == "automaton":

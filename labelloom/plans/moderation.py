@@ -19,7 +19,8 @@ def score_table(spark: SparkSession, path: str, out: str, scorer: Callable[[str,
     rows = R.read_table_tsv(spark, path)
     base = rows.columns
     rows = row_ordinal(rows).withColumn("_text", first_text(rows))
-    scored = scoring.score_rows(rows, scorer, "_text", categories, **kw)
+    # stored before it is sorted: a sort reads its input twice, and every call would be made twice
+    scored = S.materialize(scoring.score_rows(rows, scorer, "_text", categories, **kw), f"{out.rstrip('/')}.scored", overwrite=True)
     shown = [F.col(f"`{c}`") for c in [*base, *[c for c in categories if c not in base]]]
     S.write_tsv(scored.orderBy("row_index").select(*shown), out)
 

@@ -6,15 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.readers import file_system
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_KEYS = {"documents": "doc_id", "conversations": ("conv_id", "turn"), "embeddings": "vec_id", "labels": "doc_id",
-         "events": "event_id", "benchmark": "item_id"}
-_SMALL_SPLIT = 16 << 20
-
 
 def query(name: str, sql: str | None = None):
     """Register a query and, where SQL can state it, its equivalent."""
@@ -27,19 +21,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A driver table. ``spread`` rebalances an input too small to give every core a file split,
-    for work that is heavy per row; at cluster size the scan has splits enough and is left alone.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread:
-        fs, p = file_system(spark, path)
-        if fs.getContentSummary(p).getLength() < cores * _SMALL_SPLIT:
-            key = _KEYS[name]
-            df = df.repartition(cores, *((key,) if isinstance(key, str) else key))
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # the characters py_strip removes that occur in any of the tables, plus U+3000

@@ -48,7 +48,7 @@ _SQL_HITS = """hits AS (SELECT term, count(*) AS hits, count(*) FILTER (label =
 
 
 def corpus_of(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents", spread=True)
+    docs = table(spark, d, "documents")
     return docs.join(table(spark, d, "labels"), "doc_id").select(
         "doc_id", F.col("text").alias("sentence"), label_text("toxic").alias("label"))
 
@@ -65,20 +65,20 @@ def lexicon_hits(spark, d) -> DataFrame:
     return X.frequent_terms(lexicon_of(spark, d), corpus_of(spark, d), "sentence")
 
 
-@query("lexicon_hits_join", f"""WITH {sql_lexicon((2, 3))}, {_SQL_CORPUS}, {_SQL_HITS}
+@query("lexicon_hits_join", f"""WITH {sql_lexicon()}, {_SQL_CORPUS}, {_SQL_HITS}
 SELECT term, hits FROM hits""")
 def lexicon_hits_join(spark, d) -> DataFrame:
     """The strategy for lexicons beyond the broadcast limit."""
-    terms = lexicon_of(spark, d, (2, 3))
+    terms = lexicon_of(spark, d)
     return term_hit_counts(corpus_of(spark, d), "sentence", terms, strategy="join")
 
 
-@query("lexicon_hits_array", """WITH t AS (SELECT DISTINCT substring(text, 1, 3) AS term FROM benchmark)
+@query("lexicon_hits_array", """WITH t AS (SELECT DISTINCT string_split(text, ' ')[1] AS term FROM benchmark WHERE text <> '')
 SELECT term, count(*) AS hits FROM t JOIN documents ON contains(text, term) GROUP BY term""")
 def lexicon_hits_array(spark, d) -> DataFrame:
-    """A lexicon of short openings, matched without leaving the JVM."""
-    few = table(spark, d, "benchmark").select(F.substring("text", 1, 3).alias("term"))
-    return term_hit_counts(table(spark, d, "documents", spread=True), "text", few, strategy="array")
+    """The first word of every benchmark text, matched without leaving the JVM."""
+    few = table(spark, d, "benchmark").filter("text <> ''").select(F.split("text", " ")[0].alias("term"))
+    return term_hit_counts(table(spark, d, "documents"), "text", few, strategy="array")
 
 
 @query("lexicon_funnel", f"""WITH {sql_lexicon()}, {_SQL_CORPUS}, {_SQL_HITS},
@@ -127,7 +127,7 @@ FROM f""")
 def hybrid_proba(spark, d) -> DataFrame:
     from ..functions.vectors import logit
 
-    docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     flagged = flag_any_term(docs, "text", TermList(lexicon_of(spark, d, (3,))), "doc_id").select(
         "doc_id", "hit", (((F.col("doc_id") * 37) % 101) / F.lit(100.0)).alias("prob1"))
     soft = hybrid.hybrid_scores(flagged)
@@ -143,5 +143,5 @@ def hybrid_proba(spark, d) -> DataFrame:
 WHERE trim(w, ' ' || chr(10)) <> ''""")
 def usable_terms(spark, d) -> DataFrame:
     """Every distinct stripped word of the documents as a lexicon."""
-    words = table(spark, d, "documents", spread=True).select(F.explode(F.split("text", " ")).alias("term"))
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("term"))
     return X.usable_terms(words)

@@ -20,7 +20,7 @@ def vectors(spark, d) -> DataFrame:
 
 
 def labelled_texts(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents", spread=True)
+    docs = table(spark, d, "documents")
     return docs.join(table(spark, d, "labels"), "doc_id").select(
         F.col("doc_id").alias("row_id"), "text", F.col("quality").cast("int").alias("label"))
 

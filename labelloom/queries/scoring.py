@@ -25,7 +25,7 @@ SELECT doc_id, CASE WHEN n > 0 AND n % 13 > 0 THEN round((n * 7 % 997) / 997.0::
        CASE WHEN n > 0 AND n % 13 > 0 THEN round((n * 11 % 997) / 997.0::DOUBLE, 6) ELSE -1 END AS violence,
        -1.0::DOUBLE AS self_harm_intent FROM x""")
 def stub_scoring(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents", spread=True).select(
+    docs = table(spark, d, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("text"))
     out = S.score_rows(docs, stub_scores, "text", CATEGORIES, models=("a", "b"), pause=0)
     return out.select("doc_id", *[F.coalesce(F.round(F.col(f"`{c}`"), 6), F.lit(-1.0)).alias(n)
@@ -47,7 +47,7 @@ SELECT conv_id, turn, CASE WHEN n % 17 = 0 OR n % 3 > 0 THEN -1 ELSE round(n % 5
        CASE WHEN n % 17 = 0 THEN -1 ELSE round(n % 100 / 100.0::DOUBLE, 6) END AS "Toxic_confidence"
 FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)""")
 def stub_categories_pivot(spark, d) -> DataFrame:
-    conv = table(spark, d, "conversations", spread=True).select("conv_id", "turn", "text")
+    conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
     scored = S.score_rows_map(conv, stub_categories, "text").drop("text")
     wide = pivot.widen_scores(scored)
     return wide.select("conv_id", "turn", *[F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c)
@@ -73,7 +73,7 @@ _SQL_LOG = f"""log AS (SELECT conv_id, turn, prompt_name, length(text) + 4 AS n,
 
 def prompt_log(spark, d) -> DataFrame:
     ids = F.array(*[F.lit(i) for i in TOPIC_IDS])
-    conv = table(spark, d, "conversations", spread=True).select(
+    conv = table(spark, d, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("idx"), "text",
         F.filter(ids, lambda x, i: (F.col("conv_id") * (i + 3) + F.col("turn")) % 4 == 0).alias("gold"))
     return S.complete_rows(conv, {"basic": "short", "optimized": "a longer prompt"}, stub_answer, keep=["gold"])

@@ -86,7 +86,12 @@ def read_headerless_tsv(spark: SparkSession, path, names: Sequence[str] = ("sent
     """Two columns without a header, literals kept, rows that look like a header dropped."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = _delimited(spark, path, "\t", False, multiline).schema(schema).csv(path).fillna("")
-    text, label = names
+    return without_header_rows(df, *names, header_words)
+
+
+def without_header_rows(df: DataFrame, text: str, label: str,
+                        header_words: Sequence[str] = ("question", "Potentially_Pejorative")) -> DataFrame:
+    """Rows whose fields do not read like a header."""
     headerish = (F.lower(py_strip(text)) == header_words[0]) | (py_strip(label) == header_words[1])
     return df.filter(~headerish)
 
@@ -282,13 +287,16 @@ def read_exclusions(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         if "row_index" not in df.columns:
             log.warning("exclusion file %s has no row_index column", path)
             continue
-        out = out.unionByName(
-            df.select(F.col("row_index").try_cast("double").cast("long").alias("row_index"))
-            .filter(F.col("row_index").isNotNull())
-        )
+        out = out.unionByName(exclusion_rows(df))
     return out.distinct()
 
 
+def exclusion_rows(df: DataFrame, col: str = "row_index") -> DataFrame:
+    """Distinct whole ``row_index`` numbers; what is no number is skipped."""
+    number = F.col(col).try_cast("double").cast("long").alias("row_index")
+    return df.select(number).filter(F.col("row_index").isNotNull()).distinct()
+
+
 LEXICON_FIELDS = "term string, definition string, category string"
 
 

@@ -54,7 +54,12 @@ def write_issue_report(report: DataFrame, path: str) -> None:
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One object per line, NULL fields kept, text as UTF-8."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    jsonl_lines(df).write.mode(mode).text(path)
+
+
+def jsonl_lines(df: DataFrame) -> DataFrame:
+    """``value``: each row as one JSON object with all its fields."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_embeddings(df: DataFrame, path: str, embedding_model: str, source: str, fmt: str,

@@ -52,7 +52,7 @@ def test_matching_many_random_terms(spark):
 
 def test_term_list_refuses_oversized_broadcast(spark, monkeypatch):
     terms = matching.TermList(spark.createDataFrame([("abc",), ("de",)], "term string"))
-    monkeypatch.setattr(matching, "AUTOMATON_BYTES", 3)
+    monkeypatch.setattr(matching, "AUTOMATON_NODES", 3)
     monkeypatch.setattr(matching, "ARRAY_TERMS", 0)
     assert terms.strategy() == "join"
     with pytest.raises(ValueError):
@@ -377,3 +377,28 @@ def test_complete_rows(spark):
            scoring.complete_rows(df, {"basic": "p1", "optimized": "p2"}, completer, threads=2).collect()}
     assert got == {("a", "basic"): (["4"], ""), ("a", "optimized"): (["7"], ""),
                    ("b", "basic"): ([], "completion error: boom"), ("b", "optimized"): ([], "completion error: boom")}
+
+
+def test_array_strategy_has_a_limit(spark):
+    many = spark.range(600).selectExpr("cast(id as string) AS term")
+    with pytest.raises(ValueError):
+        matching.term_hit_counts(spark.createDataFrame([("1",)], "t string"), "t", many, strategy="array")
+
+
+def test_every_distinct_text_is_encoded_once(spark):
+    from labelloom.operators import features
+
+    seen = spark.sparkContext.accumulator(0)
+    base = features.NgramHashEncoder(8)
+
+    def counting(texts):
+        seen.add(len(texts))
+        return base(texts)
+
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"text {i}") for i in range(400)], "id int, t string")
+    out = features.embed(df, "t", counting, templates=("{text}", "say {text}"))
+    assert "MapInPandas" in out._jdf.queryExecution().toString()
+    assert out.agg(F.count("embedding")).first()[0] == 400
+    assert seen.value == 2 * 201
+    made = features.embed(df.limit(5), "t", lambda: base, templates=("{text}",))  # a function that makes the encoder
+    assert made.count() == 5

@@ -148,3 +148,19 @@ def test_streaming_answers(spark, tmp_path):
         q = streaming.append_parquet(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
         assert q.awaitTermination(60)
     assert [r.groups for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [["7"]]
+
+
+def test_every_row_is_scored_once(spark, tmp_path):
+    from labelloom.plans import moderation
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(text, model):
+        calls.add(1)
+        return {"hate": len(text) / 100}
+
+    path = tmp_path / "in.tsv"
+    path.write_text("Question\tPotentially_Pejorative\n" + "".join(f"row {i}\tNone\n" for i in range(200)), encoding="utf-8")
+    moderation.score_table(spark, str(path), str(tmp_path / "out"), scorer, categories=["hate"])
+    assert calls.value == 200
+    assert R.read_table_tsv(spark, str(tmp_path / "out")).count() == 200

@@ -1,8 +1,10 @@
 """Parsing free-form model answers into label sets, as column expressions.
 
-The tolerant JSON step tries, in order: the text as it is; the text from its first bracket on,
-without code fences; trailing commas removed; open strings and brackets closed; the same with single
-quotes turned into double quotes. The last resort picks the ``groups`` list out by pattern.
+The tolerant JSON step tries, in order: the text as it is; the text from its first bracket on, without code
+fences; the part up to its last bracket; trailing commas removed; open strings and brackets closed, innermost
+first and not counting those inside strings; missing commas inserted; single quotes turned into double quotes.
+Single-quoted strings and keys without quotes are read as such. Of a repeated key the last value counts. The last
+resort picks the last ``groups`` list out by pattern.
 """
 
 from __future__ import annotations
@@ -48,47 +50,59 @@ def user_message(text: Column | str, prefix: str = "文本: ") -> Column:
     return F.concat(F.lit(prefix), _col(text))
 
 
-def _occurrences(s: Column, ch: str) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+def _close_open_parts(s: Column) -> Column:
+    """Finish an open string, drop a dangling comma or colon, and close open brackets in the order they were opened."""
+    start = F.struct(F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("open"))
 
+    def step(state: Column, ch: Column) -> Column:
+        quoted, escaped, open_ = state["quoted"], state["escaped"], state["open"]
+        outside = ~quoted & ~escaped
+        stack = (F.when(outside & (ch == "["), F.concat(F.lit("]"), open_)).when(outside & (ch == "{"), F.concat(F.lit("}"), open_))
+                 .when(outside & ch.isin("]", "}") & F.startswith(open_, ch), F.substring(open_, 2, 1 << 20)).otherwise(open_))
+        return F.struct(
+            F.when(~escaped & (ch == '"'), ~quoted).otherwise(quoted).alias("quoted"),
+            (quoted & ~escaped & (ch == "\\")).alias("escaped"), stack.alias("open"))
 
-def _close_open_parts(s: Column) -> Column:
-    # an odd quote or a dangling comma at the end is finished before the brackets are
-    quoted = F.when(_occurrences(s, '"') % 2 == 1, F.concat(s, F.lit('"'))).otherwise(s)
+    def finish(end: Column) -> Column:
+        body = F.when(end["quoted"], F.concat(s, F.lit('"'))).otherwise(F.regexp_replace(s, r"[,:\s]+$", ""))
+        return F.concat(body, end["open"])
+
+    return F.aggregate(F.split(s, ""), start, step, finish)
 
-    def close(t: Column) -> Column:
-        lists = F.greatest(_occurrences(t, "[") - _occurrences(t, "]"), F.lit(0))
-        objects = F.greatest(_occurrences(t, "{") - _occurrences(t, "}"), F.lit(0))
-        return F.concat(t, F.repeat(F.lit("]"), lists), F.repeat(F.lit("}"), objects))
 
-    return let(F.regexp_replace(quoted, r"[,:\s]+$", ""), close)
+def json_value(c: Column) -> Column:
+    """The text as one JSON value in its usual notation, or NULL."""
+    items = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>",
+                        {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"})
+    return F.when(F.size(items) == 1, items[0])
 
 
 def tolerant_json(c: Column | str) -> Column:
-    """Answer text (tags already stripped) -> VARIANT, or NULL when nothing JSON-like is found.
+    """Answer text (tags already stripped) -> JSON text, or NULL when nothing JSON-like is found.
 
     Each repair is only evaluated when the ones before it failed.
     """
     def groups_only(t: Column) -> Column:
-        found = F.regexp_extract(t, r'"groups"\s*:\s*(\[[^\]]*\])', 1)
-        return F.try_parse_json(F.when(found != "", F.concat(F.lit('{"groups":'), found, F.lit("}"))))
+        lists = F.regexp_extract_all(t, F.lit(r'"groups"\s*:\s*(\[[^\]]*\])'), F.lit(1))
+        return json_value(F.concat(F.lit('{"groups":'), F.try_element_at(lists, F.lit(-1)), F.lit("}")))
 
-    def requoted(t: Column) -> Column:
-        return F.coalesce(F.try_parse_json(t), F.try_parse_json(_close_open_parts(t)), groups_only(t))
+    def closed(t: Column) -> Column:
+        return json_value(_close_open_parts(t))
 
-    def without_commas(t: Column) -> Column:
-        return F.coalesce(
-            F.try_parse_json(t), F.try_parse_json(_close_open_parts(t)),
-            let(F.replace(t, F.lit("'"), F.lit('"')), requoted),
-        )
+    def requoted(t: Column) -> Column:
+        return F.coalesce(closed(t), groups_only(t))
 
     def repaired(cut: Column) -> Column:
-        fixed = let(F.regexp_replace(cut, r",(\s*[\]}])", "$1"), without_commas)
-        return F.when(cut != "", F.coalesce(F.try_parse_json(cut), fixed))
+        tidy = F.regexp_replace(cut, r",(\s*[\]}])", "$1")
+        spaced = F.regexp_replace(tidy, r"([\"\]}\d])(\s+)(?=[\"\[{])", "$1,$2")
+        whole = F.regexp_extract(cut, r"(?s)^(.*[\]}])", 1)
+        return F.when(cut != "", F.coalesce(
+            json_value(cut), json_value(tidy), json_value(F.when(whole != "", whole)), closed(tidy), closed(spaced),
+            let(F.replace(tidy, F.lit("'"), F.lit('"')), requoted)))
 
     s = _col(c)
     from_bracket = F.regexp_extract(F.regexp_replace(s, r"```[A-Za-z]*", ""), r"(?s)([\[{].*)", 1)
-    return F.coalesce(F.try_parse_json(s), let(from_bracket, repaired))
+    return F.coalesce(json_value(s), let(from_bracket, repaired))
 
 
 def parse_answers(df: DataFrame, raw: str = "raw_output", label_ids: Sequence[str] = TOPIC_IDS,
@@ -100,19 +114,20 @@ def parse_answers(df: DataFrame, raw: str = "raw_output", label_ids: Sequence[st
     """
     blank = py_strip(F.coalesce(F.col(raw), F.lit(""))) == ""
     staged = df.withColumn("_json", F.when(~blank, strip_answer_tags(raw)))
-    staged = staged.withColumn("parsed", tolerant_json("_json"))
-    kind = F.schema_of_variant("parsed")
-    inner = F.try_variant_get("parsed", "$.groups", "variant")
-    inner_kind = F.schema_of_variant(inner)
+    staged = staged.withColumn("_json", tolerant_json("_json")).withColumn("parsed", F.try_parse_json("_json"))
+    # numbers keep their notation, and the last of repeated keys counts, in text but not in a variant
+    inner = F.from_json("_json", "groups string")["groups"]
+    inner_kind = F.schema_of_variant(F.try_variant_get("parsed", "$.groups", "variant"))  # of a JSON null: VOID
+    is_list = F.coalesce(inner_kind.startswith("ARRAY"), inner.startswith("["), F.lit(False))
     staged = staged.withColumn(
         "error_msg",
         F.when(blank, F.lit(ERR_EMPTY))
-        .when(F.col("parsed").isNull() | ~kind.startswith("OBJECT"), F.lit(ERR_NOT_OBJECT))
-        .when(inner.isNotNull() & ~inner_kind.startswith("ARRAY"), F.lit(ERR_NOT_LIST))
+        .when(F.col("_json").isNull() | ~F.col("_json").startswith("{"), F.lit(ERR_NOT_OBJECT))
+        .when((inner_kind.isNotNull() | inner.isNotNull()) & ~is_list, F.lit(ERR_NOT_LIST))
         .otherwise(F.lit("")),
     )
     items = F.transform(
-        F.try_variant_get("parsed", "$.groups", "array<string>"),
+        F.from_json("_json", "groups array<string>")["groups"],
         lambda g: py_strip(F.coalesce(g, F.lit("None"))),
     )
     keep = (lambda g: g != "") if keep_unknown else (lambda g: g.isin(*label_ids))

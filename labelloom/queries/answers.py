@@ -23,6 +23,14 @@ TEMPLATES = (
     ('["4"]', "", A.ERR_NOT_OBJECT),
     ("  \n ", "", A.ERR_EMPTY),
     ("{t}", "", A.ERR_NOT_OBJECT),
+    ('{"groups": ["4"], "why": "x", "groups": ["7"]}', "7", ""),
+    ('{"tuples":[{"a":["x"],"b":"y"', "", ""),
+    ('{"why":"see [1","groups":["4"', "4", ""),
+    ('{groups: ["4"]}', "4", ""),
+    ('{"groups": ["4" "7"\n"w"]}', "4,7,w", ""),
+    ('{"groups": [7.0, 8]}', "8", ""),
+    ('{"groups": ["4", "7"]} and {t', "4,7", ""),
+    ('So: {"a": {"b": [1, {"c": "}"', "", ""),
 )
 
 
@@ -67,7 +75,8 @@ def groups_parsed(spark, d) -> DataFrame:
 
 
 @query("groups_parsed_unknown_kept", f"""
-SELECT conv_id, turn, replace({_sql_case(1)}, 'q,w', 'q,w,zz') AS groups FROM conversations""")
+SELECT conv_id, turn, CASE g WHEN '8' THEN '7.0,8' ELSE replace(g, 'q,w', 'q,w,zz') END AS groups
+FROM (SELECT conv_id, turn, {_sql_case(1)} AS g FROM conversations)""")
 def groups_parsed_unknown_kept(spark, d) -> DataFrame:
     parsed = A.parse_answers(answer_log(spark, d), keep_unknown=True)
     return parsed.select("conv_id", "turn", F.array_join("groups", ",").alias("groups"))

@@ -23,6 +23,8 @@ PIECE = 32
 _CHUNK_BYTES = 1 << 20
 #: distinct strings of one minimiser that are indexed in a bucket; with more, windows are aggregated
 MOST_STRINGS = 32
+#: strings of a bucket, about: enough to advance together
+BUCKET_STRINGS = 16_000
 #: windows of a stream at most; longer strings are streamed in overlapping parts
 _STREAM_WINDOWS = 512
 
@@ -52,7 +54,7 @@ def _units(k: int, m: int) -> Units:
             yield first, np.diff(offsets[first:end + 1]), _pieces(part, m), lambda a, z, part=part: part[a:z].tobytes()
             first = end
 
-    return Units(k, m, chunks)
+    return Units(k, m, BUCKET_STRINGS, chunks)
 
 
 def _halvings(n: int) -> list[tuple[int, int, int]]:
@@ -144,4 +146,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return pa.array(rows, type=pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.binary())]))
 
     marked = with_spans(docs, found, key, text)
-    return marked.withColumn("_repeats", apply(text_of(text).cast("binary"), F.col("_spans"))).drop("_spans")
+    return marked.withColumn("_repeats", apply(text_of(text).cast("binary"), F.col("__spans"))).drop("__spans")

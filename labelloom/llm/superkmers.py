@@ -6,11 +6,12 @@ minimiser, a super-k-mer, travels as one packed string to the place where all st
 
 1. Count the minimisers of all documents. A window can only be repeated if its minimiser is; the repeated ones are set
    in a bitmap of bounded size. A full bitmap lets more strings travel and changes no result.
-2. Cut the strings with such minimisers out of the texts. Equal strings become one before they meet (copies of a
-   document of any number are one entry), with the place where they occur first.
-3. Minimisers with one distinct string need no comparison. The strings of the others are dealt to buckets of bounded size
-   and compared there. Minimisers with very many distinct strings (a frequent passage between changing neighbours) are
-   settled window by window with partial aggregation instead, so no bucket grows with one passage.
+2. List the strings with such minimisers by a 128-bit digest and place, without their content. Equal strings are one
+   entry (copies of a document of any number are one), with the place where they occur first.
+3. Minimisers with one distinct string need no comparison. For the others the content is cut out of the texts, at most
+   once a task for each string, and dealt to buckets of bounded size to be compared there. Minimisers with very many
+   distinct strings (a frequent passage between changing neighbours) are settled window by window with partial
+   aggregation instead, so no bucket grows with one passage.
 4. What was found returns to all occurrences of a string, and from there to the documents.
 """
 
@@ -28,8 +29,6 @@ from .base import LAST_ID, staged, text_of
 
 #: positions inside a document are below this
 _PLACE = 1 << 40
-#: strings of a bucket, about
-BUCKET_STRINGS = 20_000
 #: bits of the bitmap per repeated minimiser, and its bits at most (64 MB)
 _BITS_EACH = 16
 _MIN_BITS, _MAX_BITS = 1 << 20, 1 << 29
@@ -57,6 +56,7 @@ class Units:
 
     k: int
     m: int
+    bucket_strings: int  # strings of a bucket, about
     chunks: Callable[[pa.Array], Iterator[tuple]]
 
 
@@ -102,6 +102,34 @@ def runs_of(sizes: np.ndarray, pieces: np.ndarray, k: int, m: int, within: bool)
     return Runs(row[new], in_row[new], n, value[new], twice)
 
 
+def sorted_windows(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that puts equal windows side by side, and where a new window begins. Exact: hashes only pre-sort."""
+    x, span = mixed((ids.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)), 1
+    parts, offset = [], 0
+    while True:  # binary parts of k, from doubled spans
+        if k & span:
+            parts.append((offset, x))
+            offset += span
+        if 2 * span > k:
+            break
+        x = mixed(x[:-span] * _U(0xD1342543DE82EF95) + x[span:])
+        span *= 2
+    code = np.zeros(len(at), dtype=_U)
+    for shift, values in parts:
+        code = mixed(code * _U(0x9E3779B97F4A7C15) + values[at + shift])
+    order = np.argsort(code, kind="stable")
+    same_code = code[order][1:] == code[order][:-1]
+    a, b = at[order][:-1][same_code], at[order][1:][same_code]
+    if all((ids[a + j] == ids[b + j]).all() for j in range(k)):
+        return order, np.concatenate(([True], ~same_code))
+    order = np.lexsort([ids[at + j] for j in range(k - 1, -1, -1)])
+    a, b = at[order][:-1], at[order][1:]
+    same = np.ones(len(a), dtype=bool)
+    for j in range(k):
+        same &= ids[a + j] == ids[b + j]
+    return order, np.concatenate(([True], ~same))
+
+
 def _repeated(texts: DataFrame, units: Units, within: bool) -> DataFrame:
     """(h): minimisers of at least two documents, or (``within``) of two places."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,38 +166,70 @@ def _bitmap(values: DataFrame) -> np.ndarray:
     return out
 
 
-_STRINGS = pa.schema([("h", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()),
-                      ("start", pa.int64()), ("n", pa.int64()), ("twice", pa.bool_()), ("packed", pa.binary())])
+class _Known:
+    """Values whose bit is set; the bitmap is shared with the tasks once."""
+
+    def __init__(self, values: DataFrame):
+        bitmap = _bitmap(values)
+        self.shared = values.sparkSession.sparkContext.broadcast(bitmap)
+        self.last = _U(len(bitmap) * 8 - 1)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = (h.view(_U) & self.last).astype(np.int64)
+        return ((self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _cut(texts: DataFrame, units: Units, bitmap: np.ndarray, within: bool) -> DataFrame:
-    """The super-k-mers whose minimiser the bitmap has, packed, with a 128-bit digest."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    last = _U(len(bitmap) * 8 - 1)
+def _digests(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), dtype=np.int64).reshape(-1, 2)
 
+
+def _places(texts: DataFrame, units: Units, known: _Known, within: bool) -> DataFrame:
+    """Every super-k-mer whose minimiser is known: where it is, and the digest of its content."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             docs, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, sizes, pieces, pack in units.chunks(batch.column(0)):
                 r = runs_of(sizes, pieces, units.k, units.m, within)
-                at = (r.value & last).astype(np.int64)
-                keep = np.flatnonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                keep = np.flatnonzero(known(r.value))
                 if not len(keep):
                     continue
                 row, start, n = r.row[keep], r.start[keep], r.n[keep]
                 flat = start + (np.cumsum(sizes) - sizes)[row]
-                packed = [pack(a, z) for a, z in zip(flat.tolist(), (flat + n + units.k - 1).tolist())]
-                digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), dtype=np.int64).reshape(-1, 2)
+                d = _digests([pack(a, z) for a, z in zip(flat.tolist(), (flat + n + units.k - 1).tolist())])
                 yield pa.record_batch(
-                    [pa.array(r.value[keep].view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
-                     pa.array(docs[first + row]), pa.array(tags[first + row]), pa.array(start), pa.array(n), pa.array(r.twice[keep]),
-                     pa.array(packed, pa.binary())], schema=_STRINGS)
+                    [r.value[keep].view(np.int64), d[:, 0], d[:, 1], docs[first + row], tags[first + row], start, n, r.twice[keep]],
+                    names=["h", "d1", "d2", "doc", "tag", "start", "n", "twice"])
 
-    ddl = ("h bigint, d1 bigint, d2 bigint, doc bigint, tag bigint, start bigint, n bigint, twice boolean, packed binary")
+    ddl = "h bigint, d1 bigint, d2 bigint, doc bigint, tag bigint, start bigint, n bigint, twice boolean"
     return texts.select("_bytes", "doc", "tag").mapInArrow(cut, ddl)
 
 
+def _strings(texts: DataFrame, units: Units, several: _Known, frequent: _Known) -> DataFrame:
+    """The content of the super-k-mers that need comparing, each distinct one at most once a task."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+        for batch in batches:
+            for _, sizes, pieces, pack in units.chunks(batch.column(0)):
+                r = runs_of(sizes, pieces, units.k, units.m, False)
+                keep = np.flatnonzero(several(r.value))
+                if not len(keep):
+                    continue
+                flat = r.start[keep] + (np.cumsum(sizes) - sizes)[r.row[keep]]
+                packed = [pack(a, z) for a, z in zip(flat.tolist(), (flat + r.n[keep] + units.k - 1).tolist())]
+                d = _digests(packed)
+                fresh = []
+                for i, x in enumerate(map(tuple, d.tolist())):
+                    if x not in sent:
+                        sent.add(x)
+                        fresh.append(i)
+                h = r.value[keep][fresh]
+                yield pa.record_batch(
+                    [pa.array(h.view(np.int64)), pa.array(d[fresh, 0]), pa.array(d[fresh, 1]), pa.array(frequent(h)),
+                     pa.array([packed[i] for i in fresh], pa.binary())], names=["h", "d1", "d2", "frequent", "packed"])
+
+    return texts.select("_bytes").mapInArrow(cut, "h bigint, d1 bigint, d2 bigint, frequent boolean, packed binary")
+
+
 def _place() -> Column:
     """(doc, start) as one number, which partial aggregation can take the least of."""
     return (F.col("doc").cast("decimal(38,0)") * F.lit(_PLACE).cast("decimal(20,0)") + F.col("start")).cast("decimal(38,0)")
@@ -198,46 +258,53 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
     texts = docs.select(text_of(text).cast("binary").alias("_bytes"),
                         F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID)).alias("doc"),
                         F.xxhash64(text_of(text)).alias("tag"))
-    bitmap = _bitmap(staged(_repeated(texts, units, within)))
-    cut = staged(_cut(texts, units, bitmap, within))
+    places = staged(_places(texts, units, _Known(staged(_repeated(texts, units, within))), within))
+    of_string = ["h", "d1", "d2"]
     order = _place() if within else F.col("doc")
-    whole = cut.withColumn("_order", order).groupBy("h", "d1", "d2", "n", "twice", "packed").agg(F.min("_order").alias("first"))
-    if within:
-        doc = F.floor(F.col("first") / F.lit(_PLACE).cast("decimal(20,0)")).cast("bigint")
-        start = (F.col("first") - doc.cast("decimal(38,0)") * F.lit(_PLACE).cast("decimal(20,0)")).cast("bigint")
-        whole = whole.select("h", "d1", "d2", "n", "twice", "packed", doc.alias("doc"), start.alias("start"))
-    else:
-        whole = whole.select("h", "d1", "d2", "n", "twice", "packed", F.col("first").alias("doc"), F.lit(0).cast("bigint").alias("start"))
-    whole = staged(whole)
-    counts = whole.groupBy("h").agg(F.count("*").alias("_k"), F.bool_or("twice").alias("_self"))
+    distinct = places.withColumn("_order", order).groupBy(*of_string, "n", "twice").agg(
+        F.min("_order").alias("first"), F.count("*").alias("copies"))
+    one = F.lit(_PLACE).cast("decimal(20,0)")
+    doc = F.floor(F.col("first") / one).cast("bigint") if within else F.col("first")
+    start = (F.col("first") - doc.cast("decimal(38,0)") * one).cast("bigint") if within else F.lit(0).cast("bigint")
+    distinct = staged(distinct.select(*of_string, "n", "twice", "copies", doc.alias("doc"), start.alias("start")))
+    counts = distinct.groupBy("h").agg(F.count("*").alias("_k"), F.bool_or("twice").alias("_self"))
     counts = staged(counts.filter("_k > 1 or _self"))
-    few, many = counts.filter(F.col("_k") <= most_strings), counts.filter(F.col("_k") > most_strings)
-    n_few = few.agg(F.sum("_k")).first()[0] or 0
-    buckets = max(1, -(-n_few // BUCKET_STRINGS))
-
-    def bucket(table: pa.Table) -> pa.Table:
-        h, doc, start, n = (table.column(c).to_numpy() for c in ("h", "doc", "start", "n"))
-        flags = settle(h, doc, start, n, table.column("twice").to_numpy(), table.column("packed").to_pylist())
+    several, frequent = _Known(counts.select("h")), _Known(counts.filter(F.col("_k") > most_strings).select("h"))
+
+    @F.arrow_udf("boolean")
+    def is_frequent(h: pa.Array) -> pa.Array:
+        return pa.array(frequent(h.to_numpy()))
+
+    strings = staged(_strings(texts, units, several, frequent))
+    facts = distinct.join(counts.select("h"), "h").withColumn("_frequent", is_frequent("h"))
+    buckets = max(1, -(-(counts.agg(F.sum("_k")).first()[0] or 0) // units.bucket_strings))
+    to_bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("_bucket")
+
+    def bucket(facts: pa.Table, strings: pa.Table) -> pa.Table:
+        at = {x: i for i, x in enumerate(zip(strings.column("d1").to_pylist(), strings.column("d2").to_pylist()))}
+        of = [at[x] for x in zip(facts.column("d1").to_pylist(), facts.column("d2").to_pylist())]
+        packed = strings.column("packed").take(pa.array(of, pa.int64())).to_pylist()
+        flags = settle(*(facts.column(c).to_numpy() for c in ("h", "doc", "start", "n", "twice")), packed) if packed else []
         hit = [i for i, f in enumerate(flags) if f is not None and f.any()]
-        some = table.take(pa.array(hit, pa.int64()))
+        some = facts.take(pa.array(hit, pa.int64()))
         return pa.table({"h": some.column("h"), "d1": some.column("d1"), "d2": some.column("d2"),
                          "spans": pa.array([spans_of(flags[i]) for i in hit], _SPANS_TYPE)})
 
-    dealt = whole.join(few.select("h"), "h", "left_semi").withColumn("_bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    settled = dealt.groupBy("_bucket").applyInArrow(bucket, _SETTLED)
-    if not many.isEmpty():
-        settled = settled.unionByName(_settle_windows(whole.join(many.select("h"), "h", "left_semi"), one_window, within))
-    settled = staged(settled)
+    few = facts.filter("not _frequent").select(to_bucket, *of_string, "doc", "start", "n", "twice")
+    settled = few.groupBy("_bucket").cogroup(
+        strings.filter("not frequent").select(to_bucket, *of_string, "packed").groupBy("_bucket")).applyInArrow(bucket, _SETTLED)
+    many = facts.filter("_frequent").select(*of_string, "doc", "start", "n").join(
+        strings.filter("frequent").groupBy(*of_string).agg(F.first("packed").alias("packed")), of_string)
+    settled = staged(settled.unionByName(_settle_windows(staged(many), one_window, within)))
 
-    of_string = ["h", "d1", "d2"]
-    firsts = whole.select(*of_string, F.col("doc").alias("_doc"), F.col("start").alias("_start"))
-    firsts = firsts.join(settled, of_string, "left")
+    firsts = distinct.select(*of_string, "copies", F.col("doc").alias("_doc"), F.col("start").alias("_start"))
+    firsts = firsts.join(settled, of_string, "left").filter("copies > 1 or spans is not null")
     later = F.col("doc") > F.col("_doc")
     if within:
         later = later | ((F.col("doc") == F.col("_doc")) & (F.col("start") > F.col("_start")))
     all_of_it = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z")))
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["z"] + F.col("start")).alias("z")))
-    found = cut.select(*of_string, "doc", "tag", "start", "n").join(firsts, of_string)
+    found = places.select(*of_string, "doc", "tag", "start", "n").join(firsts, of_string)
     found = found.withColumn("_spans", F.when(later, all_of_it).otherwise(moved)).filter("_spans is not null")
     return found.groupBy("doc", "tag").agg(F.array_sort(F.flatten(F.collect_list("_spans"))).alias("spans"))
 
@@ -254,12 +321,12 @@ def _settle_windows(strings: DataFrame, one_window: Callable[[Column, Column], C
     return late.groupBy("h", "d1", "d2").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def with_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", name: str = "_spans") -> DataFrame:
+def with_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", name: str = "__spans") -> DataFrame:
     """``docs`` with the spans of each row; NULL where there are none."""
-    d = docs.withColumn("_doc", F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID))).withColumn(
-        "_tag", F.xxhash64(text_of(text)))
-    f = found.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spans").alias(name))
-    return d.join(f, ["_doc", "_tag"], "left").drop("_doc", "_tag")
+    d = docs.withColumn("__doc", F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID))).withColumn(
+        "__tag", F.xxhash64(text_of(text)))
+    f = found.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias(name))
+    return d.join(f, ["__doc", "__tag"], "left").drop("__doc", "__tag")
 
 
 def unit_spans(spans: list[dict] | None, k: int) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .base import text_of
-from .superkmers import Units, covered_windows, mixed, unit_spans, with_spans
+from .superkmers import Units, covered_windows, mixed, sorted_windows, unit_spans, with_spans
 
 WINDOW = 50
 PIECE = 8
@@ -19,6 +19,8 @@ PIECE = 8
 _CHUNK_WORDS = 200_000
 #: distinct strings of one minimiser that are compared in a bucket; with more, windows are aggregated
 MOST_STRINGS = 1_000
+#: strings of a bucket, about
+BUCKET_STRINGS = 4_000
 
 _U = np.uint64
 
@@ -51,7 +53,7 @@ def _units(k: int, m: int) -> Units:
         if flat:
             yield chunk()
 
-    return Units(k, m, chunks)
+    return Units(k, m, BUCKET_STRINGS, chunks)
 
 
 def _settle(k: int):
@@ -64,7 +66,7 @@ def _settle(k: int):
         size = np.array([len(w) for w in words])
         at = np.repeat(np.cumsum(size) - size, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         owner = np.repeat(doc, n)
-        order, new = _sorted_windows(ids, at, k)
+        order, new = sorted_windows(ids, at, k)
         least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
         flags = np.empty(len(at), dtype=bool)
         flags[order] = least[np.cumsum(new) - 1] < owner[order]
@@ -73,34 +75,6 @@ def _settle(k: int):
     return settle
 
 
-def _sorted_windows(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that puts equal windows side by side, and where a new window begins. Exact: hashes only pre-sort."""
-    x, span = mixed((ids.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)), 1
-    parts, offset = [], 0
-    while True:  # binary parts of k, from doubled spans
-        if k & span:
-            parts.append((offset, x))
-            offset += span
-        if 2 * span > k:
-            break
-        x = mixed(x[:-span] * _U(0xD1342543DE82EF95) + x[span:])
-        span *= 2
-    code = np.zeros(len(at), dtype=_U)
-    for shift, values in parts:
-        code = mixed(code * _U(0x9E3779B97F4A7C15) + values[at + shift])
-    order = np.argsort(code, kind="stable")
-    same_code = code[order][1:] == code[order][:-1]
-    a, b = at[order][:-1][same_code], at[order][1:][same_code]
-    if all((ids[a + j] == ids[b + j]).all() for j in range(k)):
-        return order, np.concatenate(([True], ~same_code))
-    order = np.lexsort([ids[at + j] for j in range(k - 1, -1, -1)])
-    a, b = at[order][:-1], at[order][1:]
-    same = np.ones(len(a), dtype=bool)
-    for j in range(k):
-        same &= ids[a + j] == ids[b + j]
-    return order, np.concatenate(([True], ~same))
-
-
 def _one_window(k: int):
     def window(packed: Column, i: Column) -> Column:
         return F.array_join(F.slice(F.split(packed.cast("string"), " "), (i + 1).cast("int"), k), " ")
@@ -136,4 +110,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         return pa.array(rows, type=pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", span), ("kept", pa.string())]))
 
     marked = with_spans(docs, found, key, text)
-    return marked.withColumn("_repeats", apply(text_of(text), F.col("_spans"))).drop("_spans")
+    return marked.withColumn("_repeats", apply(text_of(text), F.col("__spans"))).drop("__spans")

@@ -128,18 +128,18 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     A document counts once, whatever its length. Sums are partial in each task before they are shuffled, so a language
     with most of the rows costs no more than another. NULL languages form a group of their own.
     """
-    h = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), _shares(text_of(text)).alias("_h"))
+    h = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("__lang"), _shares(text_of(text)).alias("_h"))
     sides = {"classes": len(CLASSES), "common": len(VOCABULARY) + 1}
     sums = [F.sum(F.col(f"_h.{name}")[i]).alias(f"_{name}{i}") for name, n in sides.items() for i in range(n)]
-    out = h.groupBy("_lang").agg(*sums)
+    out = h.groupBy("__lang").agg(*sums)
 
-    out = out.select("_lang", *(F.array(*[f"_{name}{i}" for i in range(n)]).alias(name) for name, n in sides.items()))
+    out = out.select("__lang", *(F.array(*[f"_{name}{i}" for i in range(n)]).alias(name) for name, n in sides.items()))
 
     def mean(name: str) -> Column:
         total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return F.when(total > 0, F.transform(name, lambda x: x / total)).alias(f"_ref_{name}")
+        return F.when(total > 0, F.transform(name, lambda x: x / total)).alias(f"__ref_{name}")
 
-    return out.select("_lang", *(mean(name) for name in sides))
+    return out.select("__lang", *(mean(name) for name in sides))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -148,7 +148,8 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
     both = F.zip_with(p, q, lambda x, y: term(x, y) + term(y, x))
-    return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    distance = F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    return F.when(p.isNotNull() & q.isNotNull(), distance)
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", references: DataFrame | None = None,
@@ -163,11 +164,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
     are those of ``docs`` itself.
     """
     refs = language_references(docs, text, lang) if references is None else references
-    d = docs.withColumn("_m", _measures(text_of(text))).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
-    d = d.join(refs, "_lang", "left")  # a row per language: Spark measures it and broadcasts it
-    m = F.col("_m")
-    class_distance = jensen_shannon(m["classes"], F.col("_ref_classes"))
-    word_distance = jensen_shannon(m["common"], F.col("_ref_common"))
+    d = docs.withColumn("__m", _measures(text_of(text))).withColumn("__lang", F.coalesce(F.col(lang), F.lit("")))
+    d = d.join(refs, "__lang", "left")  # a row per language: Spark measures it and broadcasts it
+    m = F.col("__m")
+    class_distance = jensen_shannon(m["classes"], F.col("__ref_classes"))
+    word_distance = jensen_shannon(m["common"], F.col("__ref_common"))
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     counts = [n.split()[0] for n in _COUNTS.split(", ")]
     d = d.withColumn("_quality", F.struct(*(m[c].alias(c) for c in counts), failed.alias("base_failed"),
@@ -177,7 +178,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
         F.coalesce(q["word_distance"], F.lit(0.0)) > max_word_distance) | (
         F.coalesce((q["class_distance"] + q["word_distance"]) / 2, F.lit(0.0)) > max_mean_distance)
     return d.withColumn("_quality", q.withField("kept", ~q["base_failed"] & ~far)).drop(
-        "_m", "_lang", "_ref_classes", "_ref_common")
+        "__m", "__lang", "__ref_classes", "__ref_common")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -338,8 +338,9 @@ def test_word_repeats_equal_plain_search(docs, empty, most):
     assert word_windows.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [2, 32])
-def test_byte_repeats_equal_plain_search(spark, texts, docs, empty, most):
+@pytest.mark.parametrize("most,indexed", [(2, 2), (1000, 2), (1000, 1000)])
+def test_byte_repeats_equal_plain_search(spark, texts, docs, empty, most, indexed, monkeypatch):
+    monkeypatch.setattr(byte_windows, "MOST_INDEXED", indexed)
     k = 40
     rows = sorted((r for r in docs.select("doc_id", "text").collect() if r["doc_id"] is not None))
     seen, want = {}, []

@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rng = np.random.default_rng(SEED)
     model = Model(0.0, np.zeros(N_FEATURES, np.float32), rng.normal(0, 0.01, (N_FEATURES, RANK)).astype(np.float32))
     tasks = max(1, -(-n // ROWS_PER_TASK))
-    dealt = rows.repartition(tasks, "_k").sortWithinPartitions("_k", "_label")
+    # so many models of fixed size come back each round, whatever the session's number of partitions
+    dealt = rows.repartition(tasks).sortWithinPartitions("_k", "_label")
     for turn in range(rounds if n else 0):
         def learn(batches: Iterator[pd.DataFrame], start: Model = model, turn: int = turn) -> Iterator[pd.DataFrame]:
             data, said = [], []
@@ -161,7 +162,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pd.DataFrame({"n": [len(data)], "bias": [float(m.bias)], "weights": [m.weights.astype(np.float32).tobytes()],
                                     "vectors": [m.vectors.astype(np.float32).tobytes()], "check": [said[0]]})
 
-        # a bounded number of models of fixed size
         parts = sorted(dealt.mapInPandas(learn, "n bigint, bias double, weights binary, vectors binary, check int").collect(),
                        key=lambda r: (r["n"], r["bias"]))
         share = np.array([p["n"] for p in parts]) / sum(p["n"] for p in parts)

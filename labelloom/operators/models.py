@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
+import logging
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, keyword_only
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
@@ -33,6 +35,8 @@ from .knn import knn, knn_probability
 from .metrics import fold_means, leaderboard, score_table, weighted_metrics
 from .splits import stratified_folds
 
+log = logging.getLogger(__name__)
+
 Trainer = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 MEMORY_THEN_DISK = StorageLevel.MEMORY_AND_DISK
 
@@ -394,9 +398,12 @@ def compare_models(df: DataFrame, zoo: Mapping[str, Trainer], key: str = "row_id
         try:
             m = cross_validate(base, trainer, key, folds, seed, threshold, cache=False).first()
             rows.append((feature_set, name, m["mean_accuracy"], m["mean_f1"], m["mean_precision"]))
-        except Exception as e:
-            print(f"{name} failed: {e}")
+        except (ValueError, ArithmeticError, IllegalArgumentException):  # of the model; errors of the cluster go on
+            log.exception("%s failed", name)
             rows.append((feature_set, name, None, None, None))
+        except BaseException:
+            stored.unpersist()
+            raise
     stored.unpersist()
     return spark.createDataFrame(rows, schema)  # one row per model
 

@@ -119,6 +119,18 @@ def quoted_list(arr: Column | str) -> Column:
     )
 
 
+# how the lines of a feedback text begin
+FEEDBACK = {
+    "gold": "Labels of the row: ",
+    "pred": "Labels predicted: ",
+    "correct": "Found: ",
+    "missing": "Overlooked: ",
+    "penalised": "Wrongly added, three points off each: ",
+    "unpenalised": "Wrongly added at no cost: ",
+    "score": "Score from 0 to 1: ",
+}
+
+
 def feedback_text(gold: Column | str, pred: Column | str, error_msg: Column | str | None = None) -> Column:
     """Per-row explanation of a prediction: what was right, missing, wrong, and the score."""
     gold, pred = _col(gold), _col(pred)
@@ -130,16 +142,15 @@ def feedback_text(gold: Column | str, pred: Column | str, error_msg: Column | st
     def line_if_any(label: str, arr: Column) -> Column:
         return F.when(F.size(arr) > 0, line(label, arr, "."))
 
-    # Line formats of the report.
     report = F.concat_ws(
         "\n",
-        line("Gold groups: ", gold),
-        line("Predicted groups: ", pred),
-        line("Correct: ", diff["correct"]),
-        line_if_any("Missing groups (should be present): ", diff["missing"]),
-        line_if_any("False positives (penalized -3 each): ", diff["penalised"]),
-        line_if_any("Extra 'w' labels (not penalized, but unnecessary): ", diff["unpenalised"]),
-        F.format_string("Weighted-Jaccard-like score: %.3f", weighted_jaccard(gold, pred)),
+        line(FEEDBACK["gold"], gold),
+        line(FEEDBACK["pred"], pred),
+        line(FEEDBACK["correct"], diff["correct"]),
+        line_if_any(FEEDBACK["missing"], diff["missing"]),
+        line_if_any(FEEDBACK["penalised"], diff["penalised"]),
+        line_if_any(FEEDBACK["unpenalised"], diff["unpenalised"]),
+        F.concat(F.lit(FEEDBACK["score"]), F.format_string("%.3f", F.round(weighted_jaccard(gold, pred), 3))),
     )
     if error_msg is None:
         return report

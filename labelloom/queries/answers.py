@@ -125,19 +125,22 @@ def _sql_quoted(x: str) -> str:
     return f"CASE WHEN len({x}) = 0 THEN '[]' ELSE '[''' || array_to_string({x}, ''', ''') || ''']' END"
 
 
+def _sql_line(name: str, x: str, always: bool = False) -> str:
+    text = f"'{S.FEEDBACK[name]}' || {_sql_quoted(x)} || {'chr(10)' if always else "'.' || chr(10)"}"
+    return text if always else f"CASE WHEN len({x}) > 0 THEN {text} ELSE '' END"
+
+
+_SQL_PENALISED, _SQL_FREE = (f"list_filter(extra, lambda x: x {op} 'w')" for op in ("<>", "="))
+
+
 @query("feedback_text", f"""WITH {_SQL_SETS}
-SELECT doc_id, round(score, 6) AS score, 'Gold groups: ' || {_sql_quoted('gold')} || chr(10)
-  || 'Predicted groups: ' || {_sql_quoted('pred')} || chr(10) || 'Correct: ' || {_sql_quoted('correct')} || chr(10)
-  || CASE WHEN len(missing) > 0 THEN 'Missing groups (should be present): ' || {_sql_quoted('missing')} || '.' || chr(10) ELSE '' END
-  || CASE WHEN len(list_filter(extra, lambda x: x <> 'w')) > 0 THEN 'False positives (penalized -3 each): '
-       || {_sql_quoted("list_filter(extra, lambda x: x <> 'w')")} || '.' || chr(10) ELSE '' END
-  || CASE WHEN list_contains(extra, 'w') THEN 'Extra ''w'' labels (not penalized, but unnecessary): [''w''].' || chr(10) ELSE '' END
-  || 'Weighted-Jaccard-like score: ' AS feedback FROM w""")
+SELECT doc_id, round(score, 6) AS score, {_sql_line('gold', 'gold', True)} || {_sql_line('pred', 'pred', True)}
+  || {_sql_line('correct', 'correct', True)} || {_sql_line('missing', 'missing')} || {_sql_line('penalised', _SQL_PENALISED)}
+  || {_sql_line('unpenalised', _SQL_FREE)} || '{S.FEEDBACK["score"]}' || printf('%.3f', floor(round(score, 6) * 1000 + 0.5) / 1000) AS feedback FROM w""")
 def feedback_text(spark, d) -> DataFrame:
     sets = gold_and_pred(table(spark, d, "labels"), F.col("doc_id"), F.col("quality"))
-    # the score's three digits are compared as a number
     return sets.select("doc_id", F.round(S.weighted_jaccard("gold", "pred"), 6).alias("score"),
-                       F.regexp_replace(S.feedback_text("gold", "pred"), r"\d\.\d{3}$", "").alias("feedback"))
+                       S.feedback_text("gold", "pred").alias("feedback"))
 
 
 @query("mean_row_score", f"""WITH {_SQL_SETS}
@@ -153,7 +156,7 @@ def mean_row_score(spark, d) -> DataFrame:
 @query("gold_answers", f"""WITH s AS (SELECT doc_id, {sql_gold_and_pred('doc_id', 'quality')} FROM labels)
 SELECT doc_id, '{{"groups":[' || array_to_string(list_transform(gold, lambda x: '"' || x || '"'), ',') || ']}}' AS answer,
        CASE WHEN doc_id % 5 = 0 THEN '' ELSE array_to_string(gold, ',') END AS back,
-       list_contains(gold, '4')::INT AS "is_4", list_contains(gold, '7')::INT AS "is_7", list_contains(gold, 'w')::INT AS "is_w"
+       {', '.join(f"list_contains(gold, '{i}')::INT AS is_{i}" for i in S.TOPIC_IDS)}
 FROM s""")
 def gold_answers(spark, d) -> DataFrame:
     sets = gold_and_pred(table(spark, d, "labels"), F.col("doc_id"), F.col("quality"))
@@ -161,7 +164,7 @@ def gold_answers(spark, d) -> DataFrame:
     answer = S.answer_json("gold")
     broken = F.when(F.col("doc_id") % 5 == 0, F.lit('{"groups": oops')).otherwise(answer)
     return sets.select("doc_id", answer.alias("answer"), F.array_join(S.parse_answer_json(broken), ",").alias("back"),
-                       *[hot[f"is_{i}"].alias(f"is_{i}") for i in ("4", "7", "w")])
+                       *[hot[f"is_{i}"].alias(f"is_{i}") for i in S.TOPIC_IDS])
 
 
 @query("remap_scores", """

@@ -120,9 +120,9 @@ def test_feedback(spark):
     df = spark.createDataFrame([(["4", "7"], ["7", "5", "w"])], "g array<string>, p array<string>")
     text = df.select(S.feedback_text("g", "p")).first()[0]
     assert text.split("\n") == [
-        "Gold groups: ['4', '7']", "Predicted groups: ['7', '5', 'w']", "Correct: ['7']",
-        "Missing groups (should be present): ['4'].", "False positives (penalized -3 each): ['5'].",
-        "Extra 'w' labels (not penalized, but unnecessary): ['w'].", "Weighted-Jaccard-like score: 0.458"]
+        "Labels of the row: ['4', '7']", "Labels predicted: ['7', '5', 'w']", "Found: ['7']",
+        "Overlooked: ['4'].", "Wrongly added, three points off each: ['5'].",
+        "Wrongly added at no cost: ['w'].", "Score from 0 to 1: 0.458"]
 
 
 def test_flags_hot_answer(spark):

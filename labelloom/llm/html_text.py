@@ -36,7 +36,9 @@ BESIDE_ARTICLES = frozenset(
     "ad ads advert comment comments promo promoted related recommended replies reply sponsored widget".split())
 HEADER_NAMES = frozenset(["header", "banner"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a quote counts only after an equals sign; possessive parts never go back, so odd markup costs no extra time
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CLOSES_P = BLOCKS - {"body", "html"}
@@ -74,8 +76,9 @@ def parse(page: str) -> Node:
     stack = [root]  # open elements that are kept
     skipped: list[str] = []  # open elements inside a dropped one, itself first
     at, n = 0, len(page)
+    last = page.rfind(">")  # no tag ends after it
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else None
         if not m:
             if not skipped:
                 stack[-1].children.append(page[at:])

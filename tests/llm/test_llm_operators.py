@@ -466,7 +466,7 @@ PAGES = [
     ("<article><p>Kept</p><section class='comments'><article class='comment'>gone</article></section><p>also</p></article>",
      "Kept\nalso"),
     ("just text &lt;b&gt; &eacute;", "just text <b> é"), ("", ""), (None, ""), ("<div></div>", ""), ("<p>cut <a href='x", "cut <a href='x"),
-    ("<!-- c --><p>a<!-- b -->b</p>", "ab"), ("<table><tr><td>x<td>y<tr><td>z</table>", "x y\nz"),
+    ("<!-- c --><p>a<!-- b -->b</p>", "ab"), ("<p title=don't>it isn't</p><p data-x='a>b'>yes</p>", "it isn't\nyes"), ("<table><tr><td>x<td>y<tr><td>z</table>", "x y\nz"),
     ("<div>" * 3000 + "deep", "deep"),
 ]
 

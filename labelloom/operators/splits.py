@@ -46,11 +46,10 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.2
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """min(n, rows) rows without replacement."""
-    if n <= SMALL_LIMIT:
-        return df.withColumn("_h", seeded_hash(key, seed)).orderBy("_h", key).limit(n).drop("_h")
-    # 60 bits of the hash as a number: the same order, selectable by counting
+    """min(n, rows) rows without replacement: those with the smallest 60 bits of the seeded hash, then key."""
     hashed = df.withColumn("_h", F.conv(F.substring(seeded_hash(key, seed), 1, 15), 16, 10).cast("bigint"))
+    if n <= SMALL_LIMIT:
+        return hashed.orderBy("_h", key).limit(n).drop("_h")
     return smallest_k(hashed, n, "_h", key).drop("_h")
 
 

@@ -42,11 +42,8 @@ def sample_n(spark, d) -> DataFrame:
 LIMIT (SELECT count(*) // 2 FROM events)""")
 def sample_large(spark, d) -> DataFrame:
     """Half of the events: beyond what one task may hold at scale, so selected by counting."""
-    from ..operators.ranking import smallest_k_by_count
-
     ev = table(spark, d, "events")
-    hashed = ev.withColumn("_h", F.conv(F.substring(S.seeded_hash("event_id", 7), 1, 15), 16, 10).cast("bigint"))
-    return smallest_k_by_count(hashed, ev.count() // 2, "_h", "event_id").select("event_id", "user_id")
+    return S.sample_rows(ev, "event_id", ev.count() // 2, seed=7).select("event_id", "user_id")
 
 
 @query("first_n", "SELECT doc_id, quality FROM labels ORDER BY doc_id LIMIT 200")

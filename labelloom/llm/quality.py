@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import text_of
+from .base import staged, text_of
 
 # Frequent function words of four languages.
 COMMON_WORDS = {
@@ -165,7 +165,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
     """
     refs = language_references(docs, text, lang) if references is None else references
     d = docs.withColumn("__m", _measures(text_of(text))).withColumn("__lang", F.coalesce(F.col(lang), F.lit("")))
-    d = d.join(refs, "__lang", "left")  # a row per language: Spark measures it and broadcasts it
+    # a row per language, stored, so that Spark knows its size before it plans the join: small, it is broadcast and the
+    # texts stay where they are; large, the join shuffles and adaptive execution splits a frequent language
+    d = d.join(staged(refs), "__lang", "left")
     m = F.col("__m")
     class_distance = jensen_shannon(m["classes"], F.col("__ref_classes"))
     word_distance = jensen_shannon(m["common"], F.col("__ref_common"))

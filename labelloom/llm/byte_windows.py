@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .base import text_of
 from .run_length_index import RunLengthIndex
-from .superkmers import Units, covered_windows, mixed, unit_spans, with_spans
+from .superkmers import Units, covered_windows, mixed, sorted_windows, unit_spans, with_spans
 
 WINDOW = 100
 PIECE = 32
 #: bytes of the texts that are looked at together (one text may be longer)
 _CHUNK_BYTES = 1 << 20
-#: distinct strings of one minimiser that are indexed in a bucket; with more, windows are aggregated
-MOST_STRINGS = 32
+#: distinct strings of one minimiser that are indexed in a bucket; with more, their windows are sorted there
+MOST_INDEXED = 16
+#: distinct strings of one minimiser that meet in a bucket; with more, windows are aggregated by Spark
+MOST_STRINGS = 16_000
 #: strings of a bucket, about: enough to advance together
 BUCKET_STRINGS = 16_000
 #: windows of a stream at most; longer strings are streamed in overlapping parts
@@ -76,7 +78,10 @@ def _settle(k: int):
         order = np.lexsort((start, doc, h))
         cuts = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
         groups = [g.tolist() for g in np.split(order, cuts[1:])]
-        plans = [(g, _halvings(len(g))) for g in groups if len(g) > 1]
+        plans = [(g, _halvings(len(g))) for g in groups if 1 < len(g) <= MOST_INDEXED]
+        large = [i for g in groups if len(g) > MOST_INDEXED for i in g]
+        for i, own in zip(large, _sort_all([packed[i] for i in large], n[large], k) if large else ()):
+            flags[i] = own
         turn = 0
         while plans:
             earlier, later = [], []
@@ -103,6 +108,19 @@ def _settle(k: int):
     return settle
 
 
+def _sort_all(texts: list[bytes], n: np.ndarray, k: int) -> list[np.ndarray]:
+    """Flags of the windows that equal an earlier one; the texts are in order of their places."""
+    symbols = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64)
+    size = n + k - 1
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(size) - size, n) + offset
+    order, new = sorted_windows(symbols, at, k)
+    least = np.minimum.reduceat(at[order], np.flatnonzero(new))
+    flags = np.empty(len(at), dtype=bool)
+    flags[order] = least[np.cumsum(new) - 1] < at[order]
+    return np.split(flags, np.cumsum(n)[:-1])
+
+
 def _repeats_within(text: bytes, k: int) -> np.ndarray:
     seen: set[bytes] = set()
     out = np.zeros(len(text) - k + 1, dtype=bool)

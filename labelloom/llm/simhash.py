@@ -9,7 +9,7 @@ size are one row before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -32,29 +32,42 @@ _SHORT_RUN = 48
 _MEMORY = 200_000
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """SimHash of the text's word shingles as a signed 64-bit number; 0 for a text without words.
+def _hashes(text: str, shingle: int) -> Iterator[bytes]:
+    """XXH64 digests of the text's word shingles, ``_STEP`` at a time; nothing for a text without words.
 
-    A-Z are lower-cased, words are separated by ASCII white space, repeated shingles count; a text with fewer words is
-    one shingle. A bit is set if more than half of the shingles' XXH64 hashes have it.
+    A-Z are lower-cased, words are separated by ASCII white space, a text with fewer words is one shingle.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_digest
-    counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, _STEP):
         some = starts[at:at + min(_STEP, n - at)]
         ends = starts[at + shingle:at + shingle + len(some)] if len(words) >= shingle else starts[-1:]
-        hashes = b"".join([digest(joined[a:z - 1], SEED) for a, z in zip(some, ends)])
+        yield b"".join([digest(joined[a:z - 1], SEED) for a, z in zip(some, ends)])
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """SimHash of the text's word shingles as a signed 64-bit number; 0 for a text without words.
+
+    Repeated shingles count. A bit is set if more than half of the shingles' XXH64 hashes have it.
+    """
+    n, counts = 0, np.zeros(BITS, dtype=np.int64)
+    for hashes in _hashes(text, shingle):
         bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(bits)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the text's word shingles."""
+    return np.unique(np.frombuffer(b"".join(_hashes(text, shingle)), dtype=np.uint64))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     @F.arrow_udf("bigint")
     def prints(column: pa.Array) -> pa.Array:
@@ -195,12 +208,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return rows.join(named, "fingerprint").select(key, "digest", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates,
+                **options) -> DataFrame:
     """``docs`` with one row of every group of near copies: the one with the smallest key (of equal keys, one row).
 
-    Rows with a NULL key stay only where no keyed row is in their group, one of each distinct text.
+    Rows with a NULL key stay only where no keyed row is in their group, one of each distinct text. ``find`` gives the
+    groups as ``near_duplicates`` does.
     """
-    found = near_duplicates(docs, key, text, **options)
+    found = find(docs, key, text, **options)
     kept = found.filter(F.col("component_id").isNull() | (F.col(key) == F.col("component_id")))
     same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__other"))
     kept = kept.select(F.col(key).alias("__key"), F.col("digest").alias("__other")).distinct()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.llm import (byte_windows, components, decontamination, factorisation, html_text, mixing, quality, run_length_index,
-                           secrets, simhash, superkmers, url_filter, word_windows)
+                           secrets, simhash, similarity, superkmers, url_filter, word_windows)
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa la le the of and die der que Überweg été".split()
 #: columns whose names an operator might use inside
@@ -207,6 +207,43 @@ def test_one_of_each(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [4_000_000, 700])
+def test_similar_texts_equal_plain_pairs(spark, most, monkeypatch):
+    monkeypatch.setattr(similarity, "GROUP_CHARS", most)
+    rng = random.Random(21)
+    texts, vocabulary = [], [f"w{i}" for i in range(400)]
+    for _ in range(12):  # copies of each base with more and more changed words, so similarities around the bound
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(20, 120))]
+        for edits in (0, 1, 1, 2, 3, 4, 6):
+            words = base.copy()
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += ["", None, "one two", "One  two", texts[0].upper(), texts[3]]
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    between = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                between += a != b
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert between > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in similarity.similar_texts(df, shingle=5).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
 def test_components_of_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5, 5), (3, 0), (3, 0)]
     stars = {r["a"]: r["b"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -3,6 +3,7 @@
 Each text becomes two histograms: character classes and common words. The reference of a language is the mean
 histogram of all its documents (long enough to have one); the Jensen-Shannon distance of a text from it tells
 token soup, shouting and markup remains from prose. Short texts have no stable histogram and are not judged by it.
+A text whose language is not known is held against the nearest reference of the known ones.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.42
 #: of the mean of both distances: a text moderately odd in both ways
 MAX_MEAN_DISTANCE = 0.23
+#: a language's reference stands for texts of unknown language if at least so many documents made it
+MIN_REFERENCE_DOCS = 10
 #: a document's histogram enters the reference as shares of one million, so that sums are exact in any order
 SCALE = 1_000_000
 
@@ -123,23 +126,24 @@ def _measures(text: Column) -> Column:
 
 
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per language: mean histograms of all its documents of sufficient length.
+    """One row per language: mean histograms of all its documents of sufficient length, and ``__ref_docs``, how many have both.
 
     A document counts once, whatever its length. Sums are partial in each task before they are shuffled, so a language
-    with most of the rows costs no more than another. NULL languages form a group of their own.
+    with most of the rows costs no more than another. NULL and empty languages have no reference.
     """
-    h = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("__lang"), _shares(text_of(text)).alias("_h"))
+    h = docs.filter(F.col(lang) != "").select(F.col(lang).alias("__lang"), _shares(text_of(text)).alias("_h"))
     sides = {"classes": len(CLASSES), "common": len(VOCABULARY) + 1}
     sums = [F.sum(F.col(f"_h.{name}")[i]).alias(f"_{name}{i}") for name, n in sides.items() for i in range(n)]
-    out = h.groupBy("__lang").agg(*sums)
+    judged = (F.array_max("_h.classes") > 0) & (F.array_max("_h.common") > 0)
+    out = h.groupBy("__lang").agg(*sums, F.count_if(judged).alias("__ref_docs"))
 
-    out = out.select("__lang", *(F.array(*[f"_{name}{i}" for i in range(n)]).alias(name) for name, n in sides.items()))
+    out = out.select("__lang", "__ref_docs", *(F.array(*[f"_{name}{i}" for i in range(n)]).alias(name) for name, n in sides.items()))
 
     def mean(name: str) -> Column:
         total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
         return F.when(total > 0, F.transform(name, lambda x: x / total)).alias(f"__ref_{name}")
 
-    return out.select("__lang", *(mean(name) for name in sides))
+    return out.select("__lang", "__ref_docs", *(mean(name) for name in sides))
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -162,15 +166,28 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
     (NULL below the length guards) and kept. Empty and NULL texts have no words and fail; equal texts of one language get
     equal verdicts; an empty table gives an empty result. ``references`` may come from another corpus; by default they
     are those of ``docs`` itself.
+
+    A text of NULL, empty or unknown language (one without a row in the references) is judged by the reference at the
+    smallest mean of both distances, of those that ``MIN_REFERENCE_DOCS`` documents made; without any its distances are NULL.
     """
-    refs = language_references(docs, text, lang) if references is None else references
+    refs = staged(language_references(docs, text, lang) if references is None else references)
     d = docs.withColumn("__m", _measures(text_of(text))).withColumn("__lang", F.coalesce(F.col(lang), F.lit("")))
     # a row per language, stored, so that Spark knows its size before it plans the join: small, it is broadcast and the
     # texts stay where they are; large, the join shuffles and adaptive execution splits a frequent language
-    d = d.join(staged(refs), "__lang", "left")
+    d = d.join(refs.withColumn("__known", F.lit(True)), "__lang", "left")
+    # one row that holds the references of all languages
+    trusted = refs.filter((F.col("__ref_docs") >= MIN_REFERENCE_DOCS) & F.col("__ref_classes").isNotNull() & F.col("__ref_common").isNotNull())
+    d = d.crossJoin(F.broadcast(trusted.agg(F.collect_list(F.struct("__ref_classes", "__ref_common")).alias("__refs"))))
     m = F.col("__m")
-    class_distance = jensen_shannon(m["classes"], F.col("__ref_classes"))
-    word_distance = jensen_shannon(m["common"], F.col("__ref_common"))
+
+    def distances(classes: Column, common: Column) -> Column:
+        by_class, by_word = jensen_shannon(m["classes"], classes), jensen_shannon(m["common"], common)
+        near = F.coalesce((by_class + by_word) / 2, by_class, by_word)
+        return F.struct(near.alias("near"), by_class.alias("classes"), by_word.alias("common"))
+
+    nearest = F.array_min(F.transform("__refs", lambda r: distances(r["__ref_classes"], r["__ref_common"])))
+    d = d.withColumn("__far", F.when(F.col("__known"), distances(F.col("__ref_classes"), F.col("__ref_common"))).otherwise(nearest))
+    class_distance, word_distance = F.col("__far.classes"), F.col("__far.common")
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     counts = [n.split()[0] for n in _COUNTS.split(", ")]
     d = d.withColumn("_quality", F.struct(*(m[c].alias(c) for c in counts), failed.alias("base_failed"),
@@ -180,7 +197,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
         F.coalesce(q["word_distance"], F.lit(0.0)) > max_word_distance) | (
         F.coalesce((q["class_distance"] + q["word_distance"]) / 2, F.lit(0.0)) > max_mean_distance)
     return d.withColumn("_quality", q.withField("kept", ~q["base_failed"] & ~far)).drop(
-        "__m", "__lang", "__ref_classes", "__ref_common")
+        "__m", "__lang", "__known", "__ref_docs", "__ref_classes", "__ref_common", "__refs", "__far")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -490,6 +490,26 @@ def test_odd_texts_are_told_from_prose(spark):
     assert not kept & {60, 61, 62}
 
 
+def test_texts_of_unknown_language_are_held_against_the_nearest(spark):
+    rng = random.Random(31)
+    rows = []
+    for lang, words in quality.COMMON_WORDS.items():  # function words of one language between content words of its own
+        content = [f"{lang}{rng.choice('aeiou')}{x}{'é' * (lang == 'fr')}" for x in "bdfgklmnprst"]
+        for _ in range(30):
+            t = " ".join(rng.choice(words.split() if rng.random() < 0.6 else content) for _ in range(120))
+            rows.append((len(rows), t, lang))
+    junk = [" ".join(w + "###" for w in rows[0][1].split()), rows[40][1].upper()]
+    clean = spark.createDataFrame([(i, t, None if i % 2 else x) for i, t, x in rows], "doc_id int, text string, lang string")
+    odd = spark.createDataFrame([(1000 + i, t, x) for i, t in enumerate(junk) for x in (None, "", "xx")], "doc_id int, text string, lang string")
+    assert {r["doc_id"] for r in quality.keep_good(clean).collect()} == set(range(len(rows)))
+    refs = quality.language_references(clean)
+    assert {r["__lang"] for r in refs.collect()} == set(quality.COMMON_WORDS)
+    assert quality.quality_rules(odd, references=refs).filter("_quality.kept").count() == 0
+    # without any reference only the other rules hold
+    out = quality.quality_rules(clean.withColumn("lang", F.lit(None).cast("string"))).select("_quality.*")
+    assert out.filter("kept and class_distance is null and word_distance is null").count() == len(rows)
+
+
 # ---- pages -------------------------------------------------------------------------------------------------------------
 
 PAGES = [

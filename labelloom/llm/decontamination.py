@@ -99,7 +99,7 @@ class _Windows:
                 self.items_of.setdefault(tuple(words[i:i + size]), set()).add(item)
         self.vocabulary = sorted({w for words in self.items_of for w in words})
 
-    def search(self, lists: dict[bytes, np.ndarray], near_span: int) -> tuple[list, list]:
+    def search(self, lists: dict[bytes, np.ndarray], near_span: int, first: np.ndarray) -> tuple[list, list]:
         """(window, its start positions) of exact matches; (window, (start, end)) of proximity matches."""
         exact, near = [], []
         none = np.empty(0, np.int64)
@@ -116,7 +116,7 @@ class _Windows:
             if len(starts):
                 exact.append((words, starts))
             if near_span:
-                near += [(words, span) for span in _close_together(words, by_rarity, lists, near_span)]
+                near += [(words, span) for span in _close_together(words, by_rarity, lists, near_span, first)]
         return exact, near
 
 
@@ -127,22 +127,52 @@ def _present(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return values[among[at] == values]
 
 
-def _close_together(words: tuple[bytes, ...], by_rarity: list[int], lists: dict, span: int) -> list[tuple[int, int]]:
-    """Around each occurrence of the rarest term: the nearest occurrence of every other, if all lie within ``span``."""
-    terms = list(dict.fromkeys(words[i] for i in by_rarity))
-    low = high = lists[terms[0]]
-    for t in terms[1:]:
-        near = lists[t]
-        at = np.searchsorted(near, low)
-        before, after = near[np.maximum(at - 1, 0)], near[np.minimum(at, len(near) - 1)]
-        cost = [np.maximum(high, x) - np.minimum(low, x) for x in (before, after)]
-        pick = np.where(cost[0] < cost[1], before, after)
-        low, high = np.minimum(low, pick), np.maximum(high, pick)
-        ok = high - low < span
-        low, high = low[ok], high[ok]
-        if not len(low):
-            return []
-    return list(dict.fromkeys(zip(low.tolist(), (high + 1).tolist())))
+def _close_together(words: tuple[bytes, ...], by_rarity: list[int], lists: dict, span: int, first: np.ndarray) -> list[tuple[int, int]]:
+    """Around each occurrence of a document's rarest term: the smallest span of the document that holds every term, if within ``span``.
+
+    ``first``: the documents' first positions. Of equally rare terms the window's first counts, of equal spans the first:
+    what a document gives depends on no other.
+    """
+    terms = list(dict.fromkeys(words))
+    if any(t not in lists for t in terms):
+        return []
+    finish = np.append(first[1:], np.iinfo(np.int64).max)
+    docs = np.unique(np.searchsorted(first, lists[words[by_rarity[0]]], "right") - 1)
+    inside = [(np.searchsorted(lists[t], first[docs]), np.searchsorted(lists[t], finish[docs])) for t in terms]
+    counts = np.stack([z - a for a, z in inside])
+    rarest = np.where((counts > 0).all(axis=0), counts.argmin(axis=0), -1)
+    out: dict[tuple[int, int], None] = {}
+    for r in np.unique(rarest[rarest >= 0]).tolist():
+        of = np.flatnonzero(rarest == r)
+        hits = np.concatenate([lists[terms[r]][a:z] for a, z in zip(inside[r][0][of].tolist(), inside[r][1][of].tolist())])
+        document = np.repeat(docs[of], counts[r][of])
+        low, high = np.maximum(first[document], hits - span + 1), np.minimum(finish[document], hits + span)
+        around = {n: (np.searchsorted(lists[t], low), np.searchsorted(lists[t], high)) for n, t in enumerate(terms) if n != r}
+        whole = np.ones(len(hits), bool)
+        for a, z in around.values():
+            whole &= z > a
+        for i in np.flatnonzero(whole).tolist():
+            near = [(int(hits[i]), r)] + [(x, n) for n, (a, z) in around.items() for x in lists[terms[n]][a[i]:z[i]].tolist()]
+            best = _smallest(sorted(near), len(terms))
+            if best and best[1] - best[0] < span:
+                out[best[0], best[1] + 1] = None
+    return list(out)
+
+
+def _smallest(positions: list[tuple[int, int]], n_terms: int) -> tuple[int, int] | None:
+    """First and last position of the smallest span that holds all terms; (position, term) sorted."""
+    best, held, missing, left = None, [0] * n_terms, n_terms, 0
+    for x, n in positions:
+        missing -= not held[n]
+        held[n] += 1
+        while not missing:
+            a, m = positions[left]
+            if best is None or x - a < best[1] - best[0]:
+                best = (a, x)
+            held[m] -= 1
+            missing += not held[m]
+            left += 1
+    return best
 
 
 def _union_length(spans: np.ndarray, document: np.ndarray, n_documents: int) -> np.ndarray:
@@ -169,7 +199,7 @@ def _search(index: DataFrame, windows: _Windows, near_span: int) -> DataFrame:
                     p.to_pylist() if j in (0, 4) else p.to_numpy(zero_copy_only=False) for j, p in enumerate(part))
                 begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 lists = {t.encode(): positions[a:z] for t, a, z in zip(terms, begins.tolist(), ends.tolist())}
-                exact, near = windows.search(lists, near_span)
+                exact, near = windows.search(lists, near_span, first)
                 matches: list[list] = [[] for _ in ids]
                 items: list[set] = [set() for _ in ids]
                 spans: list[np.ndarray] = []
@@ -181,8 +211,6 @@ def _search(index: DataFrame, windows: _Windows, near_span: int) -> DataFrame:
                         matches[d] += [(x, "phrase", s, s + len(words)) for x in windows.items_of[words]]
                 for words, (a, z) in near:
                     d = int(np.searchsorted(first, a, "right")) - 1
-                    if z - 1 >= first[d] + n_words[d]:
-                        continue  # reaches into the next document
                     a, z = a - int(first[d]), z - int(first[d])
                     matches[d] += [(x, "proximity", a, z) for x in windows.items_of[words]]
                 hit = np.zeros(len(ids), np.int64)

@@ -330,6 +330,36 @@ def test_proximity_matches(spark):
     assert got == {1: [("proximity", 1, 7)], 2: [], 3: []}
 
 
+def test_proximity_matches_equal_plain_search_in_short_documents(spark):
+    rng = random.Random(17)
+    items = [(1, "red green blue"), (2, "blue white red black"), (3, "green green red")]
+    texts = [" ".join(rng.choice("red green blue white black x y z u v w".split()) for _ in range(rng.randint(0, 30))) for _ in range(150)]
+    texts += ["white end red", "green blue u", "blue " + "x " * 4 + "red y green blue"]
+
+    def plain(text, item, span):
+        words, terms, found = text.split(), set(item.split()), set()
+        for a in range(len(words)):
+            for z in range(a + 1, min(a + span, len(words)) + 1):
+                if terms <= set(words[a:z]):
+                    found.add((a, z))
+        return {t: {min((z - a, a, z) for a, z in found if a <= i < z)[1:] for i, w in enumerate(words) if w == t
+                    and any(a <= i < z for a, z in found)} for t in terms}
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontamination.contamination(df, bench, near_span=8).collect()
+    n = 0
+    for item, text in items:
+        want = [plain(t, text, 8) for t in texts]
+        got = {r["doc_id"]: {(m["start"], m["end"]) for m in r["matches"] if m["kind"] == "proximity" and m["item_id"] == item} for r in rows}
+        def rarest(t):
+            return min(dict.fromkeys(text.split()), key=t.split().count)
+
+        assert got == {i: w[rarest(t)] for i, (t, w) in enumerate(zip(texts, want))}
+        n += sum(map(len, got.values()))
+    assert n > 50
+
+
 # ---- repeated windows --------------------------------------------------------------------------------------------------
 
 def test_matching_statistics_equal_plain_search():

@@ -3,7 +3,7 @@
 Every page becomes a small element tree. A node's composite density is its characters per tag, lowered by the share of
 characters and tags inside links; a node's density sum adds up its children's densities. The body's node with the
 largest sum is the core of the article. The lowest density on the path from it up to the body is the threshold: on that
-path, neighbours of at least that density belong to the article too. Parts whose element or name says that they are
+path, neighbours of at least that density belong to the article too, as does text right inside its elements. Parts whose element or name says that they are
 menus, adverts, forms, notices or comments are cut out before anything is measured.
 """
 
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object".split())
 DROPPED = frozenset(
-    "nav footer aside form script style noscript template textarea title iframe svg math object head button select "
+    "nav footer aside form script style noscript template textarea title iframe svg object head button select "
     "dialog menu canvas audio video fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -35,11 +35,13 @@ BOILERPLATE = frozenset(
 BESIDE_ARTICLES = frozenset(
     "ad ads advert comment comments promo promoted related recommended replies reply sponsored widget".split())
 HEADER_NAMES = frozenset(["header", "banner"])
+#: elements whose id may name boilerplate
+CONTAINERS = frozenset("div ul ol span table dl a p iframe".split())
 
 # a quote counts only after an equals sign; possessive parts never go back, so odd markup costs no extra time
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>", re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CLOSES_P = BLOCKS - {"body", "html"}
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
@@ -63,7 +65,9 @@ def _is_boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
     if not attributes or tag in ("body", "html", "main"):
         return False
     names = BESIDE_ARTICLES if tag == "article" else BOILERPLATE
-    for _, value in _NAMED.findall(attributes):
+    for name, value in _NAMED.findall(attributes):
+        if name.lower() == "id" and tag not in CONTAINERS:
+            continue  # ids of sections and headings are made from their heading
         words = _WORD.findall(value.lower())
         if any(w in names or (w in HEADER_NAMES and not inside_article) for w in words):
             return True
@@ -185,8 +189,8 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def article_nodes(root: Node) -> list[Node]:
-    """The subtree with the largest density sum, widened along its path to the body; in page order."""
+def article_nodes(root: Node) -> list[Node | str | None]:
+    """The subtree with the largest density sum, widened along its path to the body; in page order, None where a block ends."""
     nodes = measure(root)
     if not root.chars:
         return []
@@ -201,20 +205,21 @@ def article_nodes(root: Node) -> list[Node]:
     if best is root:
         return [root]
     threshold = min(x.density for x in path)
-    kept = [best]
+    before, after = [], []
     for inner, outer in zip(path, path[1:]):
-        near = [x for x in outer.children if isinstance(x, Node)]
-        i = near.index(inner)
-        kept = ([x for x in near[:i] if x.density >= threshold or _is_heading(x)] + kept
-                + [x for x in near[i + 1:] if x.density >= threshold])
-    return kept
+        i = next(i for i, x in enumerate(outer.children) if x is inner)
+        edge = [None] if inner.tag in BLOCKS else []  # its text does not run into the outer one's
+        # text that stands directly in an element of the path belongs to it
+        before.append([x for x in outer.children[:i] if isinstance(x, str) or x.density >= threshold or _is_heading(x)] + edge)
+        after += edge + [x for x in outer.children[i + 1:] if isinstance(x, str) or x.density >= threshold]
+    return [*(x for part in reversed(before) for x in part), best, *after]
 
 
 def _is_heading(node: Node) -> bool:
     return re.fullmatch(r"h[1-6]|hgroup|header", node.tag) is not None
 
 
-def blocks(top: list[Node]) -> list[str]:
+def blocks(top: list[Node | str | None]) -> list[str]:
     """Text of every block in page order: references decoded, white space made one space."""
     out: list[str] = []
     run: list[str] = []

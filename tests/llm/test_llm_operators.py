@@ -563,6 +563,15 @@ def test_page_text(page, want):
     assert html_text.extract(page) == want
 
 
+def test_text_of_the_article_stays():
+    long = "a sentence with words " * 10
+    assert html_text.extract(f"<body>Intro text<div><p>{long}</p><p>{long}</p></div>Closing text</body>") == "\n".join(
+        ["Intro text", long.strip(), long.strip(), "Closing text"])
+    assert html_text.extract('<article><h2 id="share-prices">Prices</h2><section id="related-work"><p>Work</p></section>'
+                             '<p data-id="promo">x <math><mi>y</mi></math></p></article>') == "Prices\nWork\nx y"
+    assert html_text.extract("<article><p>Text</p><div id=related-links><a href=x>more</a></div></article>") == "Text"
+
+
 def test_page_frame(spark):
     df = spark.createDataFrame([(i, p, "old") for i, (p, _) in enumerate(PAGES)], "page_id int, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}

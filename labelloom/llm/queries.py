@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_windows, decontamination, factorisation, html_text, mixing, quality, secrets, simhash, url_filter, word_windows
+from . import byte_windows, decontamination, factorisation, html_text, merkle, mixing, quality, secrets, simhash, url_filter, word_windows
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -159,3 +159,67 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("_repeats")
     return d.select("doc_id", r["n_bytes"].alias("n_bytes"), r["n_removed"].alias("n_removed"),
                     F.size(r["spans"]).cast("bigint").alias("n_spans"), F.sha2(r["kept"], 256).alias("kept_sha256"))
+
+
+def sql_crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string as a DuckDB expression: one step for each byte and bit."""
+    bit = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    eight = "list_reduce([xor(c, b)::UBIGINT, 0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[], lambda r, i: " + bit.format("r") + ")"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda c, b: {eight}), 4294967295::UBIGINT)"
+
+
+def _sql_field(c: str) -> str:
+    return f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_sql_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_SQL_MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf,
+    CASE WHEN {sql_crc32("doc_id::VARCHAR")} % 7 = 0 AND n_chars IS NOT NULL THEN {_sql_leaf("n_chars + 1")} ELSE {_sql_leaf("n_chars")} END AS given
+  FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf) - 1 AS r FROM d),
+nodes AS (
+  SELECT lang, 0 AS k, list(leaf ORDER BY r) AS l FROM ranked GROUP BY lang
+  UNION ALL
+  SELECT lang, k + 1, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))
+  FROM nodes WHERE len(l) > 1),
+subroots AS (SELECT lang, l[1] AS subroot, k AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM nodes WHERE len(l) = 1),
+tops AS (
+  SELECT 0 AS k, list(subroot ORDER BY g) AS l FROM subroots HAVING count(*) > 0
+  UNION ALL
+  SELECT k + 1, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))
+  FROM tops WHERE len(l) > 1),
+roots AS (SELECT l[1] AS root FROM tops WHERE len(l) = 1),
+steps AS (
+  SELECT r.lang, r.r, n.k AS level, (r.r >> n.k) & 1 AS pos, coalesce(n.l[xor(r.r >> n.k, 1) + 1], '') AS sib
+  FROM ranked r JOIN nodes n ON n.lang IS NOT DISTINCT FROM r.lang AND len(n.l) > 1
+  UNION ALL
+  SELECT r.lang, r.r, s.height + t.k, (s.g >> t.k) & 1, coalesce(t.l[xor(s.g >> t.k, 1) + 1], '')
+  FROM ranked r JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang JOIN tops t ON len(t.l) > 1),
+proofs AS (SELECT lang, r, list({{'pos': pos, 'sib': sib}} ORDER BY level) AS p FROM steps GROUP BY lang, r),
+folded AS (
+  SELECT ranked.lang, ranked.r, 0 AS k, given AS h, coalesce(p, []) AS p FROM ranked
+  LEFT JOIN proofs ON proofs.lang IS NOT DISTINCT FROM ranked.lang AND proofs.r = ranked.r
+  UNION ALL
+  SELECT lang, r, k + 1, CASE WHEN p[k + 1].pos = 0 THEN sha256(h || p[k + 1].sib) ELSE sha256(p[k + 1].sib || h) END, p
+  FROM folded WHERE k < len(p))
+SELECT d.doc_id, d.leaf, s.subroot, roots.root, sha256(array_to_string(list_transform(f.p, lambda x: x.sib), '')) AS proof_sha256,
+  f.h AS folded_root, f.h = roots.root AS verified
+FROM ranked d JOIN folded f ON f.lang IS NOT DISTINCT FROM d.lang AND f.r = d.r AND f.k = len(f.p)
+JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang CROSS JOIN roots"""
+
+
+@query("op12_merkle_manifest", _SQL_MERKLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    one_more = merkle.leaf_hash(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in docs.columns))
+    changed = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    d = merkle.manifest(docs, carry={"tampered": F.when(changed, one_more)})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return d.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
+                    folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))

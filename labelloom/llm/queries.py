@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_windows, decontamination, factorisation, html_text, merkle, mixing, quality, secrets, simhash, url_filter, word_windows
+from . import byte_windows, conversations, decontamination, factorisation, html_text, merkle, mixing, quality, secrets, simhash, url_filter, word_windows
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -223,3 +223,20 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
     return d.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
                     folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage, by the checksum of a row's id and turn."""
+    d = rows.select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")))
+    ident = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    d = d.withColumn("_kind", (F.crc32(ident) % 20).cast("int")).filter("_kind != 0")
+    text = F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("_kind") == 3, 2).otherwise(1)))
+    return d.select("conv_id", "turn", F.when(F.col("_kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                    times.alias("_times")).drop("_times")
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.Repair(damaged(given)).report(given)

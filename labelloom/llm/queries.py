@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_windows, conversations, decontamination, factorisation, html_text, merkle, mixing, quality, secrets, simhash, url_filter, word_windows
+from . import byte_windows, conversations, decontamination, factorisation, html_text, merkle, mixing, quality, secrets, simhash, token_files, url_filter, word_windows
 from .base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -240,3 +240,13 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return conversations.Repair(damaged(given)).report(given)
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                      public_tokenizers.path("word_bpe_49k.json"), end=1, words=True)
+    return token_files.read_tokens(spark, folder).select(
+        F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

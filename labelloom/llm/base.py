@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,7 @@ ORACLES: dict[str, str] = {}
 
 #: stands for a missing doc_id wherever ids are ordered: after every other id
 LAST_ID = (1 << 63) - 1
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def query(name: str, sql: str | None = None):
@@ -59,7 +61,26 @@ def staged(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged rows that nothing will read again."""
+    for df in frames:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A long text cut at ASCII white space, in pieces of about that many bytes."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size)
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
 
 
 #: what ``in_order`` numbers rows by: the partition above these bits, the place in the partition below

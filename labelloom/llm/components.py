@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .base import staged
+from .base import discard, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     result. Every round is a few aggregates and joins on the edges; minima are taken by partial aggregation, and joins on
     a hub are split by adaptive execution, so no task ever holds a hub's neighbours. Rounds grow with the logarithm of
     a component's size. Each round's edges are written to the shared folder, so plans do not grow and lost executors
-    repeat one round at most.
+    repeat one round at most; a round's edges are deleted once the next ones are written.
     """
     e = staged(edges.filter(F.col("a") != F.col("b"))
                .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        last, e = e, staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(last)
         before, state = state, _state(e)
         if state == before:
             return e

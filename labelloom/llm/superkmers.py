@@ -166,7 +166,7 @@ def _bitmap(values: DataFrame) -> np.ndarray:
     return out
 
 
-class _Known:
+class Known:
     """Values whose bit is set; the bitmap is shared with the tasks once."""
 
     def __init__(self, values: DataFrame):
@@ -183,7 +183,7 @@ def _digests(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), dtype=np.int64).reshape(-1, 2)
 
 
-def _places(texts: DataFrame, units: Units, known: _Known, within: bool) -> DataFrame:
+def _places(texts: DataFrame, units: Units, known: Known, within: bool) -> DataFrame:
     """Every super-k-mer whose minimiser is known: where it is, and the digest of its content."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +204,7 @@ def _places(texts: DataFrame, units: Units, known: _Known, within: bool) -> Data
     return texts.select("_bytes", "doc", "tag").mapInArrow(cut, ddl)
 
 
-def _strings(texts: DataFrame, units: Units, several: _Known, frequent: _Known) -> DataFrame:
+def _strings(texts: DataFrame, units: Units, several: Known, frequent: Known) -> DataFrame:
     """The content of the super-k-mers that need comparing, each distinct one at most once a task."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
@@ -258,7 +258,7 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
     texts = docs.select(text_of(text).cast("binary").alias("_bytes"),
                         F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID)).alias("doc"),
                         F.xxhash64(text_of(text)).alias("tag"))
-    places = staged(_places(texts, units, _Known(staged(_repeated(texts, units, within))), within))
+    places = staged(_places(texts, units, Known(staged(_repeated(texts, units, within))), within))
     of_string = ["h", "d1", "d2"]
     order = _place() if within else F.col("doc")
     distinct = places.withColumn("_order", order).groupBy(*of_string, "n", "twice").agg(
@@ -269,7 +269,7 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
     distinct = staged(distinct.select(*of_string, "n", "twice", "copies", doc.alias("doc"), start.alias("start")))
     counts = distinct.groupBy("h").agg(F.count("*").alias("_k"), F.bool_or("twice").alias("_self"))
     counts = staged(counts.filter("_k > 1 or _self"))
-    several, frequent = _Known(counts.select("h")), _Known(counts.filter(F.col("_k") > most_strings).select("h"))
+    several, frequent = Known(counts.select("h")), Known(counts.filter(F.col("_k") > most_strings).select("h"))
 
     @F.arrow_udf("boolean")
     def is_frequent(h: pa.Array) -> pa.Array:

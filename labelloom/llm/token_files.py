@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import rans
-from .base import shared_folder, staged, text_of
+from .base import pieces, shared_folder, staged, text_of
 
 MAGIC = b"LLTOKEN1"
 #: ids of a file, about, and of a unit of decoding
@@ -39,7 +39,6 @@ UNIT_IDS = 1 << 22
 PIECE = 1 << 20
 REMEMBERED = 1 << 26
 _END = "<QQQQQI8s"  # start of the index, documents, blocks, segments, ids, CRC-32 of the index
-_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -92,7 +91,7 @@ class Encoder:
             if len(t) > PIECE:
                 out += self._by_word(some)
                 some, size = [], 0
-                out.append(b"".join(self._by_word([p])[0] for p in _pieces(t)))
+                out.append(b"".join(self._by_word([p])[0] for p in pieces(t, PIECE)))
                 continue
             some.append(t)
             size += len(t)
@@ -103,16 +102,6 @@ class Encoder:
         return [x + self.end for x in out]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """A long text cut at white space."""
-    at = 0
-    while at < len(text):
-        cut = _SPACE.search(text, at + PIECE)
-        stop = cut.start() if cut else len(text)
-        yield text[at:stop]
-        at = stop
-
-
 def _encoder(model: str, words: bool, end: int | None) -> Encoder:
     """One for each worker process, whatever the number of its tasks; functions that travel by value keep no globals."""
     kept = sys.__dict__.setdefault("_token_encoders", {})

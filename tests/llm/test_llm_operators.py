@@ -207,9 +207,9 @@ def test_one_of_each(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("most", [4_000_000, 700])
-def test_similar_texts_equal_plain_pairs(spark, most, monkeypatch):
-    monkeypatch.setattr(similarity, "GROUP_CHARS", most)
+@pytest.mark.parametrize("exact, most", [(False, 1_000_000), (True, 1_000_000), (True, 150)])
+def test_similar_texts_equal_plain_pairs(spark, exact, most, monkeypatch):
+    monkeypatch.setattr(similarity, "GROUP_SHINGLES", most)
     rng = random.Random(21)
     texts, vocabulary = [], [f"w{i}" for i in range(400)]
     for _ in range(12):  # copies of each base with more and more changed words, so similarities around the bound
@@ -239,9 +239,32 @@ def test_similar_texts_equal_plain_pairs(spark, most, monkeypatch):
                 between += a != b
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     assert between > 20
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    got = {r["doc_id"]: r["component_id"] for r in similarity.similar_texts(df, shingle=5).collect()}
-    assert got == {i: root(i) for i in range(len(texts))}
+    clash = "set bigint, n int, keys string, h bigint, a int, b int, hashes string, digest string"
+    rows = [(i, t, 1, 2, "x", 3, 4, 5, "y", "z") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows[:3], f"doc_id bigint, text string, {clash}").repartition(3)
+    found = similarity.similar_texts(df, shingle=5, exact=exact).collect()
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    assert got == {i: root(i) for i in range(len(texts))} and len(found) == len(texts) + 3
+
+
+def test_bands_find_what_is_similar_enough():
+    rng = np.random.default_rng(3)
+    met = 0
+    for _ in range(400):  # two sets of 900 with 800 in common: a similarity of 0.8
+        x = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
+        met += bool(np.intersect1d(similarity.bands(x[:900]), similarity.bands(x[100:])).size)
+    assert met >= 396
+
+
+def test_a_key_whose_sets_are_no_copies_of_its_first_one(spark, monkeypatch):
+    """All sets share one key, but the first one is similar to none; the others make two groups and a chain."""
+    monkeypatch.setattr(similarity, "bands", lambda s: np.zeros(1, np.uint64))
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join(words[i:i + 60]) for i in (0, 4, 8, 12)]
+    texts = ["lone text of its own that is like none of them", *chain, *(" ".join(reversed(x.split())) for x in chain), "and another one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["component_id"] for r in sorted(similarity.similar_texts(df, shingle=5).collect())]
+    assert got == [0, 1, 1, 1, 1, 5, 5, 5, 5, 9]
 
 
 def test_components_of_a_hub_and_a_chain(spark):

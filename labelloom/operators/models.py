@@ -14,8 +14,9 @@ import math
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel, keyword_only
-from pyspark.errors import IllegalArgumentException
+from pyspark.errors import IllegalArgumentException, PySparkException
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier,
@@ -398,12 +399,12 @@ def compare_models(df: DataFrame, zoo: Mapping[str, Trainer], key: str = "row_id
         try:
             m = cross_validate(base, trainer, key, folds, seed, threshold, cache=False).first()
             rows.append((feature_set, name, m["mean_accuracy"], m["mean_f1"], m["mean_precision"]))
-        except (ValueError, ArithmeticError, IllegalArgumentException):  # of the model; errors of the cluster go on
+        except Exception as e:
+            if isinstance(e, (Py4JError, PySparkException)) and not isinstance(e, IllegalArgumentException):
+                stored.unpersist()
+                raise  # of the cluster, not of the model
             log.exception("%s failed", name)
             rows.append((feature_set, name, None, None, None))
-        except BaseException:
-            stored.unpersist()
-            raise
     stored.unpersist()
     return spark.createDataFrame(rows, schema)  # one row per model
 

@@ -247,6 +247,6 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"),
-                                      public_tokenizers.path("word_bpe_49k.json"), end=1, words=True)
+                                      public_tokenizers.path("word_bpe_49k.json"), end=1, words=token_files.LATIN_WORDS)
     return token_files.read_tokens(spark, folder).select(
         F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

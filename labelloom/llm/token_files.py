@@ -15,6 +15,7 @@ A file: ``MAGIC``; blocks, each its checkpoints' states (uint64), their places i
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 import re
 import struct
@@ -24,7 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import compute as pc, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -35,9 +36,9 @@ MAGIC = b"LLTOKEN1"
 #: ids of a file, about, and of a unit of decoding
 SHARD_IDS = 1 << 24
 UNIT_IDS = 1 << 22
-#: bytes of text that are cut into words at once, and of the words that a worker remembers
-PIECE = 1 << 20
-REMEMBERED = 1 << 26
+#: bytes of text that are cut into words at once, and (twice) of the words that a worker remembers
+CHUNK = 1 << 23
+REMEMBERED = 40_000_000
 _END = "<QQQQQI8s"  # start of the index, documents, blocks, segments, ids, CRC-32 of the index
 
 
@@ -55,54 +56,116 @@ def _write(path: str, content: Callable | bytes) -> None:
     store.move(f"{name}.part", name)
 
 
+@dataclass(frozen=True)
+class Words:
+    """What is known of a tokenizer that drops ASCII white space and never joins what it parts: its words can be encoded on
+    their own, and remembered. ``plain``: (a pattern) lower-case words that it takes as one piece, unchanged but for upper
+    case; ``points``: characters that make one more piece after such a word."""
+
+    plain: str
+    points: str
+
+
+#: lower-case letters of Latin-1 are single code points in every normal form
+LATIN_WORDS = Words("[a-z\u00df-\u00f6\u00f8-\u00ff]+", ".,;:!?")
+
+
+def _letters_of_bytes() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes with: printable ones are themselves, others follow from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class Encoder:
-    """Texts to ids. ``words``: the tokenizer drops ASCII white space and never joins what it parts, so words can be
-    encoded on their own; each worker process then remembers the ids of words it has met."""
+    """Texts to ids. With ``words`` each worker process remembers the ids of words it has met lately."""
 
-    def __init__(self, model: str, words: bool, end: int | None):
+    def __init__(self, model: str, words: Words | None, end: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_str(model), words
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.size = 0
+        if words:
+            self.plain = re.compile(f"({words.plain})([{re.escape(words.points)}]*)")
+            self.letters = {chr(b): c for b, c in _letters_of_bytes().items()}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in got]
+        return [self._bytes(e.ids) for e in got]
+
+    def _piece(self, piece: str) -> bytes:
+        """Of one piece of the tokenizer's: only its model has work to do."""
+        key = piece.encode()
+        ids = self.known.get(key)
+        if ids is None:
+            letters = piece if piece.isascii() else key.decode("latin-1").translate(str.maketrans(self.letters))
+            ids = self.known[key] = self._bytes([t.id for t in self.model.tokenize(letters)])
+            self.size += 200 + 2 * len(key)
+        return ids
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        if self.size > REMEMBERED:  # words of late stay
+            self.before, self.known, self.size = self.known, {}, 0
+        known, odd = self.known, []
+        for w in words:
+            if w in known:
+                continue
+            ids = self.before.get(w)
+            if ids is None:
+                match = self.plain.fullmatch(w.decode("utf-8", "replace").lower())
+                if not match:
+                    odd.append(w)
+                    continue
+                ids = self._piece(match[1]) + (self._piece(match[2]) if match[2] else b"")
+            known[w] = ids
+            self.size += 200 + 2 * len(w)
+        known.update(zip(odd, self._encode(odd)))
+        self.size += 200 * len(odd) + 2 * sum(map(len, odd))
+        return list(map(known.__getitem__, words))
 
     def _by_word(self, texts: list[bytes]) -> list[bytes]:
-        lists = [t.split() for t in texts]
-        fresh = list(set().union(*lists).difference(self.known))
-        if self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-            fresh = list(set().union(*lists))
-        self.known.update(zip(fresh, self._encode(fresh)))
-        self.size += sum(map(len, fresh)) * 2 + 150 * len(fresh)
-        return [b"".join(map(self.known.__getitem__, x)) for x in lists]
+        column = pa.array(texts, pa.binary())
+        words = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(column), column.buffers()))
+        coded = words.flatten().dictionary_encode()
+        different = self._words(coded.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, different), np.int64, len(different))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()),
+                                       pa.Array.from_buffers(pa.uint8(), int(sizes.sum()), [None, pa.py_buffer(b"".join(different))]))
+        taken = ids.take(coded.indices)
+        whole = taken.flatten().to_numpy().tobytes()
+        at = np.concatenate(([0], np.cumsum(sizes[coded.indices.to_numpy()])))[words.offsets.to_numpy()].tolist()
+        return [whole[a:z] for a, z in zip(at, at[1:])]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.words:
+        if self.words is None:
             return [x + self.end for x in self._encode(texts)]
         out: list[bytes] = []
-        some, size = [], 0
+        some: list[bytes] = []
+        size = 0
         for t in texts:
-            if len(t) > PIECE:
-                out += self._by_word(some)
-                some, size = [], 0
-                out.append(b"".join(self._by_word([p])[0] for p in pieces(t, PIECE)))
-                continue
-            some.append(t)
-            size += len(t)
-            if size > PIECE:
+            if size + len(t) > CHUNK and some:
                 out += self._by_word(some)
                 some, size = [], 0
-        out += self._by_word(some)
+            if len(t) > CHUNK:
+                out.append(b"".join(self._by_word([p])[0] for p in pieces(t, CHUNK)))
+            else:
+                some.append(t)
+                size += len(t)
+        if some:
+            out += self._by_word(some)
         return [x + self.end for x in out]
 
 
-def _encoder(model: str, words: bool, end: int | None) -> Encoder:
+def _encoder(model: str, words: Words | None, end: int | None) -> Encoder:
     """One for each worker process, whatever the number of its tasks; functions that travel by value keep no globals."""
     kept = sys.__dict__.setdefault("_token_encoders", {})
     name = (hash(model), words, end)
@@ -111,7 +174,7 @@ def _encoder(model: str, words: bool, end: int | None) -> Encoder:
     return kept[name]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end: int | None, words: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end: int | None, words: Words | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key (bigint), tie (orders equal keys), ids (binary), n: one row per row of ``docs``."""
     with open(tokenizer, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -205,12 +268,12 @@ class _File:
         return pa.record_batch([pa.array(x, f.type) for x, f in zip(rows, _UNIT)], schema=_UNIT)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int | None = None, words: bool = False,
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int | None = None, words: Words | None = None,
                  key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> str:
     """Encode the texts with the tokenizer file (no special tokens; ``end`` is appended to each text) and write a dataset; its folder.
 
     Documents ascend by key (a whole number): NULL keys come last, equal ones are ordered by a hash of their text. A NULL text is empty. Empty
-    texts, repeated rows and empty tables are written like any others; other columns are ignored. ``words``: see ``Encoder``.
+    texts, repeated rows and empty tables are written like any others; other columns are ignored. ``words``: see ``Words``.
     Without ``folder`` the dataset gets a new one in the shared folder.
     """
     spark = docs.sparkSession

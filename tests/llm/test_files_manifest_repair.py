@@ -44,7 +44,7 @@ def test_frequencies_fill_the_table_and_keep_every_id(counts):
 
 # ---- token files ---------------------------------------------------------------------------------------------------
 ODD = ["ΟΔΟΣ ΟΔΟΣ\tΣ. Σ", "á ́b é", "x\x1cy\x85z\xa0w it's I'LL 'S 12 3", "<|endoftext|> a<|startoftext|>b", "​ 　zz",
-       "İI ǅ ﬁ", " ", "", None, "word " * 300_000, "w" * 30_000]
+       "İI ǅ ﬁ ÀÉÿß straße,. e\u0301a é.'s <|ENDOFTEXT|> a<|endoftext|>, ªº µ ÷a", " ", "", None, "word " * 300_000, "w" * 30_000]
 
 
 def token_rows(texts):
@@ -61,7 +61,7 @@ def plain_tokens(rows, model, end):
     return out
 
 
-@pytest.mark.parametrize("model, end, words", [(WORD_MODEL, 1, True), (WORD_MODEL, None, False), (BYTE_MODEL, None, False)])
+@pytest.mark.parametrize("model, end, words", [(WORD_MODEL, 1, token_files.LATIN_WORDS), (WORD_MODEL, None, None), (BYTE_MODEL, None, None)])
 def test_tokens_come_back(spark, model, end, words):
     rows = token_rows(ODD)
     docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {CLASH}").repartition(3)
@@ -103,7 +103,7 @@ def test_units_begin_inside_blocks(spark, monkeypatch):
 
 def test_no_tokens(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    assert token_files.read_tokens(spark, token_files.write_tokens(docs, WORD_MODEL, end=1, words=True)).count() == 0
+    assert token_files.read_tokens(spark, token_files.write_tokens(docs, WORD_MODEL, end=1, words=token_files.LATIN_WORDS)).count() == 0
     one = spark.createDataFrame([(None, None)], "doc_id bigint, text string")
     got = token_files.read_tokens(spark, token_files.write_tokens(one, WORD_MODEL)).collect()
     assert [tuple(r) for r in got] == [(None, 0, 0, b"")]

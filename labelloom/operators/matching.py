@@ -5,8 +5,8 @@ Three exact strategies behind one call, chosen by the measured size of the term
 * ``array``      few terms: a literal array and ``contains`` inside codegen, no Python
 * ``automaton``  up to ``AUTOMATON_NODES`` characters of terms: one Aho-Corasick pass per text in an Arrow
                  function, independent of the number of terms; built once in each worker process
-* ``join``       any size: the texts' substrings of the occurring term lengths are thinned by a
-                 fixed-size hash bitmap and equi-joined with the terms
+* ``join``       any size: each term stands under its rarest gram; texts emit only grams that such a term has (a bitmap of
+                 bounded size), with the text around them, and meet the terms in an equi-join that verifies them
 
 None of them pairs every term with every text.
 """
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 ARRAY_TERMS = 24
@@ -26,6 +27,12 @@ MOST_ARRAY_TERMS = 500
 #: an automaton has at most one node for each character of its terms, of about 40 bytes in each worker process
 AUTOMATON_NODES = 2_000_000
 MAX_BITMAP_BITS = 29  # 64 MB
+#: characters of an anchor (terms may be shorter), counters of the grams' frequencies, and the pieces they are added up in
+GRAM = 4
+COUNTERS = 1 << 20
+_PIECES = 32
+#: an anchor of more occurrences is split over several groups
+HOT_ANCHOR = 100_000
 
 
 class TermList:
@@ -96,114 +103,134 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-class WindowHasher:
-    """Hash of every window of a text, any window length in a few vector operations.
+class _Grams:
+    """64-bit hashes of all q-grams of a text at once; equal grams have equal hashes wherever they stand."""
 
-    With G[i] = sum of code[j] * B^j over j < i (modulo 2^64), a window's hash is
-    (G[i+n] - G[i]) * B^-i, the same wherever the window stands.
-    """
-
-    _BASE = np.uint64(0x9E3779B97F4A7C15)
-    _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-    def __init__(self, bits: int):
-        self.bits = np.uint64(64 - bits)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, self._BASE))])
-            self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, self._INVERSE))])
-
-    def prefix(self, s: str) -> np.ndarray:
-        codes = _codes(s)
-        self._powers(len(codes) + 1)
-        return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes.astype(np.uint64) * self.up[:len(codes)], dtype=np.uint64)])
+    _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-    def windows(self, prefix: np.ndarray, length: int) -> np.ndarray:
-        n = len(prefix) - length
-        h = (prefix[length:] - prefix[:n]) * self.down[:n] + np.uint64(length)
-        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-
-    def first(self, h: np.ndarray) -> np.ndarray:
-        return h >> self.bits
-
-    def second(self, h: np.ndarray) -> np.ndarray:
-        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> self.bits
+    @staticmethod
+    def of(codes: np.ndarray, q: int) -> np.ndarray:
+        n = len(codes) - q + 1
+        if n <= 0:
+            return np.empty(0, dtype=np.uint64)
+        h = np.full(n, q, dtype=np.uint64)
+        for i in range(q):
+            h = (h + codes[i:i + n]) * _Grams._STEP
+            h ^= h >> np.uint64(29)
+        return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _is_set(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return ((bitmap[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _distinct_windows(s: str, codes: np.ndarray, at: np.ndarray, length: int) -> set[str]:
-    """The distinct substrings of one length at the given positions."""
-    if len(at) < 64 or "\x00" in s:  # fixed-width strings would lose trailing NULs
-        return {s[i:i + length] for i in at}
-    found: set[str] = set()
-    step = max(1, (1 << 22) // length)
-    for i in range(0, len(at), step):
-        block = np.lib.stride_tricks.sliding_window_view(codes, length)[at[i:i + step]]
-        found.update(np.unique(np.ascontiguousarray(block).view(f"<U{length}").ravel()).tolist())
-    return found
+def _bitmap(values: DataFrame, n: int) -> np.ndarray:
+    """The column ``h`` as a bitmap of 256 bits per value, ``MAX_BITMAP_BITS`` at most; then it only gets less selective."""
+    bits = min(MAX_BITMAP_BITS, max(20, (256 * max(n, 1)).bit_length()))
+    at = F.shiftrightunsigned("h", 64 - bits) + 1  # the bitmap functions count from 1
+    pages = values.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bytes"))
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in pages.toLocalIterator():
+        page = np.frombuffer(r["bytes"], dtype=np.uint8)
+        out[(r["page"] - 1) * len(page):r["page"] * len(page)] |= page
+    return out
+
 
+def _gram_counts(texts: DataFrame, col: str) -> np.ndarray:
+    """How often grams occur, by ``COUNTERS`` counters that they are hashed into; collisions only make a gram seem frequent."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                codes = _codes(s or "")
+                for q in range(1, GRAM + 1):
+                    at, n = np.unique((_Grams.of(codes, q) % np.uint64(COUNTERS)).astype(np.int64), return_counts=True)
+                    table[at] += n
+        pieces = np.split(table, _PIECES)
+        yield pa.record_batch([pa.array(range(_PIECES), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["piece", "counts"])
 
-def _term_bitmap(terms: TermList) -> tuple[int, np.ndarray, list[int]]:
-    """(bits, bitmap, term lengths): a Bloom filter of the terms with two positions each.
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    At least 1024 bits per term until ``MAX_BITMAP_BITS`` is reached; beyond it the filter only
-    gets less selective. Its size, not the number of terms, is what reaches the driver.
-    """
-    bits = min(MAX_BITMAP_BITS, max(20, (1024 * max(terms.count, 1)).bit_length()))
+    parts = texts.select(F.col(col)).mapInArrow(count, "piece int, counts binary")
+    rows = parts.groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
+    return np.frombuffer(b"".join(r["counts"] for r in sorted(rows)) or bytes(8 * COUNTERS), dtype=np.int64)
 
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hasher = WindowHasher(bits)
-        for batch in batches:
-            h = [hasher.windows(hasher.prefix(t), len(t)) for t in batch]
-            yield pd.Series([[int(hasher.first(x)[0]), int(hasher.second(x)[0])] for x in h], dtype=object)
-
-    pos = F.pandas_udf(hashed, T.ArrayType(T.LongType()))
-    pages = (
-        terms.frame.select(F.explode(pos("term")).alias("p"))
-        .withColumn("p", F.col("p") + 1)  # the bitmap functions count from 1
-        .groupBy(F.bitmap_bucket_number("p").alias("page"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bytes"))
-    )
-    bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for r in pages.toLocalIterator():
-        page = np.frombuffer(r["bytes"], dtype=np.uint8)
-        at = (r["page"] - 1) * len(page)
-        bitmap[at:at + len(page)] |= page
-    lengths = sorted(r["n"] for r in terms.frame.select(F.length("term").alias("n")).distinct().collect())
-    return bits, bitmap, lengths
 
+class Anchors:
+    """Each term by its rarest gram: one row h, salt, term, at (the gram's place in the term), size.
 
-def _substring_candidates(texts: DataFrame, text: str, terms: TermList) -> DataFrame:
-    """Rows of ``texts`` with ``term`` = a substring that may be a term; exact after the join."""
-    shared = texts.sparkSession.sparkContext.broadcast(_term_bitmap(terms))
+    Rare means in few texts times in few terms. A gram that so many texts have that it would fill a task is split: it
+    appears with ``salts(h)`` salts, of which each text picks one.
+    """
 
-    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bits, bitmap, lengths = shared.value
-        hasher = WindowHasher(bits)
-        for batch in batches:
-            out = []
-            for s in batch:
-                hits: set[str] = set()
-                if isinstance(s, str) and s:
-                    prefix, codes = hasher.prefix(s), _codes(s)
-                    for length in lengths:
-                        if length > len(s):
-                            break
-                        h = hasher.windows(prefix, length)
-                        at = np.flatnonzero(_is_set(bitmap, hasher.first(h)))
-                        at = at[_is_set(bitmap, hasher.second(h[at]))]
-                        if len(at):
-                            hits |= _distinct_windows(s, codes, at, length)
-                out.append(sorted(hits))
-            yield pd.Series(out, dtype=object)
-
-    cand = F.pandas_udf(candidates, T.ArrayType(T.StringType()))
-    return texts.withColumn("term", F.explode(cand(F.col(text))))
+    def __init__(self, terms: TermList, texts: DataFrame, text: str):
+        counts = _gram_counts(texts, text)
+        of_terms = _gram_counts(terms.frame, "term")
+        self.counts = np.maximum(counts, 1)
+        spark = texts.sparkSession
+        rarity = spark.sparkContext.broadcast(np.log(self.counts) + np.log(np.maximum(of_terms, 1)))
+        salts = spark.sparkContext.broadcast(self._salts(self.counts))
+
+        @F.arrow_udf("struct<h:bigint, at:int, salts:int>")
+        def anchor(column: pa.Array) -> pa.Array:
+            hs, places, parts = [], [], []
+            for t in column.to_pylist():
+                h = _Grams.of(_codes(t), min(GRAM, len(t)))
+                slot = (h % np.uint64(COUNTERS)).astype(np.int64)
+                i = int(np.argmin(rarity.value[slot]))
+                hs.append(h[i])
+                places.append(i)
+                parts.append(int(salts.value[slot[i]]))
+            return pa.StructArray.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(places, pa.int32()),
+                                               pa.array(parts, pa.int32())], names=["h", "at", "salts"])
+
+        sized = terms.frame.withColumn("_a", anchor("term")).select("term", "_a.*", F.length("term").alias("size"))
+        self.frame = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        self.bitmap = _bitmap(sized, terms.count)
+        reach = sized.agg(F.max("at").alias("left"), F.max(F.col("size") - F.col("at")).alias("right")).first()
+        self.left, self.right = reach["left"] or 0, reach["right"] or 0
+        self.grams = sorted(r["q"] for r in sized.select(F.least("size", F.lit(GRAM)).alias("q")).distinct().collect())
+
+    @staticmethod
+    def _salts(counts: np.ndarray) -> np.ndarray:
+        return -(-counts // HOT_ANCHOR)
+
+    def hits(self, texts: DataFrame, text: str) -> DataFrame:
+        """``texts`` without the text, plus ``term``: one row per row and distinct term found in it."""
+        shared = texts.sparkSession.sparkContext.broadcast(
+            (self.bitmap, self._salts(self.counts).astype(np.int32), self.left, self.right, self.grams))
+        kind = "array<struct<h:bigint, salt:int, windows:array<struct<w:string, i:int>>>>"
+
+        @F.arrow_udf(kind)
+        def found(column: pa.Array) -> pa.Array:
+            bitmap, salts, left, right, grams = shared.value
+            shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
+            out, turn = [], 0
+            for s in column.to_pylist():
+                seen: dict[int, dict[tuple[str, int], None]] = {}
+                codes = _codes(s or "")
+                for q in grams:
+                    h = _Grams.of(codes, q)
+                    for at in np.flatnonzero(_is_set(bitmap, h >> shift)).tolist():
+                        start = max(at - left, 0)
+                        seen.setdefault(int(h[at]), {})[s[start:at + right], at - start] = None
+                turn += 1
+                out.append([{"h": h - (1 << 64) if h >> 63 else h, "salt": turn % int(salts[h % COUNTERS]),
+                             "windows": [{"w": w, "i": i} for w, i in windows]} for h, windows in seen.items()])
+            return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("salt", pa.int32()), ("windows", pa.list_(pa.struct([
+                ("w", pa.string()), ("i", pa.int32())])))])))
+
+        key = [c for c in texts.columns if c != text]
+        x, y = F.col("__x"), F.col("__y")
+        terms = self.frame.select(F.struct("term", "at", "size").alias("__y"), F.col("h").alias("__h"), F.col("salt").alias("__salt"))
+        met = texts.select(*key, F.explode(found(F.col(text))).alias("__x")).select(
+            *key, "__x", x["h"].alias("__h"), x["salt"].alias("__salt")).join(terms, ["__h", "__salt"])
+        # a term has one anchor, so a row and a term meet once
+        same = F.exists(x["windows"], lambda w: (w["i"] >= y["at"]) & (F.substring(w["w"], w["i"] - y["at"] + 1, y["size"]) == y["term"]))
+        return met.filter(same).select(*key, y["term"].alias("term"))
 
 
 def matched_terms(texts: DataFrame, text: str, terms: DataFrame | TermList, term: str = "term",
@@ -224,8 +251,7 @@ def matched_terms(texts: DataFrame, text: str, terms: DataFrame | TermList, term
         found = _finder(texts.sparkSession, terms.collect(), first_only=False)
         return texts.select(*key, F.explode(found("_text")).alias("term"))
     if strategy == "join":
-        cand = _substring_candidates(texts, "_text", terms).select(*key, "term")
-        return cand.join(terms.frame, "term").select(*key, "term")
+        return Anchors(terms, texts, "_text").hits(texts, "_text")
     raise ValueError(f"unknown strategy: {strategy}")
 
 
@@ -255,15 +281,10 @@ def term_hit_counts(texts: DataFrame, text: str, terms: DataFrame | TermList, te
                     by: list[str] | None = None, strategy: str = "auto") -> DataFrame:
     """``term, *by, hits``: number of text rows containing each term (terms without hits are absent).
 
-    In the ``join`` strategy the substrings are counted before they meet the terms, so a term that
-    occurs in a third of all texts is one row per task by then.
+    Hits are counted in the tasks that find them, so a term that occurs in a third of all texts is one row per task by then.
     """
     terms = terms if isinstance(terms, TermList) else TermList(terms, term)
     strategy = terms.strategy() if strategy == "auto" else strategy
     by = by or []
-    if strategy == "join":
-        cand = _substring_candidates(texts.select(*by, F.col(text).alias("_text")), "_text", terms)
-        counted = cand.groupBy("term", *by).agg(F.count("*").alias("hits"))
-        return counted.join(terms.frame, "term").select("term", *by, "hits")
     pairs = matched_terms(texts.select(*by, text), text, terms, strategy=strategy, key=by)
     return pairs.groupBy("term", *by).agg(F.count("*").alias("hits"))

@@ -5,8 +5,8 @@ Three exact strategies behind one call, chosen by the measured size of the term
 * ``array``      few terms: a literal array and ``contains`` inside codegen, no Python
 * ``automaton``  up to ``AUTOMATON_NODES`` characters of terms: one Aho-Corasick pass per text in an Arrow
                  function, independent of the number of terms; built once in each worker process
-* ``join``       any size: each term stands under its rarest gram; texts emit only grams that such a term has (a bitmap of
-                 bounded size), with the text around them, and meet the terms in an equi-join that verifies them
+* ``join``       any size: each term is indexed by its rarest gram; texts look for these anchors, verify the windows around
+                 them by bitmaps of bounded size, and what is left is equi-joined with the terms
 
 None of them pairs every term with every text.
 """
@@ -27,12 +27,13 @@ MOST_ARRAY_TERMS = 500
 #: an automaton has at most one node for each character of its terms, of about 40 bytes in each worker process
 AUTOMATON_NODES = 2_000_000
 MAX_BITMAP_BITS = 29  # 64 MB
-#: characters of an anchor (terms may be shorter), counters of the grams' frequencies, and the pieces they are added up in
-GRAM = 4
+#: sizes of anchors: a term's is the largest that it has room for
+GRAMS = (1, 2, 3, 4, 6, 8)
+#: counters of the grams' frequencies, and the pieces they are added up in
 COUNTERS = 1 << 20
 _PIECES = 32
-#: an anchor of more occurrences is split over several groups
-HOT_ANCHOR = 100_000
+#: pairs of a slot and a way that anchors have in it, at most
+WAYS = 4_000_000
 
 
 class TermList:
@@ -103,24 +104,37 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-class _Grams:
-    """64-bit hashes of all q-grams of a text at once; equal grams have equal hashes wherever they stand."""
+class Hashed:
+    """Hashes of any windows of a text, each in a few vector operations.
 
-    _STEP = np.uint64(0x9E3779B97F4A7C15)
+    With G[i] = sum of code[j] * B^j over j < i (modulo 2^64), a window's hash is (G[i+n] - G[i]) * B^-i, mixed with its
+    length: the same wherever the window stands.
+    """
 
-    @staticmethod
-    def of(codes: np.ndarray, q: int) -> np.ndarray:
-        n = len(codes) - q + 1
-        if n <= 0:
-            return np.empty(0, dtype=np.uint64)
-        h = np.full(n, q, dtype=np.uint64)
-        for i in range(q):
-            h = (h + codes[i:i + n]) * _Grams._STEP
-            h ^= h >> np.uint64(29)
-        return h * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _is_set(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    _BASE = 0x9E3779B97F4A7C15
+    _up = _down = np.ones(1, dtype=np.uint64)
+
+    def __init__(self, text: str):
+        codes = _codes(text)
+        self.n = len(codes)
+        if len(Hashed._up) <= self.n:
+            m = 2 * self.n + 1
+            Hashed._up, Hashed._down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(m, x, dtype=np.uint64))])
+                                        for x in (self._BASE, pow(self._BASE, -1, 1 << 64)))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * Hashed._up[:self.n], dtype=np.uint64)])
+
+    def windows(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        h = (self.sums[start + size] - self.sums[start]) * Hashed._down[start] + np.asarray(size, dtype=np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def grams(self, q: int) -> np.ndarray:
+        """Of every place, in order."""
+        return self.windows(np.arange(max(self.n - q + 1, 0)), q)
+
+
+def _is_set(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    pos = h >> np.uint64(65 - (len(bitmap) * 8).bit_length())
     return ((bitmap[pos >> np.uint64(3)] >> (pos & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
@@ -142,11 +156,15 @@ def _gram_counts(texts: DataFrame, col: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                codes = _codes(s or "")
-                for q in range(1, GRAM + 1):
-                    at, n = np.unique((_Grams.of(codes, q) % np.uint64(COUNTERS)).astype(np.int64), return_counts=True)
-                    table[at] += n
+            texts = [s for s in batch.column(0).to_pylist() if s]
+            while texts:  # short texts go together: grams across their borders only seem a little more frequent
+                some, size = [], 0
+                while texts and size < 1 << 20:
+                    some.append(texts.pop())
+                    size += len(some[-1])
+                h = Hashed("\n".join(some))
+                for q in GRAMS:
+                    table += np.bincount((h.grams(q) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         pieces = np.split(table, _PIECES)
         yield pa.record_batch([pa.array(range(_PIECES), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["piece", "counts"])
 
@@ -160,77 +178,107 @@ def _gram_counts(texts: DataFrame, col: str) -> np.ndarray:
 
 
 class Anchors:
-    """Each term by its rarest gram: one row h, salt, term, at (the gram's place in the term), size.
+    """Where in a text a term may stand: each term is indexed by its rarest gram, its anchor.
 
-    Rare means in few texts times in few terms. A gram that so many texts have that it would fill a task is split: it
-    appears with ``salts(h)`` salts, of which each text picks one.
+    Rare means few occurrences in texts times few in terms. The index is of bounded size, whatever the number of terms: a
+    bitmap of anchors; for each of at most 2^20 slots that anchors are hashed into the ways (place of the anchor in the
+    term, term's size) that occur; and a bitmap of whole terms. A text looks for anchors first, then verifies the windows around
+    them. A gram that every text has stays in the tasks that read the texts, so no group grows with it.
     """
 
     def __init__(self, terms: TermList, texts: DataFrame, text: str):
-        counts = _gram_counts(texts, text)
-        of_terms = _gram_counts(terms.frame, "term")
-        self.counts = np.maximum(counts, 1)
         spark = texts.sparkSession
-        rarity = spark.sparkContext.broadcast(np.log(self.counts) + np.log(np.maximum(of_terms, 1)))
-        salts = spark.sparkContext.broadcast(self._salts(self.counts))
+        rarity = spark.sparkContext.broadcast(np.log1p(_gram_counts(texts, text)) + np.log1p(_gram_counts(terms.frame, "term")))
 
-        @F.arrow_udf("struct<h:bigint, at:int, salts:int>")
+        @F.arrow_udf("struct<h:bigint, at:int, whole:bigint>")
         def anchor(column: pa.Array) -> pa.Array:
-            hs, places, parts = [], [], []
+            hs, places, whole = [], [], []
             for t in column.to_pylist():
-                h = _Grams.of(_codes(t), min(GRAM, len(t)))
-                slot = (h % np.uint64(COUNTERS)).astype(np.int64)
-                i = int(np.argmin(rarity.value[slot]))
-                hs.append(h[i])
+                x = Hashed(t)
+                grams = x.grams(max(q for q in GRAMS if q <= x.n))
+                i = int(np.argmin(rarity.value[(grams % np.uint64(COUNTERS)).astype(np.int64)]))
+                hs.append(grams[i])
                 places.append(i)
-                parts.append(int(salts.value[slot[i]]))
+                whole.append(x.windows(np.zeros(1, np.int64), x.n)[0])
             return pa.StructArray.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(places, pa.int32()),
-                                               pa.array(parts, pa.int32())], names=["h", "at", "salts"])
-
-        sized = terms.frame.withColumn("_a", anchor("term")).select("term", "_a.*", F.length("term").alias("size"))
-        self.frame = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        self.bitmap = _bitmap(sized, terms.count)
-        reach = sized.agg(F.max("at").alias("left"), F.max(F.col("size") - F.col("at")).alias("right")).first()
-        self.left, self.right = reach["left"] or 0, reach["right"] or 0
-        self.grams = sorted(r["q"] for r in sized.select(F.least("size", F.lit(GRAM)).alias("q")).distinct().collect())
+                                               pa.array(np.array(whole, np.uint64).view(np.int64))], names=["h", "at", "whole"])
+
+        # few bytes, but work for many tasks: adaptive execution would put them into one
+        dealt = terms.frame.repartition(min(-(-max(terms.count, 1) // 1000), 1000))
+        sized = dealt.select(anchor("term").alias("_a"), F.length("term").alias("size")).select("_a.*", "size").persist()
+        ways = sorted(tuple(r) for r in sized.select("at", "size").distinct().collect())
+        slots = 20
+        while slots > 8 and len(ways) << slots > WAYS < terms.count:
+            slots -= 1
+        number = spark.createDataFrame([(a, n, i) for i, (a, n) in enumerate(ways)], "at int, size int, way int")
+        pairs = sized.join(F.broadcast(number), ["at", "size"]).select(
+            F.shiftrightunsigned("h", 64 - slots).cast("int").alias("slot"), "way").distinct().collect()
+        pairs = np.array(sorted(tuple(r) for r in pairs), dtype=np.int64).reshape(-1, 2)
+        start = np.searchsorted(pairs[:, 0], np.arange((1 << slots) + 1))
+        self.index = (_bitmap(sized, terms.count), _bitmap(sized.select(F.col("whole").alias("h")), terms.count), slots, start,
+                      pairs[:, 1], np.array(ways, dtype=np.int64).reshape(-1, 2),
+                      sorted({max(q for q in GRAMS if q <= n) for _, n in ways}))
+        sized.unpersist()
 
     @staticmethod
-    def _salts(counts: np.ndarray) -> np.ndarray:
-        return -(-counts // HOT_ANCHOR)
+    def windows(index: tuple, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and size of the text's distinct windows that may be terms."""
+        grams, terms, slots, start, way, ways, sizes = index
+        x, h, at = Hashed(s), [], []
+        for q in sizes:
+            g = x.grams(q)
+            hit = np.flatnonzero(_is_set(grams, g))
+            h.append(g[hit])
+            at.append(hit)
+        h, at = np.concatenate(h or [np.empty(0, np.uint64)]), np.concatenate(at or [np.empty(0, np.int64)])
+        slot = (h >> np.uint64(64 - slots)).astype(np.int64)
+        n = start[slot + 1] - start[slot]
+        which = way[np.repeat(start[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        first, size = np.repeat(at, n) - ways[which, 0], ways[which, 1]
+        fits = np.flatnonzero((first >= 0) & (first + size <= x.n))
+        first, size = first[fits], size[fits]
+        w = x.windows(first, size)
+        known = np.flatnonzero(_is_set(terms, w))
+        w, one = np.unique(w[known], return_index=True)
+        return w, first[known][one], size[known][one]
 
     def hits(self, texts: DataFrame, text: str) -> DataFrame:
-        """``texts`` without the text, plus ``term``: one row per row and distinct term found in it."""
-        shared = texts.sparkSession.sparkContext.broadcast(
-            (self.bitmap, self._salts(self.counts).astype(np.int32), self.left, self.right, self.grams))
-        kind = "array<struct<h:bigint, salt:int, windows:array<struct<w:string, i:int>>>>"
+        """``texts`` without the text, plus ``term``: one row per row and distinct substring that may be a term."""
+        shared = texts.sparkSession.sparkContext.broadcast(self.index)
 
-        @F.arrow_udf(kind)
+        @F.arrow_udf("array<string>")
         def found(column: pa.Array) -> pa.Array:
-            bitmap, salts, left, right, grams = shared.value
-            shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
-            out, turn = [], 0
+            out = []
             for s in column.to_pylist():
-                seen: dict[int, dict[tuple[str, int], None]] = {}
-                codes = _codes(s or "")
-                for q in grams:
-                    h = _Grams.of(codes, q)
-                    for at in np.flatnonzero(_is_set(bitmap, h >> shift)).tolist():
-                        start = max(at - left, 0)
-                        seen.setdefault(int(h[at]), {})[s[start:at + right], at - start] = None
-                turn += 1
-                out.append([{"h": h - (1 << 64) if h >> 63 else h, "salt": turn % int(salts[h % COUNTERS]),
-                             "windows": [{"w": w, "i": i} for w, i in windows]} for h, windows in seen.items()])
-            return pa.array(out, pa.list_(pa.struct([("h", pa.int64()), ("salt", pa.int32()), ("windows", pa.list_(pa.struct([
-                ("w", pa.string()), ("i", pa.int32())])))])))
-
-        key = [c for c in texts.columns if c != text]
-        x, y = F.col("__x"), F.col("__y")
-        terms = self.frame.select(F.struct("term", "at", "size").alias("__y"), F.col("h").alias("__h"), F.col("salt").alias("__salt"))
-        met = texts.select(*key, F.explode(found(F.col(text))).alias("__x")).select(
-            *key, "__x", x["h"].alias("__h"), x["salt"].alias("__salt")).join(terms, ["__h", "__salt"])
-        # a term has one anchor, so a row and a term meet once
-        same = F.exists(x["windows"], lambda w: (w["i"] >= y["at"]) & (F.substring(w["w"], w["i"] - y["at"] + 1, y["size"]) == y["term"]))
-        return met.filter(same).select(*key, y["term"].alias("term"))
+                _, first, size = self_windows(shared.value, s or "")
+                out.append([s[a:z] for a, z in zip(first.tolist(), (first + size).tolist())])
+            return pa.array(out, pa.list_(pa.string()))
+
+        self_windows = Anchors.windows
+        return texts.select(*(c for c in texts.columns if c != text), F.explode(found(F.col(text))).alias("term"))
+
+    def counts(self, texts: DataFrame, text: str, by: list[str]) -> DataFrame:
+        """``term, *by, hits`` of substrings that may be terms, added up inside each batch; a term may have several rows."""
+        shared = texts.sparkSession.sparkContext.broadcast(self.index)
+        windows = Anchors.windows
+        schema = T.StructType([T.StructField("term", T.StringType()), *(texts.schema[c] for c in by), T.StructField("hits", T.LongType())])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                groups: dict[tuple, list[int]] = {}
+                for i, k in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 1 + len(by)))) if by else [()] * batch.num_rows):
+                    groups.setdefault(k, []).append(i)
+                texts = batch.column(0).to_pylist()
+                for rows in groups.values():
+                    parts = [windows(shared.value, texts[i] or "") for i in rows]
+                    owner = np.repeat(rows, [len(p[0]) for p in parts])
+                    w, first, size = (np.concatenate([p[j] for p in parts]) for j in range(3))
+                    _, one, n = np.unique(w, return_index=True, return_counts=True)
+                    terms = [texts[o][a:z] for o, a, z in zip(owner[one].tolist(), first[one].tolist(), (first + size)[one].tolist())]
+                    same = [batch.column(j).take(pa.array([rows[0]] * len(one), pa.int64())) for j in range(1, 1 + len(by))]
+                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *same, pa.array(n)], names=["term", *by, "hits"])
+
+        return texts.select(F.col(text), *by).mapInArrow(count, schema)
 
 
 def matched_terms(texts: DataFrame, text: str, terms: DataFrame | TermList, term: str = "term",
@@ -251,7 +299,7 @@ def matched_terms(texts: DataFrame, text: str, terms: DataFrame | TermList, term
         found = _finder(texts.sparkSession, terms.collect(), first_only=False)
         return texts.select(*key, F.explode(found("_text")).alias("term"))
     if strategy == "join":
-        return Anchors(terms, texts, "_text").hits(texts, "_text")
+        return Anchors(terms, texts, "_text").hits(texts, "_text").join(terms.frame, "term").select(*key, "term")
     raise ValueError(f"unknown strategy: {strategy}")
 
 
@@ -281,10 +329,14 @@ def term_hit_counts(texts: DataFrame, text: str, terms: DataFrame | TermList, te
                     by: list[str] | None = None, strategy: str = "auto") -> DataFrame:
     """``term, *by, hits``: number of text rows containing each term (terms without hits are absent).
 
-    Hits are counted in the tasks that find them, so a term that occurs in a third of all texts is one row per task by then.
+    In the ``join`` strategy hits are counted inside each batch of texts, so a term that occurs in a third of all texts is one
+    row per batch by then.
     """
     terms = terms if isinstance(terms, TermList) else TermList(terms, term)
     strategy = terms.strategy() if strategy == "auto" else strategy
     by = by or []
+    if strategy == "join":
+        counted = Anchors(terms, texts, text).counts(texts, text, by).groupBy("term", *by).agg(F.sum("hits").alias("hits"))
+        return counted.join(terms.frame, "term").select("term", *by, "hits")
     pairs = matched_terms(texts.select(*by, text), text, terms, strategy=strategy, key=by)
     return pairs.groupBy("term", *by).agg(F.count("*").alias("hits"))

@@ -38,6 +38,10 @@ def topic_gold(flags: DataFrame, texts: DataFrame, key: str = "idx", order: str
     return lookup_first(gold, texts, key, order).select(key, "text", "groups")
 
 
+#: rows of heavy keys that may be broadcast
+BROADCAST_ROWS = 10_000
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = 0.001) -> list:
     """Keys holding more than ``share`` of the rows; at most ``1/share`` of them, never the unique ones."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))
@@ -52,11 +56,12 @@ def skewed_lookup(left: DataFrame, right: DataFrame, key: str, share: float = 0.
                   how: str = "inner") -> DataFrame:
     """Join to a right side with unique keys when a few left keys hold much of the data.
 
-    The right rows of the heavy keys (at most ``1/share``) are broadcast and their left rows stay
-    where they are; everything else takes the ordinary shuffle join.
+    The right rows of the heavy keys (at most ``1/share``) are broadcast, if they are ``BROADCAST_ROWS`` at most, and their left rows
+    stay where they are; everything else takes the ordinary shuffle join.
     """
     heavy = heavy_keys(left, key, share)
-    if not heavy:
+    # a right side with repeated keys may have any number of rows for them
+    if not heavy or len(right.filter(F.col(key).isin(*heavy)).limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) > BROADCAST_ROWS:
         return left.join(right, key, how)
     is_heavy = F.col(key).isin(*heavy)
     cold = left.filter(~is_heavy | F.col(key).isNull()).join(right.filter(~is_heavy), key, how)

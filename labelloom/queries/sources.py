@@ -69,12 +69,12 @@ def lexicon_round_trip(spark, d) -> DataFrame:
     documents = table(spark, d, "benchmark").groupBy(F.floor(F.col("item_id") / 20).alias("g")).agg(
         F.concat(F.lit('{"version": '), F.col("g"), F.lit(', "terms": ['), F.array_join(F.transform(pairs, lambda p: p["e"]), ","),
                  F.lit("]}")).alias("value"))
-    again = S.lexicon_document(R.lexicon_terms(documents).withColumn(
-        "ordinal", F.get_json_object("entry", "$.version").cast("bigint") * 1000 + F.col("ordinal")), {"version": 1})
-    terms = R.lexicon_terms(again)
+    again = S.lexicon_document(R.lexicon_terms(documents).withColumn("version", F.get_json_object("entry", "$.version").cast("bigint")),
+                               {"version": 1}, by="version")
+    terms = R.lexicon_terms(again.select("value"))
     version = F.get_json_object("entry", "$.version").cast("bigint")
     return terms.select(version.alias("version"), F.get_json_object("entry", "$.id").cast("bigint").alias("id"),
-                        F.trim(F.col("term"), F.lit(" \n")).alias("term"), (F.col("ordinal") % 20).alias("ordinal"))
+                        F.trim(F.col("term"), F.lit(" \n")).alias("term"), "ordinal")
 
 
 @query("header_rows_dropped", "SELECT doc_id FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 10 <> 1")

@@ -128,8 +128,9 @@ def write_metrics(df: DataFrame, path: str, first: str = "prompt_name") -> None:
     write_tsv(df.select(first, *[F.col(f"`{c}`") for c in df.columns if c != first]), path)
 
 
-def lexicon_document(terms: DataFrame, other: dict | None = None) -> DataFrame:
-    """``value``: one JSON object, the other top-level keys unchanged and ``terms`` in their order.
+def lexicon_document(terms: DataFrame, other: dict | None = None, by: str | None = None) -> DataFrame:
+    """``value``: one JSON object, the other top-level keys unchanged and ``terms`` in their order; with ``by`` one for each value
+    of that column, which stays beside it, so that a large lexicon is many documents of bounded size.
 
     ``entry`` (the whole term as read) is written where it exists, and ``ordinal`` gives the order; without them the
     known fields are written, ordered by their text.
@@ -141,7 +142,8 @@ def lexicon_document(terms: DataFrame, other: dict | None = None) -> DataFrame:
     head = json.dumps(other or {}, ensure_ascii=False)[:-1]
     comma = ", " if other else ""
     listed = F.array_join(F.transform(pairs, lambda x: x["e"]), ",")
-    return terms.agg(F.concat(F.lit(f"{head}{comma}\"terms\": ["), listed, F.lit("]}")).alias("value"))
+    grouped = terms if by is None else terms.groupBy(by)
+    return grouped.agg(F.concat(F.lit(f"{head}{comma}\"terms\": ["), listed, F.lit("]}")).alias("value"))
 
 
 def write_lexicon(terms: DataFrame, path: str, other: dict | None = None, bytes_limit: int = 256 << 20) -> None:

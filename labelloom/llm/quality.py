@@ -37,6 +37,8 @@ MAX_WORD_DISTANCE = 0.42
 MAX_MEAN_DISTANCE = 0.23
 #: a language's reference stands for texts of unknown language if at least so many documents made it
 MIN_REFERENCE_DOCS = 10
+#: so many references are tried on a text without one of its own
+MOST_REFERENCES = 1000
 #: a document's histogram enters the reference as shares of one million, so that sums are exact in any order
 SCALE = 1_000_000
 
@@ -167,16 +169,19 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", refer
     equal verdicts; an empty table gives an empty result. ``references`` may come from another corpus; by default they
     are those of ``docs`` itself.
 
-    A text of NULL, empty or unknown language (one without a row in the references) is judged by the reference at the
-    smallest mean of both distances, of those that ``MIN_REFERENCE_DOCS`` documents made; without any its distances are NULL.
+    A reference counts if ``MIN_REFERENCE_DOCS`` documents made it, so that no document is its own measure. A text of NULL, empty
+    or unknown language, or of one without such a reference, is judged by the reference at the smallest mean of both distances, of
+    the ``MOST_REFERENCES`` that most documents made; without any its distances are NULL.
     """
     refs = staged(language_references(docs, text, lang) if references is None else references)
     d = docs.withColumn("__m", _measures(text_of(text))).withColumn("__lang", F.coalesce(F.col(lang), F.lit("")))
     # a row per language, stored, so that Spark knows its size before it plans the join: small, it is broadcast and the
     # texts stay where they are; large, the join shuffles and adaptive execution splits a frequent language
-    d = d.join(refs.withColumn("__known", F.lit(True)), "__lang", "left")
-    # one row that holds the references of all languages
-    trusted = refs.filter((F.col("__ref_docs") >= MIN_REFERENCE_DOCS) & F.col("__ref_classes").isNotNull() & F.col("__ref_common").isNotNull())
+    counted = refs.filter(F.col("__ref_docs") >= MIN_REFERENCE_DOCS)
+    d = d.join(counted.withColumn("__known", F.lit(True)), "__lang", "left")
+    # one row of bounded size that holds the references of the languages
+    trusted = counted.filter(F.col("__ref_classes").isNotNull() & F.col("__ref_common").isNotNull()).orderBy(
+        F.desc("__ref_docs"), "__lang").limit(MOST_REFERENCES)
     d = d.crossJoin(F.broadcast(trusted.agg(F.collect_list(F.struct("__ref_classes", "__ref_common")).alias("__refs"))))
     m = F.col("__m")
 

@@ -55,8 +55,26 @@ def plain_quality(rows):
 
 
 def plain_one_of_each(rows):
-    prints = [plain_fingerprint(r["text"], corpus_pipeline.NEAR_SHINGLE) for r in rows]
-    roots = plain_components(prints, corpus_pipeline.NEAR_BITS)
+    """Of every group of texts chained by a similarity of 0.8 of their five-word shingles, all pairs compared."""
+    def shingles(text):
+        words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        n = corpus_pipeline.NEAR_SHINGLE
+        return frozenset(tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+    prints = [shingles(r["text"]) for r in rows]
+    roots = {p: p for p in prints}
+
+    def root(p):
+        while roots[p] is not p:
+            p = roots[p]
+        return p
+
+    some = list(roots)
+    for i, p in enumerate(some):
+        for q in some[:i]:
+            if p and q and 100 * len(p & q) >= corpus_pipeline.NEAR_PERCENT * len(p | q):
+                roots[root(p)] = root(q)
+    roots = {p: root(p) for p in prints}
     least = {}
     for r, p in zip(rows, prints):
         least[roots[p]] = min(least.get(roots[p], r["doc_id"]), r["doc_id"])

@@ -31,6 +31,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.vectors import decide
+from . import linear
 from .hybrid import hybrid_scores
 from .knn import knn, knn_probability
 from .metrics import fold_means, leaderboard, score_table, weighted_metrics
@@ -82,9 +83,33 @@ def logistic_regression(max_iter: int = 10_000) -> Trainer:
             lambda: LogisticRegression(maxIter=max_iter, regParam=1.0 / max(n, 1), standardization=False)
         )(df)
 
+    def all_folds(folded: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
+        rows = linear.dense(folded, "label", "fold")
+        models = linear.fit(rows, [linear.Member(i) for i in ids], "logistic", lambda n: 1.0 / n, max_iter=max_iter)
+        return _scored(folded, models, None, ids)
+
+    train.all_folds = all_folds
     return train
 
 
+#: features of more places are left to Spark ML's solvers, which keep them sparse, one fold after another
+MOST_DENSE = 16_384
+
+
+def _width(df: DataFrame) -> int:
+    first = df.select(F.size(vector_to_array("features")).alias("d")).first()
+    return first["d"] if first else 0
+
+
+def _scored(rows: DataFrame, models: linear.Models, params: np.ndarray | None, folds: Sequence[int | None]) -> DataFrame:
+    """raw, prob0 and prob1 of every row by the model of its fold."""
+    score = linear.probabilities(models, params, folds)
+    fold = F.lit(-1) if list(folds) == [None] else F.col("fold").cast("int")
+    p = F.col("_p")
+    return rows.withColumn("_p", score(vector_to_array("features"), fold)).withColumns(
+        {"raw": p["raw"], "prob0": 1.0 - p["prob1"], "prob1": p["prob1"]}).drop("_p")
+
+
 def random_forest(trees: int = 100, seed: int = 10) -> Trainer:
     return probabilistic(lambda: RandomForestClassifier(numTrees=trees, seed=seed))
 
@@ -108,8 +133,26 @@ def linear_svm(c: float = 1.0, balanced: bool = False, key: str = "row_id", fold
     """Linear SVM with Platt probabilities.
 
     A one-feature logistic regression is fitted on out-of-fold margins, then the margin model is
-    refitted on everything.
+    refitted on everything: all these models in the same pass per step.
     """
+    def fitted(rows: DataFrame, outer: Sequence[int | None]) -> tuple[linear.Models, np.ndarray]:
+        members = [linear.Member(i, j) for i in outer for j in [*range(folds), None]]
+        stored, rows = cached(rows)
+        try:
+            models = linear.fit(rows, members, "hinge", lambda n: 1.0 / (c * n), balanced, max_iter)
+            return models, linear.platt(rows, models, outer)
+        finally:
+            stored.unpersist()
+
+    def all_folds(folded: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
+        inner = stratified_folds(folded, key, "label", folds, seed, "inner")
+        return _scored(folded, *fitted(linear.dense(inner, "label", "fold", "inner"), ids), ids)
+
+    def train_dense(df: DataFrame):
+        inner = stratified_folds(df, key, "label", folds, seed, "inner")
+        models, params = fitted(linear.dense(inner, "label", "inner"), [None])
+        return lambda rows: _scored(rows, models, params, [None])
+
     def svc(df: DataFrame):
         est = LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(df.count(), 1)), standardization=False)
         return (est.setWeightCol("weight") if balanced else est).fit(df)
@@ -120,6 +163,8 @@ def linear_svm(c: float = 1.0, balanced: bool = False, key: str = "row_id", fold
         )
 
     def train(df: DataFrame):
+        if _width(df) <= MOST_DENSE:
+            return train_dense(df)
         df = balanced_weights(df) if balanced else df
         stored, folded = cached(stratified_folds(df, key, "label", folds, seed, "_platt"))
         try:
@@ -141,6 +186,7 @@ def linear_svm(c: float = 1.0, balanced: bool = False, key: str = "row_id", fold
 
         return score
 
+    train.all_folds = all_folds
     return train
 
 
@@ -315,6 +361,9 @@ def with_rules(inner: Trainer, hit: str = "hit", hard_override: bool = False, bo
         score = inner(df)
         return lambda rows: hybrid_scores(score(rows), hit, "prob1", hard_override, boost_floor, threshold)
 
+    if hasattr(inner, "all_folds"):
+        train.all_folds = lambda folded, key, ids: hybrid_scores(
+            inner.all_folds(folded, key, ids), hit, "prob1", hard_override, boost_floor, threshold)
     return train
 
 
@@ -347,6 +396,8 @@ def out_of_fold(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int
                 threshold: float = 0.5, cache: bool = True) -> DataFrame:
     """``key, label, fold, prob0, prob1, prediction`` for every row, each scored by a model that has not seen it.
 
+    Linear models are trained for all folds at once, one job per step; others fold by fold.
+
     The features are cached for the fold models and stay cached for the returned plan; pass
     ``cache=False`` for a frame that already is.
     """
@@ -354,11 +405,14 @@ def out_of_fold(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int
     if cache:
         _, folded = cached(folded)
     ids = sorted(r["fold"] for r in folded.select("fold").distinct().collect())
+    keep = [key, "label", "fold", "prob0", "prob1", "prediction"]
+    if hasattr(trainer, "all_folds") and len(ids) > 1 and _width(folded) <= MOST_DENSE:
+        return _predicted(trainer.all_folds(folded, key, ids), threshold).select(*keep)
     parts = []
     for i in ids:
         score = trainer(folded.filter(F.col("fold") != i))
         scored = _predicted(score(folded.filter(F.col("fold") == i)), threshold)
-        parts.append(scored.select(key, "label", "fold", "prob0", "prob1", "prediction"))
+        parts.append(scored.select(*keep))
     return reduce(DataFrame.unionByName, parts)
 
 

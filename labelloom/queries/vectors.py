@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..operators import features as X, knn as N
+from ..session import shared_folder
+from ..sources.vector_store import VectorStore
 from .base import query, table
 from .metrics import _SQL_FOLDS
 
@@ -60,6 +64,22 @@ def embed_prompts(spark, d) -> DataFrame:
                       "embedding_model")
 
 
+@query("embedding_store", """
+WITH known AS (SELECT text FROM benchmark UNION SELECT text FROM documents WHERE lang = 'en')
+SELECT doc_id, CASE WHEN coalesce(d.text, '') IN (SELECT coalesce(text, '') FROM known) THEN 1 ELSE 2 END::BIGINT AS version,
+  (length(coalesce(d.text, '')) - length(replace(coalesce(d.text, ''), 'a', '')))::DOUBLE AS n_a,
+  (length(coalesce(d.text, '')) - length(replace(coalesce(d.text, ''), 'e', '')))::DOUBLE AS n_e FROM documents d""")
+def embedding_store(spark, d) -> DataFrame:
+    """A first run stores the benchmark's and the English texts; a second one over all documents encodes only the others."""
+    store = VectorStore(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", "letters", dim=4, prompts=("{text}",), buckets=16)
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    store.add(table(spark, d, "benchmark").select("text").unionByName(docs.filter("lang = 'en'").select("text")), "text", LetterCounts())
+    store.add(docs, "text", LetterCounts())
+    v = F.col("embedding")
+    return store.attach(docs, "text", version="version").select(
+        "doc_id", "version", v[0].cast("double").alias("n_a"), v[1].cast("double").alias("n_e"))
+
+
 @query("prompt_variants", """
 SELECT doc_id, p.prompt_no::INT AS prompt_no, md5(replace(p.t, '{text}', text)) AS prompt_md5
 FROM documents, (VALUES (0, '{text}'), (1, 'About: {text}?'), (2, '用一句话 {text} aeio')) p(prompt_no, t)""")

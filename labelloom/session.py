@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -31,3 +33,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
+
+    Only a local session without that setting gets a folder of its own; on a cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelloom-"))
+    return sc.getCheckpointDir().rstrip("/")

@@ -14,6 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark import StorageLevel, keyword_only
 from pyspark.errors import IllegalArgumentException, PySparkException
@@ -228,6 +229,49 @@ def rbf_svm(c: float = 1.0, balanced: bool = False, dim: int = 256, key: str = "
     return train
 
 
+#: rows that a Nystroem map is made of at most; the map is a matrix of that square
+MOST_LANDMARKS = 512
+
+
+def sigmoid_kernel(x: np.ndarray, y: np.ndarray, gamma: float, coef0: float = 0.0) -> np.ndarray:
+    return np.tanh(gamma * (x @ y.T) + coef0)
+
+
+def nystroem_map(marks: np.ndarray, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Kernel values against the landmarks times this matrix are features whose products approximate the kernel (Williams & Seeger 2000).
+
+    Only the positive part of the landmarks' kernel matrix is used: a sigmoid is not positive definite everywhere.
+    """
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    use = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
+    return vectors[:, use] / np.sqrt(values[use])
+
+
+def sigmoid_svm(c: float = 1.0, coef0: float = 0.0, landmarks: int = 128, key: str = "row_id", seed: int = 42, **kw) -> Trainer:
+    """SVM with the kernel tanh(gamma x.y + coef0), by a Nystroem map of at most ``MOST_LANDMARKS`` training rows (those with the least
+    hashes of their key) and a linear SVM."""
+    def train(df: DataFrame):
+        gamma = scale_gamma(df)
+        some = df.select(vector_to_array("features").alias("x")).orderBy(
+            F.xxhash64(F.lit(seed), F.col(key)), key).limit(min(landmarks, MOST_LANDMARKS)).collect()
+        marks = np.array([r["x"] for r in some], dtype=np.float64)
+        shared = df.sparkSession.sparkContext.broadcast((marks, nystroem_map(marks, lambda x, y: sigmoid_kernel(x, y, gamma, coef0))))
+
+        @F.arrow_udf("array<double>")
+        def mapped(column: pa.Array) -> pa.Array:
+            at, root = shared.value
+            x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+            return pa.array(list(sigmoid_kernel(x, at, gamma, coef0) @ root) if len(x) else [], pa.list_(pa.float64()))
+
+        def features(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("features", array_to_vector(mapped(vector_to_array("features"))))
+
+        inner = linear_svm(c, key=key, seed=seed, **kw)(features(df))
+        return lambda rows: inner(features(rows))
+
+    return train
+
+
 def nearest_neighbours(k: int = 10, key: str = "row_id", vector: str = "embedding", strategy: str = "auto") -> Trainer:
     def train(df: DataFrame):
         def score(rows: DataFrame) -> DataFrame:
@@ -374,6 +418,7 @@ def default_zoo(key: str = "row_id", rules: bool = False, threshold: float = 0.5
         "SVM (C=0.1)": rbf_svm(0.1, key=key),
         "SVM (C=1)": rbf_svm(1.0, key=key),
         "SVM (Linear Kernel)": linear_svm(1.0, key=key),
+        "SVM (Sigmoid Kernel)": sigmoid_svm(1.0, key=key),
         "Random Forest": random_forest(),
         "Nearest Neighbors": nearest_neighbours(10, key=key),
         "Decision Tree": decision_tree(),

@@ -70,6 +70,11 @@ def oof_svm_linear(spark, d) -> DataFrame:
     return _out_of_fold(spark, d, M.linear_svm(1.0, folds=2, max_iter=10), 2)
 
 
+@query("oof_svm_sigmoid", _SQL_TWO)
+def oof_svm_sigmoid(spark, d) -> DataFrame:
+    return _out_of_fold(spark, d, M.sigmoid_svm(1.0, landmarks=64, folds=2, max_iter=10), 2)
+
+
 @query("oof_svm_rbf", _SQL_TWO)
 def oof_svm_rbf(spark, d) -> DataFrame:
     return _out_of_fold(spark, d, M.rbf_svm(1.0, dim=64, folds=2, max_iter=10), 2)

@@ -55,6 +55,11 @@ def cv_svm_rbf(spark, d) -> DataFrame:
     return _cv(spark, d, "SVM (C=1)", M.rbf_svm(1.0, dim=128, folds=2, max_iter=15), folds=2)
 
 
+@query("cv_svm_sigmoid")
+def cv_svm_sigmoid(spark, d) -> DataFrame:
+    return _cv(spark, d, "SVM (Sigmoid Kernel)", M.sigmoid_svm(1.0, landmarks=64, folds=2, max_iter=15), folds=2)
+
+
 @query("cv_adaboost")
 def cv_adaboost(spark, d) -> DataFrame:
     return _cv(spark, d, "AdaBoost", M.ada_boost(10), folds=2)

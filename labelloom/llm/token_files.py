@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 import re
+import string
 import struct
 import sys
 import uuid
@@ -38,7 +39,7 @@ SHARD_IDS = 1 << 24
 UNIT_IDS = 1 << 22
 #: bytes of text that are cut into words at once, and (twice) of the words that a worker remembers
 CHUNK = 1 << 23
-REMEMBERED = 40_000_000
+REMEMBERED = 100_000_000
 _END = "<QQQQQI8s"  # start of the index, documents, blocks, segments, ids, CRC-32 of the index
 
 
@@ -60,14 +61,14 @@ def _write(path: str, content: Callable | bytes) -> None:
 class Words:
     """What is known of a tokenizer that drops ASCII white space and never joins what it parts: its words can be encoded on
     their own, and remembered. ``plain``: (a pattern) lower-case words that it takes as one piece, unchanged but for upper
-    case; ``points``: characters that make one more piece after such a word."""
+    case; ``points``: characters of which any number make one piece, alone or after such a word."""
 
     plain: str
     points: str
 
 
 #: lower-case letters of Latin-1 are single code points in every normal form
-LATIN_WORDS = Words("[a-z\u00df-\u00f6\u00f8-\u00ff]+", ".,;:!?")
+LATIN_WORDS = Words("[a-z\u00df-\u00f6\u00f8-\u00ff]+", string.punctuation)
 
 
 def _letters_of_bytes() -> dict[int, str]:
@@ -91,7 +92,7 @@ class Encoder:
         self.before: dict[bytes, bytes] = {}
         self.size = 0
         if words:
-            self.plain = re.compile(f"({words.plain})([{re.escape(words.points)}]*)")
+            self.plain = re.compile(f"({words.plain})?([{re.escape(words.points)}]*)")
             self.letters = {chr(b): c for b, c in _letters_of_bytes().items()}
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -125,7 +126,7 @@ class Encoder:
                 if not match:
                     odd.append(w)
                     continue
-                ids = self._piece(match[1]) + (self._piece(match[2]) if match[2] else b"")
+                ids = b"".join(self._piece(x) for x in match.groups() if x)
             known[w] = ids
             self.size += 200 + 2 * len(w)
         known.update(zip(odd, self._encode(odd)))

@@ -44,7 +44,8 @@ def test_frequencies_fill_the_table_and_keep_every_id(counts):
 
 # ---- token files ---------------------------------------------------------------------------------------------------
 ODD = ["ΟΔΟΣ ΟΔΟΣ\tΣ. Σ", "á ́b é", "x\x1cy\x85z\xa0w it's I'LL 'S 12 3", "<|endoftext|> a<|startoftext|>b", "​ 　zz",
-       "İI ǅ ﬁ ÀÉÿß straße,. e\u0301a é.'s <|ENDOFTEXT|> a<|endoftext|>, ªº µ ÷a", " ", "", None, "word " * 300_000, "w" * 30_000]
+       "İI ǅ ﬁ ÀÉÿß straße,. e\u0301a é.'s <|ENDOFTEXT|> a<|endoftext|>, ªº µ ÷a",
+       "ab's a' ''' |*** x%$# a_b __ don't'. 's' n't... it'll've", " ", "", None, "word " * 300_000, "w" * 30_000]
 
 
 def token_rows(texts):

@@ -68,9 +68,12 @@ def _is_boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
     for name, value in _NAMED.findall(attributes):
         if name.lower() == "id" and tag not in CONTAINERS:
             continue  # ids of sections and headings are made from their heading
-        words = _WORD.findall(value.lower())
-        if any(w in names or (w in HEADER_NAMES and not inside_article) for w in words):
-            return True
+        for token in value.lower().strip("\"'").split():
+            words = _WORD.findall(token)
+            listed = sum(w in names or (w in HEADER_NAMES and not inside_article) for w in words)
+            # a name of its own or with one more word (share-buttons, site-footer); longer ones only if all of it is listed
+            if listed and (len(words) <= 2 or listed == len(words)):
+                return True
     return False
 
 
@@ -210,13 +213,15 @@ def article_nodes(root: Node) -> list[Node | str | None]:
         i = next(i for i, x in enumerate(outer.children) if x is inner)
         edge = [None] if inner.tag in BLOCKS else []  # its text does not run into the outer one's
         # text that stands directly in an element of the path belongs to it
-        before.append([x for x in outer.children[:i] if isinstance(x, str) or x.density >= threshold or _is_heading(x)] + edge)
-        after += edge + [x for x in outer.children[i + 1:] if isinstance(x, str) or x.density >= threshold]
+        before.append([x for x in outer.children[:i] if _belongs(x, threshold)] + edge)
+        after += edge + [x for x in outer.children[i + 1:] if _belongs(x, threshold)]
     return [*(x for part in reversed(before) for x in part), best, *after]
 
 
-def _is_heading(node: Node) -> bool:
-    return re.fullmatch(r"h[1-6]|hgroup|header", node.tag) is not None
+def _belongs(x: Node | str, threshold: float) -> bool:
+    """Is what stands beside the path part of the page's text? Boilerplate is gone already; what is left out is mostly links."""
+    return isinstance(x, str) or x.density >= threshold or 2 * x.link_chars < x.chars or (
+        re.fullmatch(r"h[1-6]|hgroup|header", x.tag) is not None)
 
 
 def blocks(top: list[Node | str | None]) -> list[str]:

@@ -600,3 +600,64 @@ def test_page_frame(spark):
     got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
     assert got == {i: w for i, (_, w) in enumerate(PAGES)}
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+# ---- pages without an article element ------------------------------------------------------------------------------------
+
+def sentences(n, word):
+    return " ".join(f"{word.capitalize()} number {i} says a little more than the one before it." for i in range(n))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div id=content><div><h2>One</h2><p>{sentences(4, 'first')}</p></div><div><h2>Two</h2><p>{sentences(12, 'second')}</p></div></div></body>",
+     ["One", sentences(4, "first"), "Two", sentences(12, "second")]),
+    (f"<body><div><h1>Title</h1></div><div><p>{sentences(5, 'a')}</p><p>{sentences(6, 'b')}</p></div></body>", ["Title", sentences(5, "a"), sentences(6, "b")]),
+    (f"<body><div><p>{sentences(5, 'a')}</p><p>{sentences(6, 'b')}</p></div><p>The end.</p></body>", [sentences(5, "a"), sentences(6, "b"), "The end."]),
+    (f'<article><p class="lead share-buttons-none">{sentences(1, "lead")}</p><div class="search-results-analysis"><p>{sentences(3, "a")}</p></div>'
+     f'<div class="share-buttons">Share</div><div class="cookie-consent-banner">Cookies</div></article>', [sentences(1, "lead"), sentences(3, "a")]),
+    (f"<body><div><a href=x>One link</a> <a href=y>and another one</a></div><div><p>{sentences(5, 'a')}</p><p>{sentences(6, 'b')}</p></div></body>",
+     [sentences(5, "a"), sentences(6, "b")]),
+])
+def test_pages_keep_all_their_text(page, want):
+    assert html_text.extract(page).split("\n") == want
+
+
+def plain_density_sums(page):
+    """Composite text density by its definition, each element counted anew: (density sum, element) of all elements."""
+    import math
+
+    root = html_text.parse(page)
+
+    def text(n):
+        return "".join(text(c) if isinstance(c, html_text.Node) else "".join(c.split()) for c in n.children)
+
+    def inside(n):
+        return [x for c in n.children if isinstance(c, html_text.Node) for x in (c, *inside(c))]
+
+    def link_text(n):
+        return len(text(n)) if n.tag == "a" else sum(link_text(c) for c in n.children if isinstance(c, html_text.Node))
+
+    total, links = max(len(text(root)), 1), link_text(root)
+
+    def density(n):
+        c, t, lc, lt = len(text(n)), max(len(inside(n)), 1), link_text(n), sum(x.tag == "a" for x in inside(n))
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + links / total * c + math.e)
+        return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / max(base, 1e-9)
+
+    return [sum(density(c) for c in n.children if isinstance(c, html_text.Node)) for n in html_text._nodes(root)]
+
+
+def test_density_sums_equal_their_definition():
+    rng = random.Random(9)
+
+    def element(depth):
+        tag = rng.choice(["div", "p", "a", "span", "section"])
+        inner = "".join(element(depth - 1) if depth and rng.random() < 0.6 else sentences(rng.randint(0, 3), "x") for _ in range(rng.randint(1, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(40):
+        page = element(4)
+        want = plain_density_sums(page)
+        assert np.allclose([n.total for n in html_text.measure(html_text.parse(page))], want)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 import json
+import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .readers import exists, read_table_tsv
@@ -89,38 +92,81 @@ def materialize(df: Callable[[], DataFrame] | DataFrame, path: str, spark: Spark
     return spark.read.parquet(path)
 
 
+#: attempts of a writer that others keep overtaking
+_ATTEMPTS = 50
+
+
 def upsert_tsv(spark: SparkSession, path: str, row_key: str, updates: DataFrame) -> str:
     """Add or replace result rows in a versioned TSV table; returns the new version's directory.
 
-    Readers of the old version are not disturbed; ``latest_version`` finds the newest complete one.
+    The rows are written beside the table first. A version comes about by creating its commit file, which only one writer can do;
+    another one that read the same version before reads again and applies its rows to the newer one. Readers of old versions are
+    not disturbed, and a writer that dies leaves nothing that ``latest_version`` sees.
     """
     from ..operators.joins import upsert
+    from .readers import file_system
 
-    last = latest_version(spark, path)
-    out = updates
-    if last:
-        out = upsert(read_table_tsv(spark, last), updates.select(*[F.col(f"`{c}`").cast("string").alias(c)
-                                                                   for c in updates.columns]), row_key)
-    else:
-        out = updates.select(row_key, *sorted(c for c in updates.columns if c != row_key))
-    number = int(last.rstrip("/").rsplit("v", 1)[1]) + 1 if last else 1
-    target = f"{path.rstrip('/')}/v{number:06d}"
-    write_tsv(out, target, mode="error")
-    return target
-
-
-def latest_version(spark: SparkSession, path: str) -> str | None:
+    base = path.rstrip("/")
+    for _ in range(_ATTEMPTS):
+        number, last = _newest(spark, path)
+        out = updates
+        if last:
+            out = upsert(read_table_tsv(spark, last), updates.select(*[F.col(f"`{c}`").cast("string").alias(c)
+                                                                       for c in updates.columns]), row_key)
+        else:
+            out = updates.select(row_key, *sorted(c for c in updates.columns if c != row_key))
+        target = f"{base}/data-{uuid.uuid4().hex}"
+        write_tsv(out, target, mode="error")
+        if _create(spark, f"{base}/_commits/{number + 1:06d}", target.rpartition("/")[2]):
+            return target
+        fs, p = file_system(spark, target)
+        fs.delete(p, True)
+    raise RuntimeError(f"{path}: overtaken by other writers {_ATTEMPTS} times")
+
+
+def _create(spark: SparkSession, path: str, content: str) -> bool:
+    """Create the file with this content unless it exists; False if it does. One of several writers at once succeeds."""
     from .readers import file_system
 
     fs, p = file_system(spark, path)
-    if not fs.exists(p):
-        return None
-    names = sorted(
-        s.getPath().getName() for s in fs.listStatus(p)
-        if s.isDirectory() and s.getPath().getName().startswith("v")
-        and exists(spark, s.getPath().toString() + "/_SUCCESS")
-    )
-    return f"{path.rstrip('/')}/{names[-1]}" if names else None
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":  # Hadoop's local file system only looks before it writes
+        name = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+        whole = f"{name}.{uuid.uuid4().hex}.part"
+        with open(whole, "w", encoding="utf-8") as f:
+            f.write(content)
+        try:
+            os.link(whole, name)  # whole or not at all
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(whole)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception) or fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
+def _newest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and directory of the last version."""
+    from .readers import file_system
+
+    fs, p = file_system(spark, f"{path.rstrip('/')}/_commits")
+    numbers = sorted(n for n in (s.getPath().getName() for s in fs.listStatus(p)) if n.isdigit()) if fs.exists(p) else []
+    if not numbers:
+        return 0, None
+    text = spark.read.text(f"{path.rstrip('/')}/_commits/{numbers[-1]}").first()
+    return int(numbers[-1]), f"{path.rstrip('/')}/{text[0]}"
+
+
+def latest_version(spark: SparkSession, path: str) -> str | None:
+    return _newest(spark, path)[1]
 
 
 def write_metrics(df: DataFrame, path: str, first: str = "prompt_name") -> None:

@@ -197,6 +197,25 @@ def test_upsert_versions(spark, tmp_path):
         ("m1", "0.2", "0.1", "0.9"), ("m2", "", "", "0.3")]
 
 
+def test_writers_at_once_lose_no_row(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    p = str(tmp_path / "results")
+    frames = [spark.createDataFrame([(f"m{i}", str(i))], "row string, score string") for i in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda f: S.upsert_tsv(spark, p, "row", f), frames))
+    assert rows(R.read_table_tsv(spark, S.latest_version(spark, p))) == [(f"m{i}", str(i)) for i in range(4)]
+    assert sorted(x.name for x in (tmp_path / "results/_commits").iterdir() if x.name.isdigit()) == ["000001", "000002", "000003", "000004"]
+
+
+def test_a_dead_writer_is_not_seen(spark, tmp_path):
+    p = str(tmp_path / "results")
+    S.upsert_tsv(spark, p, "row", spark.createDataFrame([("a", "1")], "row string, score string"))
+    last = S.latest_version(spark, p)
+    S.write_tsv(spark.createDataFrame([("b", "2")], "row string, score string"), f"{p}/data-dead")  # written, never committed
+    assert S.latest_version(spark, p) == last
+
+
 def test_corpus_split_and_checks(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "hub/train"))
     assert R.read_corpus_split(spark, str(tmp_path / "hub")).count() == 2

@@ -14,6 +14,7 @@ A file: ``MAGIC``; blocks, each its checkpoints' states (uint64), their places i
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -39,7 +40,7 @@ SHARD_IDS = 1 << 24
 UNIT_IDS = 1 << 22
 #: bytes of text that are cut into words at once, and (twice) of the words that a worker remembers
 CHUNK = 1 << 23
-REMEMBERED = 100_000_000
+REMEMBERED = 130_000_000
 _END = "<QQQQQI8s"  # start of the index, documents, blocks, segments, ids, CRC-32 of the index
 
 
@@ -93,10 +94,13 @@ class Encoder:
         self.size = 0
         if words:
             self.plain = re.compile(f"({words.plain})?([{re.escape(words.points)}]*)")
-            self.letters = {chr(b): c for b, c in _letters_of_bytes().items()}
+            self.letters = str.maketrans({chr(b): c for b, c in _letters_of_bytes().items()})
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        out = array("H" if self.kind.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
@@ -107,7 +111,7 @@ class Encoder:
         key = piece.encode()
         ids = self.known.get(key)
         if ids is None:
-            letters = piece if piece.isascii() else key.decode("latin-1").translate(str.maketrans(self.letters))
+            letters = piece if piece.isascii() else key.decode("latin-1").translate(self.letters)
             ids = self.known[key] = self._bytes([t.id for t in self.model.tokenize(letters)])
             self.size += 200 + 2 * len(key)
         return ids

@@ -4,9 +4,10 @@
   change any answer and keeps hot copies small.
 * A training side under ``BROADCAST_BYTES`` is broadcast and every query batch is answered in one
   map step.
-* Beyond that, both sides are cut into pivot cells and bounded blocks. Cell pairs that the triangle
-  inequality rules out are never shuffled together; every other block pair is one task-sized group
-  that returns only its k best per query.
+* Beyond that, both sides are cut into pivot cells and bounded blocks, which are shuffled and staged once. Every
+  part of the queries' blocks meets every part of the training blocks in a task that reads both from there and keeps
+  only the k best per query. Cell pairs that the triangle inequality rules out are left out. So distances are as many
+  as pairs, but what is shuffled and written grows with the rows.
 """
 
 from __future__ import annotations
@@ -16,12 +17,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-BROADCAST_BYTES = 64 << 20
+from ..session import discard, staged
+
+#: passes through the driver, once per call
+BROADCAST_BYTES = 16 << 20
 BLOCK_ROWS = 4096
+#: vectors that are packed in one task, about
+TASK_BYTES = 8 << 20
 _NEIGHBOURS = "array<struct<id:bigint,distance:double,label:int>>"
 _NO_FOLD = -1
+#: stands for a training row without a key
+_LAST = np.iinfo(np.int64).max
 
 
 def _best(q: np.ndarray, qfold: np.ndarray, t: np.ndarray, tid: np.ndarray, tfold: np.ndarray, k: int):
@@ -77,16 +86,25 @@ def knn(query: DataFrame, train: DataFrame, k: int = 10, key: str = "id", vector
         cols = [F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), f.alias("fold")]
         return df.select(*cols, *([F.col(label).cast("int").alias("label")] if with_label else []))
 
-    q, t = shape(query, False), _distinct_train(shape(train, True), k)
-    size = t.agg(F.coalesce(F.sum(F.size("vec") * 8 + 24), F.lit(0))).first()[0]
+    def size(df: DataFrame) -> int:
+        return df.agg(F.coalesce(F.sum(F.size("vec") * 8 + 24), F.lit(0))).first()[0]
+
+    q, t, kept = shape(query, False), shape(train, True), None
+    if strategy == "auto" and size(t) <= BROADCAST_BYTES:
+        strategy = "broadcast"
+    t = _distinct_train(t, k)
+    if strategy in ("auto", "blocks"):
+        t = kept = staged(t)  # read several times
     if strategy == "auto":
-        strategy = "broadcast" if size <= BROADCAST_BYTES else "blocks"
+        strategy = "broadcast" if size(t) <= BROADCAST_BYTES else "blocks"
     if strategy == "broadcast":
         found = _knn_broadcast(q, t, k)
     elif strategy == "blocks":
         found = _knn_blocks(q, t, k, block_rows, pivots)
     else:
         raise ValueError(f"unknown strategy: {strategy}")
+    if kept is not None:
+        discard(kept)
     return found.withColumnRenamed("id", key)
 
 
@@ -147,12 +165,80 @@ def _plan_cells(centres: np.ndarray, qstat: list, tstat: list, k: int) -> list[t
     return pairs
 
 
+class _Nearest:
+    """The k best training rows seen so far of each row of a query block."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.d2 = np.full((n, k), np.inf)
+        self.id = np.full((n, k), _LAST)
+        self.label = np.full((n, k), np.nan)
+
+    def see(self, q: np.ndarray, qfold: np.ndarray, t: np.ndarray, tid: np.ndarray, tfold: np.ndarray, tlabel: np.ndarray) -> None:
+        """Distances by a matrix product; all that may beat a row's k-th best so far, rounding included, are computed exactly."""
+        tn = (t * t).sum(1)
+        step, k = max(1, (2 << 20) // len(t)), self.k
+        part = max(1, (4 << 20) // max(t.shape[1], 1))
+        side = np.vstack([-2.0 * t.T, tn])
+        for at in range(0, len(q), step):
+            qs, fs = q[at:at + step], qfold[at:at + step]
+            qn = (qs * qs).sum(1)
+            d2 = np.column_stack([qs, np.ones(len(qs))]) @ side  # without qn
+            bound = self.d2[at:at + step, -1] - qn
+            if len(t) >= k and not np.isfinite(bound).all():
+                d2[(fs[:, None] == tfold[None, :]) & (fs[:, None] != _NO_FOLD)] = np.inf
+                bound = np.minimum(bound, np.partition(d2, k - 1, axis=1)[:, k - 1])
+            limit = np.minimum(bound + 1e-9 * (qn + tn.max()) + 1e-12, np.finfo(float).max)
+            rows, cols = np.divmod(np.flatnonzero(d2 <= limit[:, None]), len(t))
+            other = (fs[rows] != tfold[cols]) | (fs[rows] == _NO_FOLD)
+            rows, cols = rows[other], cols[other]
+            exact = np.empty(len(rows))
+            for i in range(0, len(rows), part):
+                diff = qs[rows[i:i + part]] - t[cols[i:i + part]]
+                exact[i:i + part] = (diff * diff).sum(1)
+            self._merge(rows + at, exact, tid[cols], tlabel[cols])
+
+    def _merge(self, rows: np.ndarray, d2: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
+        old = np.unique(rows)
+        rows = np.concatenate([np.repeat(old, self.k), rows])
+        d2, ids, labels = (np.concatenate([x[old].ravel(), y]) for x, y in ((self.d2, d2), (self.id, ids), (self.label, labels)))
+        order = np.lexsort((ids, d2, rows))
+        # every row has its k old places, so at least k entries
+        first = np.searchsorted(rows[order], old)
+        best = order[first[:, None] + np.arange(self.k)]
+        self.d2[old], self.id[old], self.label[old] = d2[best], ids[best], labels[best]
+
+
+def _packed(df: DataFrame, blocks: dict[int, int], tasks: int) -> DataFrame:
+    """Blocks of rows of one cell, staged, each as one row of binary columns; a row's block follows from its hash."""
+    n = df.sparkSession.createDataFrame(list(blocks.items()), "cell int, _n int")
+    of = df.join(F.broadcast(n), "cell").withColumn("sub", F.pmod(F.xxhash64("id", "vec"), "_n").cast("int")).drop("_n", "reach")
+    names = [c for c in ("id", "vec", "fold", "label") if c in df.columns]
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = {"cell": table["cell"][:1].combine_chunks(), "sub": table["sub"][:1].combine_chunks()}
+        for name in names:
+            c = table[name].combine_chunks()
+            if name == "vec":
+                values = c.flatten().to_numpy(zero_copy_only=False)
+            elif name == "id":
+                values = c.fill_null(_LAST).to_numpy(zero_copy_only=False)
+            else:
+                values = c.cast(pa.float64()).to_numpy(zero_copy_only=False)  # NULL is NaN
+            out[name] = pa.array([values.tobytes()], pa.binary())
+        return pa.table(out)
+
+    schema = ", ".join(["cell int", "sub int", *(f"{c} binary" for c in names)])
+    return staged(of.repartition(tasks, "cell", "sub").groupBy("cell", "sub").applyInArrow(pack, schema))
+
+
 def _knn_blocks(q: DataFrame, t: DataFrame, k: int, block_rows: int, pivots: int) -> DataFrame:
     spark = q.sparkSession
     seeds = t.select("id", "vec").withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(pivots)
     centres = _matrix(seeds.toPandas()["vec"])
     if not len(centres):
         return q.select("id", F.array().cast(_NEIGHBOURS).alias("neighbours"))
+    ids = q.select("id")
     q, t = _with_cell(q, centres), _with_cell(t, centres)
     # all statistics below have at most pivots (x folds) rows
     qstat = q.groupBy("cell").agg(F.max("reach").alias("r"), F.count("*").alias("n")).collect()
@@ -165,49 +251,58 @@ def _knn_blocks(q: DataFrame, t: DataFrame, k: int, block_rows: int, pivots: int
         centres, [(r["cell"], r["r"]) for r in qstat],
         [(r["cell"], r["r"], r["n"] - r["own"]) for r in tstat], k,
     )
+    near: dict[int, list[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+    if not near:
+        return ids.select("id", F.array().cast(_NEIGHBOURS).alias("neighbours"))
 
     def blocks(n: int) -> int:
         return max(1, math.ceil(n / block_rows))
 
-    qn, tn = {r["cell"]: blocks(r["n"]) for r in qstat}, {r["cell"]: blocks(r["n"]) for r in tstat}
-    plan = spark.createDataFrame(
-        [(a, b, qn[a], tn[b]) for a, b in pairs], "qcell int, tcell int, qn int, tn int"
-    )
-    def sub(n: str):
-        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-
-    # the plan has at most pivots^2 rows
-    qq = (
-        q.join(F.broadcast(plan.withColumnRenamed("qcell", "cell")), "cell")
-        .select("id", "vec", "fold", F.col("cell").alias("qcell"), "tcell", sub("qn").alias("qsub"),
-                F.explode(F.sequence(F.lit(0), F.col("tn") - 1)).alias("tsub"))
-    )
-    tt = (
-        t.join(F.broadcast(plan.withColumnRenamed("tcell", "cell")), "cell")
-        .select("id", "vec", "fold", "label", "qcell", F.col("cell").alias("tcell"), sub("tn").alias("tsub"),
-                F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qsub"))
-    )
-    group = ["qcell", "qsub", "tcell", "tsub"]
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "nid": [], "d2": [], "label": []})
-        tid = right["id"].to_numpy()
-        rows, cols, d2 = _best(_matrix(left["vec"]), left["fold"].to_numpy(), _matrix(right["vec"]),
-                               tid, right["fold"].to_numpy(), k)
-        return pd.DataFrame({"id": left["id"].to_numpy()[rows], "nid": tid[cols], "d2": d2,
-                             "label": right["label"].to_numpy()[cols]})
-
-    cand = qq.groupBy(*group).cogroup(tt.groupBy(*group)).applyInPandas(
-        pair, "id long, nid long, d2 double, label int"
-    )
+    dim, cores = centres.shape[1], spark.sparkContext.defaultParallelism
+    qrows, trows = sum(r["n"] for r in qstat), sum(r["n"] for r in tstat)
+
+    def packed(df: DataFrame, stat: list, rows: int) -> DataFrame:
+        sizes = {r["cell"]: blocks(r["n"]) for r in stat}
+        return _packed(df, sizes, max(1, min(sum(sizes.values()), max(2 * cores, rows * dim * 8 // TASK_BYTES))))
+
+    # queries without a key can't be told apart by it and keep an empty list, as those without an eligible neighbour
+    qpack, tpack = packed(q.filter("id IS NOT NULL"), qstat, qrows), packed(t, tstat, trows)
+    # every part of the training side gives k rows per query: so few parts that these are no more bytes than both sides
+    parts = max(1, (qrows + trows) * dim // (3 * k * max(qrows, 1)))
+    allowed = F.broadcast(spark.createDataFrame(list(near.items()), "cell int, near array<int>"))
+    left = tpack.coalesce(parts).select(*[F.col(c).alias(f"t{c}") for c in ("cell", "id", "vec", "fold", "label")])
+    right = qpack.join(allowed, "cell").select("near", *[F.col(c).alias(f"q{c}") for c in ("cell", "sub", "id", "vec", "fold")])
+    # a task keeps its part of the queries and reads its part of the training side once, block by block; nothing is shuffled
+    met = left.join(right.hint("shuffle_replicate_nl"), F.array_contains("near", F.col("tcell")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], tuple[np.ndarray, _Nearest]] = {}
+        for batch in batches:
+            for cell, sub, *row in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
+                qid, qvec, qfold, tid, tvec, tfold, tlabel = (
+                    np.frombuffer(x.as_buffer(), dtype=np.int64 if i in (0, 3) else np.float64) for i, x in enumerate(row))
+                if (cell, sub) not in found:
+                    found[cell, sub] = qid.copy(), _Nearest(len(qid), k)
+                found[cell, sub][1].see(qvec.reshape(len(qid), -1), qfold, tvec.reshape(len(tid), -1), tid, tfold, tlabel)
+        for ids, best in found.values():
+            rows, cols = np.nonzero(np.isfinite(best.d2))
+            nid, label = best.id[rows, cols], best.label[rows, cols]
+            yield pa.record_batch([
+                pa.array(ids[rows]), pa.array(nid, mask=nid == _LAST), pa.array(best.d2[rows, cols]),
+                pa.array(np.nan_to_num(label).astype(np.int32), mask=np.isnan(label))], names=["id", "nid", "d2", "label"])
+
+    cand = met.select("qcell", "qsub", "qid", "qvec", "qfold", "tid", "tvec", "tfold", "tlabel").mapInArrow(
+        search, "id bigint, nid bigint, d2 double, label int")
     w = Window.partitionBy("id").orderBy("d2", "nid")
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     merged = top.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_r", "nid", "d2", "label"))).alias("_a"))
-    found = merged.select("id", F.transform("_a", lambda a: F.struct(
-        a["nid"].alias("id"), F.sqrt(a["d2"]).alias("distance"), a["label"].alias("label"))).alias("neighbours"))
+    found = staged(merged.select("id", F.transform("_a", lambda a: F.struct(
+        a["nid"].alias("id"), F.sqrt(a["d2"]).alias("distance"), a["label"].alias("label"))).alias("neighbours")))
+    discard(qpack, tpack)
     # queries without any eligible neighbour keep an empty list
-    return q.select("id").join(found, "id", "left").select(
+    return ids.join(found, "id", "left").select(
         "id", F.coalesce("neighbours", F.array().cast(_NEIGHBOURS)).alias("neighbours")
     )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,3 +50,19 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="labelloom-"))
     return sc.getCheckpointDir().rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them again: what is read several times is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged rows that nothing will read again."""
+    for df in frames:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -216,6 +216,32 @@ def test_knn_exact_with_copies(spark, strategy, block):
     assert prob[0] == pytest.approx(np.mean([j % 2 for j in got[0]]))
 
 
+def test_knn_blocks_shuffle_no_row_per_block_pair(spark, monkeypatch):
+    """Each side is packed once: rows are not repeated for the blocks of the other side, and few parts give k rows per query."""
+    from labelloom.operators import knn as module
+
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, p.tolist(), i % 2) for i, p in enumerate(points)],
+                               "id long, embedding array<double>, label int")
+    seen = []
+
+    def watched(frame):
+        seen.append(kept(frame))
+        return seen[-1]
+
+    kept = module.staged
+    monkeypatch.setattr(module, "staged", watched)
+    monkeypatch.setattr(module, "discard", lambda *frames: None)
+    near = knn.knn(df, df, 3, strategy="blocks", block_rows=8, pivots=3).collect()
+    d = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2)
+    assert {r.id: [n.id for n in r.neighbours] for r in near} == {i: np.argsort(x, kind="stable")[:3].tolist() for i, x in enumerate(d)}
+    packs = [f for f in seen if "sub" in f.columns]
+    assert len(packs) == 2
+    for f in packs:
+        assert sum(len(r["id"]) // 8 for r in f.collect()) == 300
+
+
 def test_knn_without_enough_training_rows(spark):
     df = spark.createDataFrame([(0, [0.0], 1, 0), (1, [1.0], 0, 0)], "id long, embedding array<double>, label int, fold int")
     for strategy in ("broadcast", "blocks"):

@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 ARRAY_TERMS = 24
@@ -32,6 +33,8 @@ GRAMS = (1, 2, 3, 4, 6, 8)
 #: counters of the grams' frequencies, and the pieces they are added up in
 COUNTERS = 1 << 20
 _PIECES = 32
+#: bytes of texts that are looked at together (one text may be longer)
+TEXT_BYTES = 1 << 20
 #: pairs of a slot and a way that anchors have in it, at most
 WAYS = 4_000_000
 
@@ -151,20 +154,24 @@ def _bitmap(values: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (the first column) have about ``TEXT_BYTES`` together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.cumsum(sizes) // TEXT_BYTES
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(a, z - a)
+
+
 def _gram_counts(texts: DataFrame, col: str) -> np.ndarray:
     """How often grams occur, by ``COUNTERS`` counters that they are hashed into; collisions only make a gram seem frequent."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            texts = [s for s in batch.column(0).to_pylist() if s]
-            while texts:  # short texts go together: grams across their borders only seem a little more frequent
-                some, size = [], 0
-                while texts and size < 1 << 20:
-                    some.append(texts.pop())
-                    size += len(some[-1])
-                h = Hashed("\n".join(some))
-                for q in GRAMS:
-                    table += np.bincount((h.grams(q) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        for batch in (some for whole in batches for some in _slices(whole)):
+            # short texts go together: grams across their borders only seem a little more frequent
+            h = Hashed("\n".join(s for s in batch.column(0).to_pylist() if s))
+            for q in GRAMS:
+                table += np.bincount((h.grams(q) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         pieces = np.split(table, _PIECES)
         yield pa.record_batch([pa.array(range(_PIECES), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["piece", "counts"])
 
@@ -258,13 +265,17 @@ class Anchors:
         return texts.select(*(c for c in texts.columns if c != text), F.explode(found(F.col(text))).alias("term"))
 
     def counts(self, texts: DataFrame, text: str, by: list[str]) -> DataFrame:
-        """``term, *by, hits`` of substrings that may be terms, added up inside each batch; a term may have several rows."""
+        """``term, *by, hits`` of substrings that may be terms, added up inside each run of texts; a term may have several rows.
+
+        A task holds the windows of ``TEXT_BYTES`` of texts, whatever the size of its batches; equal terms of its runs meet in the
+        partial aggregate behind it, before anything is shuffled.
+        """
         shared = texts.sparkSession.sparkContext.broadcast(self.index)
         windows = Anchors.windows
         schema = T.StructType([T.StructField("term", T.StringType()), *(texts.schema[c] for c in by), T.StructField("hits", T.LongType())])
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (some for whole in batches for some in _slices(whole)):
                 groups: dict[tuple, list[int]] = {}
                 for i, k in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 1 + len(by)))) if by else [()] * batch.num_rows):
                     groups.setdefault(k, []).append(i)
@@ -329,8 +340,8 @@ def term_hit_counts(texts: DataFrame, text: str, terms: DataFrame | TermList, te
                     by: list[str] | None = None, strategy: str = "auto") -> DataFrame:
     """``term, *by, hits``: number of text rows containing each term (terms without hits are absent).
 
-    In the ``join`` strategy hits are counted inside each batch of texts, so a term that occurs in a third of all texts is one
-    row per batch by then.
+    In the ``join`` strategy hits are counted inside each run of texts, so a term that occurs in a third of all texts is one
+    row per run by then.
     """
     terms = terms if isinstance(terms, TermList) else TermList(terms, term)
     strategy = terms.strategy() if strategy == "auto" else strategy

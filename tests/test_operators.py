@@ -192,6 +192,18 @@ def test_score_columns(spark):
     assert roc.score_columns(df, "y") == ["hate"]
 
 
+def test_texts_of_a_batch_are_matched_in_runs_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(matching, "TEXT_BYTES", 100)
+    texts = ["x" * n for n in (30, 0, 40, 250, 10, 20, 90, 5)] + [None]
+    batch = pa.record_batch([pa.array(texts), pa.array(range(len(texts)))], names=["text", "at"])
+    runs = [run.column(0).to_pylist() for run in matching._slices(batch)]
+    assert [t for run in runs for t in run] == texts
+    assert all(len(run) == 1 or sum(len(t or "") for t in run[1:]) <= 100 for run in runs) and len(runs) == 3
+    assert list(matching._slices(batch.slice(0, 0))) == []
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------
 
 def brute_knn(points, folds, k):

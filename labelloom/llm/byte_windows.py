@@ -19,8 +19,8 @@ from .superkmers import Units, covered_windows, mixed, sorted_windows, unit_span
 
 WINDOW = 100
 PIECE = 32
-#: bytes of the texts that are looked at together (one text may be longer)
-_CHUNK_BYTES = 1 << 20
+#: bytes of the texts that are looked at together (one text may be longer); their hashes stay in a core's cache
+_CHUNK_BYTES = 1 << 17
 #: distinct strings of one minimiser that are indexed in a bucket; with more, their windows are sorted there
 MOST_INDEXED = 16
 #: distinct strings of one minimiser that meet in a bucket; with more, windows are aggregated by Spark

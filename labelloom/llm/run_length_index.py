@@ -35,17 +35,22 @@ def suffix_array(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([code, np.zeros(width, np.int64)])
     for j in range(width):
         key = key * base + padded[j:j + n]
+    order = np.argsort(key)
+    rank = np.empty(n, dtype=np.int64)
+    # a group of suffixes that are equal so far has the place of its first as rank; only groups of several are sorted again
+    left, ranked = np.arange(n), key[order]
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.concatenate(([0], (ranked[1:] != ranked[:-1]).astype(np.int64)))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        if int(rank[order[-1]]) == n - 1:
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        rank[order[left]] = left[new][np.cumsum(new) - 1]
+        several = ~(new & np.append(new[1:], True))
+        left = left[several]
+        if not len(left):
             return symbols, order
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[:n - width] = rank[width:] + 1
-        key = rank * (n + 1) + ahead
+        some = order[left]
+        ahead = some + width
+        key = rank[some] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[left], ranked = some[by], key[by]
         width *= 2
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 
-from .base import LAST_ID, staged, text_of
+from .base import LAST_ID, discard, staged, text_of
 
 #: positions inside a document are below this
 _PLACE = 1 << 40
@@ -97,8 +97,8 @@ def runs_of(sizes: np.ndarray, pieces: np.ndarray, k: int, m: int, within: bool)
         # places of the minimiser: those that start one of the run's windows but the last, then those in the last window
         leads = np.cumsum(np.concatenate(([0], pieces[flat] == value)))
         end = new + n - 1
-        inside = pieces[flat[end][:, None] + np.arange(k - m + 1)] == value[end][:, None]
-        twice = leads[end] - leads[new] + inside.sum(axis=1) > 1
+        inside = np.lib.stride_tricks.sliding_window_view(pieces, k - m + 1)[flat[end]] == value[end][:, None]
+        twice = leads[end] - leads[new] + np.count_nonzero(inside, axis=1) > 1
     return Runs(row[new], in_row[new], n, value[new], twice)
 
 
@@ -258,7 +258,10 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
     texts = docs.select(text_of(text).cast("binary").alias("_bytes"),
                         F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID)).alias("doc"),
                         F.xxhash64(text_of(text)).alias("tag"))
-    places = staged(_places(texts, units, Known(staged(_repeated(texts, units, within))), within))
+    repeated = staged(_repeated(texts, units, within))
+    known = Known(repeated)
+    discard(repeated)
+    places = staged(_places(texts, units, known, within))
     of_string = ["h", "d1", "d2"]
     order = _place() if within else F.col("doc")
     distinct = places.withColumn("_order", order).groupBy(*of_string, "n", "twice").agg(
@@ -293,9 +296,10 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
     few = facts.filter("not _frequent").select(to_bucket, *of_string, "doc", "start", "n", "twice")
     settled = few.groupBy("_bucket").cogroup(
         strings.filter("not frequent").select(to_bucket, *of_string, "packed").groupBy("_bucket")).applyInArrow(bucket, _SETTLED)
-    many = facts.filter("_frequent").select(*of_string, "doc", "start", "n").join(
-        strings.filter("frequent").groupBy(*of_string).agg(F.first("packed").alias("packed")), of_string)
-    settled = staged(settled.unionByName(_settle_windows(staged(many), one_window, within)))
+    many = staged(facts.filter("_frequent").select(*of_string, "doc", "start", "n").join(
+        strings.filter("frequent").groupBy(*of_string).agg(F.first("packed").alias("packed")), of_string))
+    settled = staged(settled.unionByName(_settle_windows(many, one_window, within)))
+    discard(counts, strings, many)
 
     firsts = distinct.select(*of_string, "copies", F.col("doc").alias("_doc"), F.col("start").alias("_start"))
     firsts = firsts.join(settled, of_string, "left").filter("copies > 1 or spans is not null")

@@ -661,3 +661,17 @@ def test_density_sums_equal_their_definition():
         page = element(4)
         want = plain_density_sums(page)
         assert np.allclose([n.total for n in html_text.measure(html_text.parse(page))], want)
+
+
+def test_suffixes_told_apart_are_not_sorted_again(monkeypatch):
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **kw: sizes.append(len(x)) or sort(x, *a, **kw))
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 20_000, dtype=np.uint8).tobytes(), b"ab" * 150, b"ab" * 150, b"", b"x"]
+    _, order = run_length_index.suffix_array(texts)
+    assert sum(sizes) < 40_000
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    # an end is less than every symbol, and ends are ordered by text
+    plain = sorted((tuple(x + len(texts) for x in t[i:i + 400]) + (j,), int(ends[j]) - len(t) + i)
+                   for j, t in enumerate(texts) for i in range(len(t) + 1))
+    assert order.tolist() == [at for _, at in plain]

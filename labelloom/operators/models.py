@@ -32,7 +32,8 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.vectors import decide
-from . import linear
+from ..session import staged
+from . import linear, text_linear
 from .hybrid import hybrid_scores
 from .knn import knn, knn_probability
 from .metrics import fold_means, leaderboard, score_table, weighted_metrics
@@ -90,6 +91,7 @@ def logistic_regression(max_iter: int = 10_000) -> Trainer:
         return _scored(folded, models, None, ids)
 
     train.all_folds = all_folds
+    train.max_iter = max_iter  # a penalised logistic regression that ``on_text`` may fit without a dictionary
     return train
 
 
@@ -355,7 +357,7 @@ def tfidf_stages(text: str, out: str = "tfidf", min_df: int = 2, max_df: float =
                  vocabulary: int = (1 << 31) - 1) -> list:
     """Spark ML stages text -> TF-IDF vector over words and bigrams.
 
-    A model's dictionary and coefficients live on the driver: raise ``min_df``, or set ``vocabulary``
+    A model's dictionary and coefficients live on the driver (but see ``on_text``): raise ``min_df``, or set ``vocabulary``
     (the most frequent terms win), when the corpus has more terms than a model should. The relational
     ``features.tfidf`` has no such dictionary.
     """
@@ -372,10 +374,15 @@ def tfidf_stages(text: str, out: str = "tfidf", min_df: int = 2, max_df: float =
 _TFIDF_TEMPS = ("_words", "_kept", "_pairs", "_terms", "counts", "_weighted")
 
 
-def on_text(inner: Trainer, text: str = "text", embedding: str | None = None, **tfidf_args) -> Trainer:
+#: texts of more bytes in all have too many terms for a dictionary on the driver
+MOST_LOCAL_TEXT = 16 << 20
+
+
+def on_text(inner: Trainer, text: str = "text", embedding: str | None = None, local_bytes: int = MOST_LOCAL_TEXT, **tfidf_args) -> Trainer:
     """Trainer on TF-IDF features, or on TF-IDF followed by an embedding column (mixed features).
 
-    The vocabulary is fitted on the training rows only, so it can be cross-validated as a whole.
+    The vocabulary is fitted on the training rows only, so it can be cross-validated as a whole. The folds of a logistic regression on texts of
+    more than ``local_bytes`` are fitted together by ``text_linear``, without a dictionary; a bounded ``vocabulary`` needs one.
     """
     def train(df: DataFrame):
         stages = tfidf_stages(text, out="tfidf" if embedding else "features", **tfidf_args)
@@ -395,6 +402,22 @@ def on_text(inner: Trainer, text: str = "text", embedding: str | None = None, **
         score = inner(featurize(df))
         return lambda rows: score(featurize(rows))
 
+    def size(rows: DataFrame) -> int:
+        return rows.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+
+    def all_folds(folded: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
+        rows = staged(folded.withColumn("_place", F.monotonically_increasing_id()))
+        words = rows
+        for stage in tfidf_stages(text)[:4]:
+            words = stage.transform(words)
+        terms = F.transform("_terms", lambda t: F.xxhash64(t))
+        scores = text_linear.fold_scores(words, terms, ids, size(rows), F.col(embedding) if embedding else None, inner.max_iter, **tfidf_args)
+        p = 1.0 / (1.0 + F.exp(-F.col("raw")))
+        return rows.join(scores, "_place").withColumns({"prob0": 1.0 - p, "prob1": p}).drop("_place")
+
+    if hasattr(inner, "max_iter") and "vocabulary" not in tfidf_args:
+        train.all_folds = all_folds
+        train.together = lambda rows: size(rows) > local_bytes
     return train
 
 
@@ -408,6 +431,8 @@ def with_rules(inner: Trainer, hit: str = "hit", hard_override: bool = False, bo
     if hasattr(inner, "all_folds"):
         train.all_folds = lambda folded, key, ids: hybrid_scores(
             inner.all_folds(folded, key, ids), hit, "prob1", hard_override, boost_floor, threshold)
+        if hasattr(inner, "together"):
+            train.together = inner.together
     return train
 
 
@@ -447,11 +472,14 @@ def out_of_fold(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int
     ``cache=False`` for a frame that already is.
     """
     folded = df if "fold" in df.columns else stratified_folds(df, key, "label", folds, seed)
+    stored = folded
     if cache:
-        _, folded = cached(folded)
+        stored, folded = cached(folded)
     ids = sorted(r["fold"] for r in folded.select("fold").distinct().collect())
     keep = [key, "label", "fold", "prob0", "prob1", "prediction"]
-    if hasattr(trainer, "all_folds") and len(ids) > 1 and _width(folded) <= MOST_DENSE:
+    if hasattr(trainer, "together") and len(ids) > 1 and trainer.together(folded):
+        return _predicted(trainer.all_folds(stored, key, ids), threshold).select(*keep)
+    if hasattr(trainer, "all_folds") and not hasattr(trainer, "together") and len(ids) > 1 and _width(folded) <= MOST_DENSE:
         return _predicted(trainer.all_folds(folded, key, ids), threshold).select(*keep)
     parts = []
     for i in ids:

@@ -675,3 +675,21 @@ def test_suffixes_told_apart_are_not_sorted_again(monkeypatch):
     plain = sorted((tuple(x + len(texts) for x in t[i:i + 400]) + (j,), int(ends[j]) - len(t) + i)
                    for j, t in enumerate(texts) for i in range(len(t) + 1))
     assert order.tolist() == [at for _, at in plain]
+
+
+def test_staged_rows_leave_no_shuffle_files(spark):
+    from pathlib import Path
+    import time
+
+    from labelloom.llm.base import CLEANUP, staged
+
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p.name for d in folders for p in Path(str(d)).glob("*/shuffle_*.data")}
+
+    old, before = spark.conf.get(CLEANUP), files()
+    rows = staged(spark.range(5000).groupBy((F.col("id") % 700).alias("g")).count().repartition(3))
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:  # they are deleted in the background
+        time.sleep(0.1)
+    assert not files() - before and rows.count() == 700 and spark.conf.get(CLEANUP) == old

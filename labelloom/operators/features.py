@@ -7,17 +7,21 @@ from inspect import signature
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.vectors import let
+from ..session import discard, staged
 from .joins import heavy_keys
 
 Encoder = Callable[[list[str]], np.ndarray]
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-VOCABULARY_BYTES = 64 << 20
-HOT_TERMS = 10_000
+#: rows whose texts are cut into terms in one task, about
+TASK_ROWS = 2000
+#: a term with more than 1/HOT_TERMS of what HOT_SAMPLE rows hold is dealt to SALTS groups
+HOT_TERMS = 100
+HOT_SAMPLE = 2000
+SALTS = 64
 #: a text with this share of all rows is joined by broadcast
 HEAVY_SHARE = 0.002
 
@@ -182,42 +186,59 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float =
     """``key, term, tf, df, weight``: smoothed TF-IDF, L2-normalised per document.
 
     idf = ln((1+n)/(1+df)) + 1. Terms in fewer than ``min_df`` rows or in more than ``max_df`` of them
-    are dropped. Term counts are made inside each row; the vocabulary is broadcast when its measured
-    size allows, otherwise the few very frequent terms are broadcast and the rest joins by shuffle.
+    are dropped. Texts are dealt evenly and cut into terms once; a term's rows meet in one shuffle, where they are counted
+    by a window. ``strategy="broadcast"`` counts first and broadcasts the vocabulary, which then has to be small.
     """
     stop = english_stop_words() if stop_words is None else list(stop_words)
-    words = docs.select(key, token_array(text, stop).alias("_w"))
-    tf = words.select(key, F.inline(term_frequencies(F.col("_w"), ngrams)))
-    seen = F.array_distinct(with_bigrams(F.col("_w")) if ngrams > 1 else F.col("_w"))
     n = docs.count()
-    vocab = (
-        words.select(F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        .filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n)))
-        .withColumn("idf", F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
-        # read by the size check and by the join; stays cached until the caller clears it
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    joined = _with_idf(tf, vocab, strategy).withColumn("_x", F.col("tf") * F.col("idf"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # a file may come as one partition
+    words = docs.select(key, text).repartition(max(2 * cores, n // TASK_ROWS)).select(
+        key, F.pmod(F.xxhash64(key, text), F.lit(SALTS)).alias("_s"), token_array(text, stop).alias("_w"))
+    tf = words.select(key, "_s", F.inline(term_frequencies(F.col("_w"), ngrams)))
+    seen = with_bigrams(F.col("_w")) if ngrams > 1 else F.col("_w")
+    if strategy == "broadcast":
+        counts = words.select(F.explode(F.array_distinct(seen)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        counted = tf.join(F.broadcast(counts.filter(F.col("df") >= min_df)), "term")
+    elif strategy in ("auto", "shuffle"):
+        counted = _with_df(tf, words, seen, _hot_terms(docs.select(F.col(text).alias("_t")), n, ngrams, stop))
+    else:
+        raise ValueError(f"unknown strategy: {strategy}")
+    idf = F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0
+    kept = counted.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))).select(
+        key, "term", "tf", "df", (F.col("tf") * idf).alias("_x"))
     # rows stay long: a window per document is a sort on the key, where collecting arrays would
     # fall back to sorted object aggregation
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
-    return joined.select(key, "term", "tf", "df", (F.col("_x") / norm).alias("weight"))
+    return kept.select(key, "term", "tf", "df", (F.col("_x") / norm).alias("weight"))
 
 
-def _with_idf(tf: DataFrame, vocab: DataFrame, strategy: str) -> DataFrame:
-    size = vocab.agg(
-        F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0)).alias("bytes"),
-        F.coalesce(F.sum("df"), F.lit(0)).alias("postings"),
-    ).first()
-    if strategy == "auto":
-        strategy = "broadcast" if size["bytes"] <= VOCABULARY_BYTES else "shuffle"
-    if strategy == "broadcast":
-        return tf.join(F.broadcast(vocab), "term")
-    # terms above this df hold more than 1/HOT_TERMS of all postings each, so there are fewer than HOT_TERMS
-    common = F.col("df") > F.lit(max(1.0, size["postings"] / HOT_TERMS))
-    hot = vocab.filter(common)
-    rest = tf.join(F.broadcast(hot.select("term")), "term", "left_anti")
-    return tf.join(F.broadcast(hot), "term").unionByName(rest.join(vocab.filter(~common), "term"))
+def _hot_terms(texts: DataFrame, n: int, ngrams: int, stop: Sequence[str]) -> list[str]:
+    """Terms with more than 1/HOT_TERMS of the postings of about ``HOT_SAMPLE`` rows, so fewer than HOT_TERMS.
+
+    They are only dealt differently: which ones are found changes no result.
+    """
+    words = texts.filter(F.rand(42) * n < HOT_SAMPLE).select(token_array("_t", stop).alias("_w"))
+    seen = F.array_distinct(with_bigrams(F.col("_w")) if ngrams > 1 else F.col("_w"))
+    counts = staged(words.select(F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = [r["term"] for r in counts.filter((F.col("n") > 1) & (F.col("n") * HOT_TERMS > total)).collect()]
+    discard(counts)
+    return sorted(found)
+
+
+def _with_df(tf: DataFrame, words: DataFrame, seen: Column, hot: list[str]) -> DataFrame:
+    """``tf`` with the number of each term's rows. The rows of a hot term are dealt to ``SALTS`` groups and it is counted apart."""
+    by = ["term", "_s"] if hot else ["term"]
+    dealt = tf.withColumn("_s", F.when(F.col("term").isin(hot), F.col("_s"))) if hot else tf.drop("_s")
+    # the hash first: sorting compares numbers, and terms only where these are equal
+    hashed = dealt.repartition(*by).withColumn("_h", F.xxhash64("term"))
+    counted = hashed.withColumn("df", F.count("*").over(Window.partitionBy("_h", *by)))
+    if not hot:
+        return counted
+    listed = F.array(*[F.lit(t) for t in hot])
+    counts = words.select(F.explode(F.array_intersect(seen, listed)).alias("term")).groupBy("term").agg(F.count("*").alias("_n"))
+    return counted.join(F.broadcast(counts), "term", "left").withColumn("df", F.coalesce("_n", "df"))
 
 
 def top_terms(weights: DataFrame, key: str, n: int) -> DataFrame:

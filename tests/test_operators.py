@@ -286,6 +286,24 @@ def test_tfidf_against_python(spark, monkeypatch, hot_terms):
         assert got == pytest.approx(want)
 
 
+def test_tfidf_cuts_a_single_partition_once_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(features, "HOT_TERMS", 1)
+    df = spark.createDataFrame([(i, f"word{i % 7} other{i % 5} rare{i}") for i in range(60)], "id int, text string").coalesce(1)
+    found = features.tfidf(df, "id", "text", stop_words=())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Repartition " in plan
+    assert {r.term: r.df for r in found.collect() if r.term.startswith("word")}["word0"] == 9
+
+
+@pytest.mark.parametrize("hot_terms", [1, 1000])
+def test_tfidf_counts_hot_terms_whole(spark, monkeypatch, hot_terms):
+    monkeypatch.setattr(features, "HOT_TERMS", hot_terms)  # none is hot, or all are
+    df = spark.createDataFrame([(None if i % 9 == 0 else i % 50, "same words") for i in range(200)] + [(7, None), (8, "other one")],
+                               "id int, text string")
+    got = {(r.id, r.term, r.tf, r.df) for r in features.tfidf(df, "id", "text", max_df=1.0, stop_words=()).collect()}
+    assert {x[1:] for x in got} == {(t, 1, 200) for t in ("same", "words", "same words")} and len(got) == 3 * 51
+
+
 def test_embed_dedupes_and_keeps_rows(spark):
     texts = ["same"] * 30 + [f"t{i}" for i in range(30)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)

@@ -13,6 +13,8 @@ from labelloom.llm.base import staged, table
 #: near copies of the corpus: five-word shingles of at least this Jaccard similarity in a hundred
 NEAR_SHINGLE = 5
 NEAR_PERCENT = 80
+#: SimHash fingerprints that differ in at most so many bits bring texts together, as in op3; bands do so for others
+NEAR_BITS = simhash.MAX_BITS
 
 
 #: rows of an Arrow batch at most: texts may be long, and a batch is held by its worker as columns, as objects and as results
@@ -36,7 +38,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: the one with the smallest id."""
     small_batches(spark)
-    return simhash.one_of_each(docs, find=similarity.similar_texts, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    return simhash.one_of_each(docs, find=similarity.similar_texts, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT,
+                               bits=NEAR_BITS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

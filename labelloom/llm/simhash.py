@@ -188,6 +188,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, name: str = "fingerprint"
     return dealt.mapInArrow(verify, "a bigint, b bigint")
 
 
+def with_root(prints: DataFrame, max_bits: int = MAX_BITS, name: str = "fingerprint") -> DataFrame:
+    """``prints`` (distinct fingerprints, staged) with ``_root``: one fingerprint of all those that are reachable over links."""
+    stars = components(links(prints, max_bits, name))
+    return prints.join(stars.withColumnRenamed("a", name), name, "left").withColumn("_root", F.coalesce("b", name)).drop("b")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     max_bits: int = MAX_BITS) -> DataFrame:
     """(key, digest, fingerprint, component_id), one row per row of ``docs``.
@@ -199,9 +205,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rows = staged(with_fingerprint(docs.select(F.col(key), F.col(text)), text, "fingerprint", shingle)
                   .select(key, F.xxhash64(text_of(text)).alias("digest"), "fingerprint"))
     prints = staged(rows.groupBy("fingerprint").agg(F.min(key).alias("_first")))
-    stars = components(links(prints, max_bits))
-    rooted = prints.join(stars.withColumnRenamed("a", "fingerprint"), "fingerprint", "left").withColumn(
-        "_root", F.coalesce("b", "fingerprint"))
+    rooted = with_root(prints, max_bits)
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = rooted.join(smallest, "_root").select("fingerprint", "component_id")
     # many rows may carry one fingerprint: adaptive execution splits that side of the join

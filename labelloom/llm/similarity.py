@@ -7,6 +7,9 @@ Every text is reduced once to keys such that similar texts share one:
 * ``prefixes``: two sets reach similarity t only if, in any fixed order of all shingles, the first |x| - ceil(t |x|) + 1 of
   each hold a common one. No pair is lost, at about twenty times the keys. The order is by frequency, rare ones first.
 
+With ``bits`` texts also meet whose SimHash fingerprints (``simhash``: deletion variants, verified, chained) differ in at most
+that many bits: their group is one more key.
+
 What meets under a key is only a candidate: links are pairs whose exact similarity has been computed, on arrays of shingle hashes that
 only candidates have. All sets of a key are compared with one of them; where that leaves others of the key apart, these
 are compared among each other, so no similar pair that shares a key is missed, and a group of near copies costs its
@@ -24,7 +27,7 @@ import xxhash
 
 from .base import discard, pieces, staged, text_of
 from .components import components
-from .simhash import SHINGLE
+from .simhash import SHINGLE, with_fingerprint, with_root
 from .superkmers import Known, mixed
 
 PERCENT = 80
@@ -135,8 +138,8 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:z] for a, z in zip(ends, ends[1:])]
 
 
-def _keyed(docs: DataFrame, key: str, text: str, shingle: int, keys: Callable) -> DataFrame:
-    """key, digest, set (a hash of all shingles), n (their number) and the keys of every row."""
+def _keyed(docs: DataFrame, key: str, text: str, shingle: int, keys: Callable, bits: int | None) -> DataFrame:
+    """key, digest, set (a hash of all shingles), n (their number), the keys and, with ``bits``, the fingerprint of every row."""
     @F.arrow_udf("struct<set:bigint, n:bigint, keys:array<bigint>>")
     def cut(column: pa.Array) -> pa.Array:
         sets, sizes, found = [], [], []
@@ -150,7 +153,21 @@ def _keyed(docs: DataFrame, key: str, text: str, shingle: int, keys: Callable) -
             names=["set", "n", "keys"])
 
     whole = text_of(text)
-    return docs.select(F.col(key).alias("key"), F.xxhash64(whole).alias("digest"), cut(whole).alias("_c")).select("key", "digest", "_c.*")
+    rows = docs.select(F.col(key).alias("key"), whole.alias("_t"))
+    names = ["key", F.xxhash64("_t").alias("digest")]
+    if bits is not None:
+        rows, names = with_fingerprint(rows, "_t", "fingerprint", shingle), [*names, "fingerprint"]
+    return rows.select(*names, cut("_t").alias("_c")).select("*", "_c.*").drop("_c")
+
+
+def _fingerprint_keys(rows: DataFrame, bits: int) -> DataFrame:
+    """set, n, h: the sets of each group of linked fingerprints that has several; h stands for the group."""
+    sets = staged(rows.select("fingerprint", "set", "n").distinct())
+    prints = staged(sets.select("fingerprint").distinct())
+    grouped = sets.join(with_root(prints, bits), "fingerprint")
+    out = staged(grouped.select("set", "n", F.xxhash64(F.lit("fingerprint"), "_root").alias("h")).distinct())
+    discard(sets, prints)
+    return out
 
 
 def _arrays(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -179,11 +196,14 @@ def _arrays(docs: DataFrame, wanted: DataFrame, key: str, text: str, shingle: in
     return out
 
 
-def _links(docs: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, rows: DataFrame, key: str, text: str, shingle: int, percent: int, bits: int | None) -> DataFrame:
     """(a, b): links between sets, enough for the components of all similar pairs that share a key."""
     sets = staged(rows.groupBy("set").agg(F.min(F.struct("key", "digest", "n", "keys")).alias("_o")).select(
         "set", "_o.key", "_o.digest", "_o.n", "_o.keys"))
     met = sets.select("set", "n", F.explode("keys").alias("h"))
+    prints = [] if bits is None else [_fingerprint_keys(rows, bits)]
+    for more in prints:
+        met = met.unionByName(more)
     heads = met.groupBy("h").agg(F.min(F.struct("set", "n")).alias("_b"), F.count("*").alias("_k")).filter("_k > 1")
     heads = staged(heads.select("h", F.col("_b")["set"].alias("b"), F.col("_b")["n"].alias("_m"), F.col("_k")))
     shared = staged(met.join(heads, "h").filter("set != b"))
@@ -222,17 +242,17 @@ def _links(docs: DataFrame, rows: DataFrame, key: str, text: str, shingle: int,
 
     more = found.groupBy("h", "_x", "_y").applyInArrow(compare, "a bigint, b bigint")
     out = staged(direct.unionByName(more))
-    discard(sets, heads, shared, pairs, arrays, direct)
+    discard(sets, heads, shared, pairs, arrays, direct, *prints)
     return out
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                  percent: int = PERCENT, exact: bool = False) -> DataFrame:
+                  percent: int = PERCENT, exact: bool = False, bits: int | None = None) -> DataFrame:
     """(key, digest, component_id), one row per row of ``docs``.
 
     Texts are linked if the Jaccard similarity of their distinct word shingles (by 64-bit hashes) is at least ``percent`` in a
     hundred; ``component_id`` is the smallest key reachable over links, the row's own included. ``exact`` finds candidates by
-    prefixes, without it by bands. NULL keys are never the smallest, and a component of NULL keys alone has a NULL id. Texts
+    prefixes, without it by bands; with ``bits`` also by SimHash fingerprints. NULL keys are never the smallest, and a component of NULL keys alone has a NULL id. Texts
     without words are similar to each other only. ``digest`` tells texts with the same key apart. Repeated rows stay
     repeated; an empty table gives none.
     """
@@ -240,8 +260,8 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     if exact:
         levels = frequency_levels(docs, text, shingle)
         keys = lambda s: prefix(s, levels, percent)
-    rows = staged(_keyed(docs, key, text, shingle, keys))
-    links = _links(docs, rows, key, text, shingle, percent)
+    rows = staged(_keyed(docs, key, text, shingle, keys, bits))
+    links = _links(docs, rows, key, text, shingle, percent, bits)
     stars = components(links)
     discard(links)
     sets = rows.groupBy("set").agg(F.min("key").alias("_first"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from labelloom.llm import (byte_windows, components, decontamination, factorisation, html_text, mixing, quality, run_length_index,
                            secrets, simhash, similarity, superkmers, url_filter, word_windows)
 
@@ -267,6 +268,23 @@ def test_a_key_whose_sets_are_no_copies_of_its_first_one(spark, monkeypatch):
     assert got == [0, 1, 1, 1, 1, 5, 5, 5, 5, 9]
 
 
+def test_similar_texts_meet_by_fingerprint(spark, monkeypatch):
+    """Without any band, texts whose fingerprints are near are still compared, and linked only if they are similar."""
+    monkeypatch.setattr(similarity, "bands", lambda s: s[:0])
+    words = [f"w{i}" for i in range(3000)]
+    one, other = " ".join(words), " ".join([*words[:-1], "end"])
+    assert (simhash.fingerprint(one, 5) ^ simhash.fingerprint(other, 5)).bit_count() <= corpus_pipeline.NEAR_BITS
+    repeated = " ".join(["same old line of words"] * 400)  # its fingerprint has that of few shingles
+    more = " ".join(["same old line of words"] * 400 + words[:20])
+    assert (simhash.fingerprint(repeated, 5) ^ simhash.fingerprint(more, 5)).bit_count() <= corpus_pipeline.NEAR_BITS
+    texts = [one, "another text of its own kind", other, repeated, more, None, "", repeated.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["component_id"] for r in sorted(similarity.similar_texts(df, shingle=5, bits=corpus_pipeline.NEAR_BITS).collect())]
+    assert got == [0, 1, 0, 3, 4, 5, 5, 3]
+    kept = corpus_pipeline.near_dedup_stage(spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 4, 5]
+
+
 def test_components_of_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5, 5), (3, 0), (3, 0)]
     stars = {r["a"]: r["b"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..session import discard, staged
 
@@ -174,8 +174,13 @@ class _Nearest:
         self.id = np.full((n, k), _LAST)
         self.label = np.full((n, k), np.nan)
 
-    def see(self, q: np.ndarray, qfold: np.ndarray, t: np.ndarray, tid: np.ndarray, tfold: np.ndarray, tlabel: np.ndarray) -> None:
-        """Distances by a matrix product; all that may beat a row's k-th best so far, rounding included, are computed exactly."""
+    def see(self, q: np.ndarray, qfold: np.ndarray, t: np.ndarray, tid: np.ndarray, tfold: np.ndarray, tlabel: np.ndarray,
+            places: np.ndarray | None = None) -> None:
+        """Distances by a matrix product; all that may beat a row's k-th best so far, rounding included, are computed exactly.
+
+        ``places``: the block's rows that q has, if not all.
+        """
+        places = np.arange(len(q)) if places is None else places
         tn = (t * t).sum(1)
         step, k = max(1, (2 << 20) // len(t)), self.k
         part = max(1, (4 << 20) // max(t.shape[1], 1))
@@ -184,7 +189,7 @@ class _Nearest:
             qs, fs = q[at:at + step], qfold[at:at + step]
             qn = (qs * qs).sum(1)
             d2 = np.column_stack([qs, np.ones(len(qs))]) @ side  # without qn
-            bound = self.d2[at:at + step, -1] - qn
+            bound = self.d2[places[at:at + step], -1] - qn
             if len(t) >= k and not np.isfinite(bound).all():
                 d2[(fs[:, None] == tfold[None, :]) & (fs[:, None] != _NO_FOLD)] = np.inf
                 bound = np.minimum(bound, np.partition(d2, k - 1, axis=1)[:, k - 1])
@@ -196,7 +201,7 @@ class _Nearest:
             for i in range(0, len(rows), part):
                 diff = qs[rows[i:i + part]] - t[cols[i:i + part]]
                 exact[i:i + part] = (diff * diff).sum(1)
-            self._merge(rows + at, exact, tid[cols], tlabel[cols])
+            self._merge(places[rows + at], exact, tid[cols], tlabel[cols])
 
     def _merge(self, rows: np.ndarray, d2: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
         old = np.unique(rows)
@@ -232,6 +237,16 @@ def _packed(df: DataFrame, blocks: dict[int, int], tasks: int) -> DataFrame:
     return staged(of.repartition(tasks, "cell", "sub").groupBy("cell", "sub").applyInArrow(pack, schema))
 
 
+def tasks_of(spark: SparkSession, blocks: int, rows: int, dim: int) -> int:
+    """Tasks that pack so many rows into blocks."""
+    return max(1, min(blocks, max(2 * spark.sparkContext.defaultParallelism, rows * dim * 8 // TASK_BYTES)))
+
+
+def parts_of(qrows: int, trows: int, dim: int, k: int) -> int:
+    """Every part of the training side gives k rows per query: so few parts that these are no more bytes than both sides."""
+    return max(1, (qrows + trows) * dim // (3 * k * max(qrows, 1)))
+
+
 def _knn_blocks(q: DataFrame, t: DataFrame, k: int, block_rows: int, pivots: int) -> DataFrame:
     spark = q.sparkSession
     seeds = t.select("id", "vec").withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(pivots)
@@ -260,17 +275,16 @@ def _knn_blocks(q: DataFrame, t: DataFrame, k: int, block_rows: int, pivots: int
     def blocks(n: int) -> int:
         return max(1, math.ceil(n / block_rows))
 
-    dim, cores = centres.shape[1], spark.sparkContext.defaultParallelism
+    dim = centres.shape[1]
     qrows, trows = sum(r["n"] for r in qstat), sum(r["n"] for r in tstat)
 
     def packed(df: DataFrame, stat: list, rows: int) -> DataFrame:
         sizes = {r["cell"]: blocks(r["n"]) for r in stat}
-        return _packed(df, sizes, max(1, min(sum(sizes.values()), max(2 * cores, rows * dim * 8 // TASK_BYTES))))
+        return _packed(df, sizes, tasks_of(spark, sum(sizes.values()), rows, dim))
 
     # queries without a key can't be told apart by it and keep an empty list, as those without an eligible neighbour
     qpack, tpack = packed(q.filter("id IS NOT NULL"), qstat, qrows), packed(t, tstat, trows)
-    # every part of the training side gives k rows per query: so few parts that these are no more bytes than both sides
-    parts = max(1, (qrows + trows) * dim // (3 * k * max(qrows, 1)))
+    parts = parts_of(qrows, trows, dim, k)
     allowed = F.broadcast(spark.createDataFrame(list(near.items()), "cell int, near array<int>"))
     left = tpack.coalesce(parts).select(*[F.col(c).alias(f"t{c}") for c in ("cell", "id", "vec", "fold", "label")])
     right = qpack.join(allowed, "cell").select("near", *[F.col(c).alias(f"q{c}") for c in ("cell", "sub", "id", "vec", "fold")])

@@ -254,6 +254,32 @@ def test_knn_blocks_shuffle_no_row_per_block_pair(spark, monkeypatch):
         assert sum(len(r["id"]) // 8 for r in f.collect()) == 300
 
 
+def test_knn_folds_send_no_large_training_side_to_the_driver(spark, monkeypatch):
+    """Cross-validation with training sides of 18 MB each: only the pivots of each fold reach the driver."""
+    from labelloom.operators import models
+
+    value = lambda i: F.sin(F.col("row_id") * 7.7 + i * (1 + F.col("row_id") % 13))
+    df = spark.range(900, numPartitions=4).select(
+        F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 4 >= 2).cast("int").alias("fold"),
+    ).withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(4999)), value))
+    sent, whole = [], type(df).toPandas
+
+    def watched(self):
+        out = whole(self)
+        sent.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(df), "toPandas", watched)
+    got = {r["row_id"]: r["prob1"] for r in models.out_of_fold(df, models.nearest_neighbours(3), cache=False).select("row_id", "prob1").collect()}
+    assert sent == [32, 32]
+    i = np.arange(900)
+    x = np.sin(i[:, None] * 7.7 + np.arange(5000)[None, :] * (1 + i[:, None] % 13))
+    fold = i % 4 >= 2
+    for at in range(0, 900, 50):
+        d = np.where(fold != fold[at], ((x - x[at]) ** 2).sum(1), np.inf)
+        assert got[at] == pytest.approx(np.mean(np.argsort(d, kind="stable")[:3] % 2))
+
+
 def test_knn_without_enough_training_rows(spark):
     df = spark.createDataFrame([(0, [0.0], 1, 0), (1, [1.0], 0, 0)], "id long, embedding array<double>, label int, fold int")
     for strategy in ("broadcast", "blocks"):

@@ -4,24 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from inspect import signature
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.vectors import let
-from ..session import discard, staged
 from .joins import heavy_keys
 
 Encoder = Callable[[list[str]], np.ndarray]
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 #: rows whose texts are cut into terms in one task, about
 TASK_ROWS = 2000
-#: a term with more than 1/HOT_TERMS of what HOT_SAMPLE rows hold is dealt to SALTS groups
+#: rows that share one list of terms, at most (a place among them is below 2^15)
+CHUNK_ROWS = 4096
+#: bytes of text behind the terms that are counted in one task, about
+PART_BYTES = 32 << 20
+#: of a term in more than 1/HOT_TERMS of a chunk's rows, only their number goes where the term is counted
 HOT_TERMS = 100
-HOT_SAMPLE = 2000
-SALTS = 64
+_HOT = 1 << 15
 #: a text with this share of all rows is joined by broadcast
 HEAVY_SHARE = 0.002
 
@@ -186,63 +192,219 @@ def tfidf(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df: float =
     """``key, term, tf, df, weight``: smoothed TF-IDF, L2-normalised per document.
 
     idf = ln((1+n)/(1+df)) + 1. Terms in fewer than ``min_df`` rows or in more than ``max_df`` of them
-    are dropped. Texts are dealt evenly and cut into terms once; a term's rows meet in one shuffle, where they are counted
-    by a window. ``strategy="broadcast"`` counts first and broadcasts the vocabulary, which then has to be small.
+    are dropped. Texts are dealt evenly and cut into terms once. What travels to be counted, and back, is packed: a term once for all rows
+    of a chunk, with places and counts in as few bytes as they ask for. Rows of one key have one norm; only those of repeated keys are
+    brought together for it. ``strategy="broadcast"`` counts first and broadcasts the vocabulary, which then has to be small.
     """
     stop = english_stop_words() if stop_words is None else list(stop_words)
-    n = docs.count()
+    if strategy not in ("auto", "shuffle", "broadcast"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    docs = docs.select(key, text)
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    # a file may come as one partition
-    words = docs.select(key, text).repartition(max(2 * cores, n // TASK_ROWS)).select(
-        key, F.pmod(F.xxhash64(key, text), F.lit(SALTS)).alias("_s"), token_array(text, stop).alias("_w"))
-    tf = words.select(key, "_s", F.inline(term_frequencies(F.col("_w"), ngrams)))
-    seen = with_bigrams(F.col("_w")) if ngrams > 1 else F.col("_w")
+    tasks = max(2 * cores, n // TASK_ROWS)
+    tokens = token_array(text, stop).alias("_w")
+    idf = F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0
+    x = (F.col("tf") * idf).alias("_x")
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
+    out = [key, "term", "tf", "df"]
     if strategy == "broadcast":
+        words = docs.repartition(tasks).select(key, tokens)
+        tf = words.select(key, F.inline(term_frequencies(F.col("_w"), ngrams)))
+        seen = with_bigrams(F.col("_w")) if ngrams > 1 else F.col("_w")
         counts = words.select(F.explode(F.array_distinct(seen)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         counted = tf.join(F.broadcast(counts.filter(F.col("df") >= min_df)), "term")
-    elif strategy in ("auto", "shuffle"):
-        counted = _with_df(tf, words, seen, _hot_terms(docs.select(F.col(text).alias("_t")), n, ngrams, stop))
+        kept = counted.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))).select(*out, x)
+        return kept.select(*out, (F.col("_x") / norm).alias("weight"))
+    repeated = docs.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(key).alias("_k"), F.lit(True).alias("_again"))
+    again = bool(repeated.limit(1).collect())
+    if again:
+        docs = docs.join(repeated, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, text, F.coalesce("_again", F.lit(False)).alias("_again"))
     else:
-        raise ValueError(f"unknown strategy: {strategy}")
-    idf = F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0
-    kept = counted.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))).select(
-        key, "term", "tf", "df", (F.col("tf") * idf).alias("_x"))
+        docs = docs.withColumn("_again", F.lit(False))
+    # a file may come as one partition
+    words = docs.repartition(tasks).select(F.col(key).alias("_key"), "_again", tokens)
+    found = _counted(words, key, n, min_df, max_df * n, ngrams, tasks, max(cores, -(-(size or 0) // PART_BYTES)))
+    once = found.select(*out, (x / F.sqrt("_square")).alias("weight"))
+    if not again:
+        return once
     # rows stay long: a window per document is a sort on the key, where collecting arrays would
     # fall back to sorted object aggregation
-    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
-    return kept.select(key, "term", "tf", "df", (F.col("_x") / norm).alias("weight"))
+    more = found.filter("_again").select(*out, x)
+    return found.filter("not _again").select(*once.columns[:-1], (x / F.sqrt("_square")).alias("weight")).unionByName(
+        more.select(*out, (F.col("_x") / norm).alias("weight")))
+
+
+def _zip(x: np.ndarray | bytes | pa.Buffer) -> bytes:
+    x = x.tobytes() if isinstance(x, np.ndarray) else bytes(x)
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def _unzip(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as the largest asks for."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def _numbers(x: bytes, n: int) -> np.ndarray:
+    """What ``_small`` and ``_zip`` made of n numbers."""
+    x = _unzip(x)
+    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(x) // n]).astype(np.int64) if n else np.empty(0, np.int64)
+
+
+def _strings(data: bytes, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def _hot_terms(texts: DataFrame, n: int, ngrams: int, stop: Sequence[str]) -> list[str]:
-    """Terms with more than 1/HOT_TERMS of the postings of about ``HOT_SAMPLE`` rows, so fewer than HOT_TERMS.
+def _counted(words: DataFrame, key: str, n: int, least: float, most: float, ngrams: int, chunks: int, parts: int) -> DataFrame:
+    """``key, term, tf, df, _square, _again`` of the terms in ``least`` to ``most`` of all rows; ``_square`` is the sum of a row's squared
+    weights. ``words``: _key, _again, _w (array<string>).
 
-    They are only dealt differently: which ones are found changes no result.
+    Rows are packed by chunks, a chunk's terms by parts, which a term's hash tells. A part counts its terms and sends those that are kept back
+    to their chunks. The rows' keys, and the postings of hot terms, pass by (part below zero).
     """
-    words = texts.filter(F.rand(42) * n < HOT_SAMPLE).select(token_array("_t", stop).alias("_w"))
-    seen = F.array_distinct(with_bigrams(F.col("_w")) if ngrams > 1 else F.col("_w"))
-    counts = staged(words.select(F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = [r["term"] for r in counts.filter((F.col("n") > 1) & (F.col("n") * HOT_TERMS > total)).collect()]
-    discard(counts)
-    return sorted(found)
-
-
-def _with_df(tf: DataFrame, words: DataFrame, seen: Column, hot: list[str]) -> DataFrame:
-    """``tf`` with the number of each term's rows. The rows of a hot term are dealt to ``SALTS`` groups and it is counted apart."""
-    by = ["term", "_s"] if hot else ["term"]
-    dealt = tf.withColumn("_s", F.when(F.col("term").isin(hot), F.col("_s"))) if hot else tf.drop("_s")
-    # the hash first: sorting compares numbers, and terms only where these are equal
-    hashed = dealt.repartition(*by).withColumn("_h", F.xxhash64("term"))
-    counted = hashed.withColumn("df", F.count("*").over(Window.partitionBy("_h", *by)))
-    if not hot:
-        return counted
-    listed = F.array(*[F.lit(t) for t in hot])
-    counts = words.select(F.explode(F.array_intersect(seen, listed)).alias("term")).groupBy("term").agg(F.count("*").alias("_n"))
-    return counted.join(F.broadcast(counts), "term", "left").withColumn("df", F.coalesce("_n", "df"))
+    key_type = words.schema["_key"].dataType
+    binary = ["terms", "sizes", "n", "pos", "tf", "df"]
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("chunk", T.LongType()),
+                           T.StructField("keys", T.ArrayType(key_type)), T.StructField("again", T.ArrayType(T.BooleanType())),
+                           *(T.StructField(c, T.BinaryType()) for c in binary)])
+    hot_terms = HOT_TERMS
+
+    def table(rows: list[dict], like: pa.Schema) -> pa.Table:
+        return pa.Table.from_pydict({c.name: pa.array([r.get(c.name) for r in rows], c.type) for c in like}, like)
+
+    def packed(chunk: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("_w")
+        flat = lists.flatten().dictionary_encode()
+        word = flat.dictionary
+        by_name = pc.sort_indices(word).to_numpy()
+        rank = np.empty(len(word), np.int64)
+        rank[by_name] = np.arange(len(word))
+        word, at = word.take(pa.array(by_name)), rank[flat.indices.to_numpy()]
+        row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        v = max(len(word), 1)
+        code, of = at, row
+        if ngrams > 1 and len(at):
+            pair = np.flatnonzero(row[1:] == row[:-1])
+            code, of = np.concatenate([at, (at[pair] + 1) * v + at[pair + 1]]), np.concatenate([row, row[pair]])
+        order = np.lexsort((of, code))
+        code, of = code[order], of[order]
+        new = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (of[1:] != of[:-1])))) if len(code) else np.empty(0, np.int64)
+        tf, code, pos = np.diff(np.append(new, len(code))), code[new], of[new]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else new
+        held, code = np.diff(np.append(first, len(code))), code[first]
+        # alphabetical, words before pairs
+        a, b = code // v - 1, code % v
+        terms = word.take(pa.array(b[a < 0])).cast(pa.large_string())
+        if (a >= 0).any():
+            left, right = (word.take(pa.array(i[a >= 0])).cast(pa.large_string()) for i in (a, b))
+            terms = pa.concat_arrays([terms, pc.binary_join_element_wise(left, right, pa.scalar(" ", pa.large_string()))])
+        h = np.fromiter((zlib.crc32(w.encode()) for w in word.to_pylist()), np.uint64, len(word)) + np.uint64(1)
+        mixed = np.where(a < 0, h[b], h[a] * np.uint64(0x9E3779B97F4A7C15) + h[b]) if len(b) else np.empty(0, np.uint64)
+        part = ((mixed * np.uint64(0xD1342543DE82EF95)) >> np.uint64(33)).astype(np.int64) % parts
+        # terms by part, and their postings likewise
+        order = np.argsort(part, kind="stable")
+        start = np.cumsum(held) - held
+        part, terms, held, start = part[order], terms.take(pa.array(order)), held[order], start[order]
+        moved = np.repeat(start - np.cumsum(held) + held, held) + np.arange(held.sum())
+        pos, tf = pos[moved], tf[moved]
+        hot = held * hot_terms > len(batch)
+        is_hot = np.repeat(hot, held)
+        sizes = pc.binary_length(terms).to_numpy()
+        data = terms.buffers()[2] if len(terms) else pa.py_buffer(b"")
+        offset = np.concatenate(([0], np.cumsum(sizes)))
+        posting = np.concatenate(([0], np.cumsum(held)))
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)).tolist() if len(part) else [0]
+        rows = [{"part": -1 - chunk % parts, "chunk": chunk, "keys": batch.column("_key").to_pylist(), "again": batch.column("_again").to_pylist(),
+                 "pos": _zip(pos[is_hot].astype(np.uint16)), "tf": _zip(_small(tf[is_hot]))}]
+        for i, z in zip(cuts, cuts[1:]):
+            some = slice(posting[i], posting[z])
+            cold = ~is_hot[some]
+            rows.append({"part": int(part[i]), "chunk": chunk, "terms": _zip(data[int(offset[i]):int(offset[z])]), "sizes": _zip(_small(sizes[i:z])),
+                         "n": _zip((held[i:z] + hot[i:z] * _HOT).astype(np.uint16)), "pos": _zip(pos[some][cold].astype(np.uint16)),
+                         "tf": _zip(_small(tf[some][cold]))})
+        like = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.list_(batch.column("_key").type)), ("again", pa.list_(pa.bool_())),
+                          *((c, pa.binary()) for c in binary)])
+        return table(rows, like).combine_chunks().to_batches()[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            pieces = -(-len(batch) // CHUNK_ROWS)
+            for i in range(pieces):
+                a, z = i * len(batch) // pieces, (i + 1) * len(batch) // pieces
+                yield packed(chunk, batch.slice(a, z - a))
+                chunk += 1
+
+    def entries(t: pa.Table) -> tuple:
+        """Sizes of the terms, numbers of their rows, whether they are hot, their bytes, and place and count of the others' postings."""
+        n = [np.frombuffer(_unzip(x), np.uint16).astype(np.int64) for x in t.column("n").to_pylist()]
+        sizes = np.concatenate([_numbers(x, len(y)) for x, y in zip(t.column("sizes").to_pylist(), n)])
+        pos = [np.frombuffer(_unzip(x), np.uint16) for x in t.column("pos").to_pylist()]
+        tf = np.concatenate([_numbers(x, len(y)) for x, y in zip(t.column("tf").to_pylist(), pos)])
+        held = np.concatenate(n)
+        return ([len(x) for x in n], sizes, held & (_HOT - 1), held >= _HOT, b"".join(_unzip(x) for x in t.column("terms").to_pylist()),
+                np.concatenate(pos), tf)
+
+    def count(t: pa.Table) -> pa.Table:
+        if t.column("part")[0].as_py() < 0:
+            return t
+        each, sizes, held, hot, data, pos, tf = entries(t)
+        terms = _strings(data, sizes)
+        term = terms.dictionary_encode().indices.to_numpy()
+        df = np.bincount(term, weights=held)[term].astype(np.int64)
+        df[(df < least) | (df > most)] = 0
+        back = hot | (df > 0)
+        kept = terms.filter(pa.array(back))
+        posting = np.repeat(back & ~hot, np.where(hot, 0, held))
+        pos, tf, df = pos[posting], tf[posting], df[back]
+        sent = np.concatenate(([0], np.cumsum(np.where(hot, 0, held)[back])))
+        size, n = sizes[back], (held + hot * _HOT)[back].astype(np.uint16)
+        offset = np.concatenate(([0], np.cumsum(size)))
+        cuts = np.concatenate(([0], np.cumsum(back)))[np.concatenate(([0], np.cumsum(each)))].tolist()
+        data = kept.buffers()[2] if len(kept) else pa.py_buffer(b"")
+        rows = [{"part": part, "chunk": chunk, "terms": _zip(data[int(offset[i]):int(offset[z])]), "sizes": _zip(_small(size[i:z])),
+                 "n": _zip(n[i:z]), "pos": _zip(pos[sent[i]:sent[z]]), "tf": _zip(_small(tf[sent[i]:sent[z]])), "df": _zip(_small(df[i:z]))}
+                for part, chunk, i, z in zip(t.column("part").to_pylist(), t.column("chunk").to_pylist(), cuts, cuts[1:]) if z > i]
+        return table(rows, t.schema)
+
+    out = T.StructType([T.StructField(key, key_type), T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()),
+                        T.StructField("df", T.LongType()), T.StructField("_square", T.DoubleType()), T.StructField("_again", T.BooleanType())])
+
+    def gather(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        own = pc.index(pc.less(t.column("part"), 0), True).as_py()
+        keys, again = (t.column(c)[own].values for c in ("keys", "again"))
+        hot_pos = np.frombuffer(_unzip(t.column("pos")[own].as_py()), np.uint16)
+        hot_tf = _numbers(t.column("tf")[own].as_py(), len(hot_pos))
+        t = t.slice(1)
+        none = np.empty(0, np.int64)
+        each, sizes, held, hot, data, pos, tf = entries(t) if len(t) else ([], none, none, none.astype(bool), b"", none, none)
+        df = np.concatenate([none, *(_numbers(x, i) for x, i in zip(t.column("df").to_pylist(), each))])
+        at = np.arange(len(held))
+        term = np.concatenate([np.repeat(at[~hot], held[~hot]), np.repeat(at[hot], held[hot])])
+        pos, tf = np.concatenate([pos, hot_pos]).astype(np.int64), np.concatenate([tf, hot_tf])
+        kept = np.flatnonzero(df[term] > 0)
+        kept = kept[np.argsort(pos[kept], kind="stable")]
+        term, pos, tf = term[kept], pos[kept], tf[kept]
+        x = tf * (np.log((1.0 + n) / (1.0 + df[term])) + 1.0)
+        square = np.bincount(pos, x * x, minlength=1)[pos] if len(pos) else np.empty(0)
+        names = _strings(data, sizes).cast(pa.large_string()).cast(pa.string())
+        return pa.table({key: keys.take(pa.array(pos)), "term": names.take(pa.array(term)), "tf": pa.array(tf.astype(np.int32)),
+                         "df": pa.array(df[term]), "_square": pa.array(square), "_again": again.take(pa.array(pos))})
+
+    # as many tasks as chunks and parts, however many partitions a shuffle has: a task has to hold what it sorts
+    by_part = words.mapInArrow(pack, schema).repartition(parts, "part").groupBy("part").applyInArrow(count, schema)
+    return by_part.repartition(chunks, "chunk").groupBy("chunk").applyInArrow(gather, out)
 
 
 def top_terms(weights: DataFrame, key: str, n: int) -> DataFrame:
-    """The n heaviest terms of every document, ties by term. Reuses the partitioning of ``tfidf``."""
+    """The n heaviest terms of every document, ties by term; a task of ``tfidf`` leaves no more of them to be shuffled."""
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "term")
     ranked = weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return ranked.select(key, "rank", "term", "weight")

@@ -330,6 +330,39 @@ def test_tfidf_counts_hot_terms_whole(spark, monkeypatch, hot_terms):
     assert {x[1:] for x in got} == {(t, 1, 200) for t in ("same", "words", "same words")} and len(got) == 3 * 51
 
 
+@pytest.mark.parametrize("hot_terms", [1, 3, 1000])
+@pytest.mark.parametrize("keys", ["unique", "repeated"])
+def test_tfidf_over_many_chunks_and_parts(spark, monkeypatch, hot_terms, keys):
+    monkeypatch.setattr(features, "HOT_TERMS", hot_terms)
+    monkeypatch.setattr(features, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(features, "PART_BYTES", 64)
+    rng = np.random.default_rng(1)
+    docs = [" ".join(rng.choice([f"w{j}" for j in range(12)] + ["été", "x", "猫猫"], size=int(rng.integers(0, 9)))) for _ in range(60)]
+    ids = list(range(60)) if keys == "unique" else [None if i % 7 == 0 else i % 20 for i in range(60)]
+    df = spark.createDataFrame(list(zip(ids, [None if i == 4 else d for i, d in enumerate(docs)])), "id int, text string").coalesce(2)
+    found = features.tfidf(df, "id", "text", min_df=2, max_df=0.3, stop_words=("w0",))
+    # rows of a key of its own are not brought together for their norm
+    assert ("Window" in found._jdf.queryExecution().optimizedPlan().toString()) == (keys == "repeated")
+
+    def terms(s):
+        w = [t for t in __import__("re").findall(r"\w{2,}", s) if t != "w0"]
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    tf = [{t: terms(s).count(t) for t in terms(s)} if i != 4 else {} for i, s in enumerate(docs)]
+    df_of = {t: sum(t in d for d in tf) for d in tf for t in d}
+    want, norm = [], {}
+    for i, d in zip(ids, tf):
+        for t, c in d.items():
+            if 2 <= df_of[t] <= 0.3 * 60:
+                x = c * (math.log(61 / (1 + df_of[t])) + 1)
+                norm[i] = norm.get(i, 0.0) + x * x
+                want.append((i, t, c, df_of[t], x))
+    def order(r):
+        return str(r[0]), *r[1:]
+    want = sorted([(*r[:4], r[4] / math.sqrt(norm[r[0]])) for r in want], key=order)
+    got = sorted([tuple(r) for r in found.collect()], key=order)
+    assert [r[:4] for r in got] == [r[:4] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want])
+
+
 def test_embed_dedupes_and_keeps_rows(spark):
     texts = ["same"] * 30 + [f"t{i}" for i in range(30)] + [None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)

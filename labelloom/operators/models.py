@@ -374,6 +374,11 @@ def tfidf_stages(text: str, out: str = "tfidf", min_df: int = 2, max_df: float =
 _TFIDF_TEMPS = ("_words", "_kept", "_pairs", "_terms", "counts", "_weighted")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """The rows, staged, with their ``_place`` in what was staged."""
+    return staged(rows.withColumn("_place", F.monotonically_increasing_id()))
+
+
 #: texts of more bytes in all have too many terms for a dictionary on the driver
 MOST_LOCAL_TEXT = 16 << 20
 
@@ -406,7 +411,7 @@ def on_text(inner: Trainer, text: str = "text", embedding: str | None = None, lo
         return rows.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
     def all_folds(folded: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
-        rows = staged(folded.withColumn("_place", F.monotonically_increasing_id()))
+        rows = folded if "_place" in folded.columns else placed(folded)
         words = rows
         for stage in tfidf_stages(text)[:4]:
             words = stage.transform(words)
@@ -468,17 +473,21 @@ def out_of_fold(df: DataFrame, trainer: Trainer, key: str = "row_id", folds: int
 
     Linear models are trained for all folds at once, one job per step; others fold by fold.
 
-    The features are cached for the fold models and stay cached for the returned plan; pass
-    ``cache=False`` for a frame that already is.
+    The features are cached for the fold models and stay cached for the returned plan (staged, if ``trainer`` is one on texts of more than a
+    model's dictionary may come from); pass ``cache=False`` for a frame that already is.
     """
     folded = df if "fold" in df.columns else stratified_folds(df, key, "label", folds, seed)
-    stored = folded
+    keep = [key, "label", "fold", "prob0", "prob1", "prediction"]
+    if hasattr(trainer, "together"):
+        # texts are too long for the cache: they are written once, for all that reads them
+        rows = placed(folded.drop("_place")) if cache else folded
+        ids = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+        if len(ids) > 1 and trainer.together(rows):
+            return _predicted(trainer.all_folds(rows, key, ids), threshold).select(*keep)
+        folded = rows.drop("_place") if cache else folded
     if cache:
-        stored, folded = cached(folded)
+        _, folded = cached(folded)
     ids = sorted(r["fold"] for r in folded.select("fold").distinct().collect())
-    keep = [key, "label", "fold", "prob0", "prob1", "prediction"]
-    if hasattr(trainer, "together") and len(ids) > 1 and trainer.together(folded):
-        return _predicted(trainer.all_folds(stored, key, ids), threshold).select(*keep)
     if hasattr(trainer, "all_folds") and not hasattr(trainer, "together") and len(ids) > 1 and _width(folded) <= MOST_DENSE:
         return _predicted(trainer.all_folds(folded, key, ids), threshold).select(*keep)
     parts = []

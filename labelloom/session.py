@@ -52,10 +52,23 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: shuffle files go when an action ends, not when the driver's garbage collector comes upon their plan
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them again: what is read several times is computed once."""
+    """Write the rows to the shared folder and read them again: what is read several times is computed once.
+
+    The shuffle files of the write go with it, as nothing reads them again.
+    """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path
     return out

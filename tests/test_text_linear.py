@@ -41,6 +41,37 @@ def test_folds_take_the_steps_of_a_fit_with_a_dictionary(texts, monkeypatch, emb
     assert {r["row_id"]: r["prob1"] for r in got if r["fold"] == 0} == pytest.approx(want, abs=1e-5)
 
 
+def test_steps_move_only_what_they_add(texts, monkeypatch):
+    """A step does not shuffle what former steps found, and a row's own fold is left out of what travels."""
+    plans, sizes = [], []
+    staged, products = text_linear.staged, text_linear._products
+
+    def seen(df):
+        if "sums" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    def measured(postings, v, k, *args, **kw):
+        out = products(postings, v, k, *args, **kw)
+        sizes.append(sum(len(r["z"]) // 8 for r in out.select("z").collect()))
+        return out
+
+    def above_caches(plan):
+        inside = None
+        for line in plan.splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            if inside is not None and depth > inside:
+                continue
+            inside = depth if "InMemoryTableScan" in line else None
+            yield line
+
+    monkeypatch.setattr(text_linear, "staged", seen)
+    monkeypatch.setattr(text_linear, "_products", measured)
+    M.out_of_fold(texts, M.on_text(M.logistic_regression(5), local_bytes=0), folds=4).collect()
+    assert len(plans) > 4 and not any("Exchange" in line for p in plans[1:] for line in above_caches(p))
+    assert sizes[0] == 160 * 4 and set(sizes[1:-1]) == {160 * 3} and sizes[-1] == 160
+
+
 def test_texts_up_to_the_limit_keep_their_dictionary(texts):
     assert not M.on_text(M.logistic_regression(4)).together(texts)
     assert M.on_text(M.logistic_regression(4), local_bytes=0).together(texts)

@@ -33,6 +33,8 @@ _PLACE = 1 << 40
 _BITS_EACH = 16
 _MIN_BITS, _MAX_BITS = 1 << 20, 1 << 29
 _BITMAP_BITS = 8 * 4096  # of one row of Spark's bitmap aggregate
+#: bytes of a bitmap that come to the driver at once, about
+_PIECE = 4 << 20
 
 _U = np.uint64
 
@@ -161,7 +163,9 @@ def _bitmap(values: DataFrame) -> np.ndarray:
     parts = values.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     each = _BITMAP_BITS // 8
-    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
+    made = parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    # an iterator holds one partition, which adaptive execution would make of all of them
+    for r in made.repartition(max(1, len(out) // _PIECE), "part").toLocalIterator():
         out[(r["part"] - 1) * each:r["part"] * each] = np.frombuffer(r["map"], dtype=np.uint8)
     return out
 
@@ -178,6 +182,10 @@ class Known:
         at = (h.view(_U) & self.last).astype(np.int64)
         return ((self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
+    def free(self) -> None:
+        """The driver and the executors keep no copy; nothing that asks for the values may run again."""
+        self.shared.destroy()
+
 
 def _digests(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, packed)), dtype=np.int64).reshape(-1, 2)
@@ -262,6 +270,7 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
     known = Known(repeated)
     discard(repeated)
     places = staged(_places(texts, units, known, within))
+    known.free()
     of_string = ["h", "d1", "d2"]
     order = _place() if within else F.col("doc")
     distinct = places.withColumn("_order", order).groupBy(*of_string, "n", "twice").agg(
@@ -279,7 +288,8 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
         return pa.array(frequent(h.to_numpy()))
 
     strings = staged(_strings(texts, units, several, frequent))
-    facts = distinct.join(counts.select("h"), "h").withColumn("_frequent", is_frequent("h"))
+    # merged: what a file holds in few bytes would be much larger when the driver made a broadcast table of it
+    facts = distinct.join(counts.select("h").hint("merge"), "h").withColumn("_frequent", is_frequent("h"))
     buckets = max(1, -(-(counts.agg(F.sum("_k")).first()[0] or 0) // units.bucket_strings))
     to_bucket = F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("_bucket")
 
@@ -297,18 +307,20 @@ def covered_windows(docs: DataFrame, units: Units, settle: Callable, one_window:
     settled = few.groupBy("_bucket").cogroup(
         strings.filter("not frequent").select(to_bucket, *of_string, "packed").groupBy("_bucket")).applyInArrow(bucket, _SETTLED)
     many = staged(facts.filter("_frequent").select(*of_string, "doc", "start", "n").join(
-        strings.filter("frequent").groupBy(*of_string).agg(F.first("packed").alias("packed")), of_string))
+        strings.filter("frequent").groupBy(*of_string).agg(F.first("packed").alias("packed")).hint("merge"), of_string))
     settled = staged(settled.unionByName(_settle_windows(many, one_window, within)))
+    several.free()
+    frequent.free()
     discard(counts, strings, many)
 
     firsts = distinct.select(*of_string, "copies", F.col("doc").alias("_doc"), F.col("start").alias("_start"))
-    firsts = firsts.join(settled, of_string, "left").filter("copies > 1 or spans is not null")
+    firsts = firsts.join(settled.hint("merge"), of_string, "left").filter("copies > 1 or spans is not null")
     later = F.col("doc") > F.col("_doc")
     if within:
         later = later | ((F.col("doc") == F.col("_doc")) & (F.col("start") > F.col("_start")))
     all_of_it = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z")))
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["z"] + F.col("start")).alias("z")))
-    found = places.select(*of_string, "doc", "tag", "start", "n").join(firsts, of_string)
+    found = places.select(*of_string, "doc", "tag", "start", "n").join(firsts.hint("merge"), of_string)
     found = found.withColumn("_spans", F.when(later, all_of_it).otherwise(moved)).filter("_spans is not null")
     return found.groupBy("doc", "tag").agg(F.array_sort(F.flatten(F.collect_list("_spans"))).alias("spans"))
 
@@ -319,7 +331,7 @@ def _settle_windows(strings: DataFrame, one_window: Callable[[Column, Column], C
     w = w.withColumn("_w", one_window(F.col("packed"), F.col("i"))).withColumn("start", F.col("start") + F.col("i"))
     w = w.withColumn("_at", _place() if within else F.col("doc")).select("h", "d1", "d2", "i", "_w", "_at")
     least = w.groupBy("h", "_w").agg(F.min("_at").alias("_least"))
-    late = w.join(least, ["h", "_w"]).filter("_least < _at")
+    late = w.join(least.hint("merge"), ["h", "_w"]).filter("_least < _at")
     span = F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("z"))
     # an array of at most the windows of one string
     return late.groupBy("h", "d1", "d2").agg(F.array_sort(F.collect_list(span)).alias("spans"))
@@ -330,7 +342,7 @@ def with_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str
     d = docs.withColumn("__doc", F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_ID))).withColumn(
         "__tag", F.xxhash64(text_of(text)))
     f = found.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias(name))
-    return d.join(f, ["__doc", "__tag"], "left").drop("__doc", "__tag")
+    return d.join(f.hint("merge"), ["__doc", "__tag"], "left").drop("__doc", "__tag")
 
 
 def unit_spans(spans: list[dict] | None, k: int) -> list[tuple[int, int]]:

@@ -470,6 +470,32 @@ def test_byte_repeats_equal_plain_search(spark, texts, docs, empty, most, indexe
     assert byte_windows.remove_repeats(empty).count() == 0
 
 
+def test_repeats_leave_nothing_large_on_the_driver(docs, monkeypatch):
+    plans, made, freed = [], [], []
+    staged, init, free = superkmers.staged, superkmers.Known.__init__, superkmers.Known.free
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df)
+
+    monkeypatch.setattr(superkmers, "staged", seen)
+    monkeypatch.setattr(superkmers.Known, "__init__", lambda self, values: (made.append(self), init(self, values))[1])
+    monkeypatch.setattr(superkmers.Known, "free", lambda self: (freed.append(self), free(self))[1])
+    out = word_windows.remove_repeats(docs, window=10, piece=4)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert made and freed == made and not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+    assert out.count() == docs.count()
+
+
+def test_bitmap_comes_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(superkmers, "_PIECE", 1 << 14)
+    values = superkmers.mixed(np.arange(5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    known = superkmers.Known(spark.createDataFrame([(int(v),) for v in values], "h bigint"))
+    assert known(values).all()
+    assert known(superkmers.mixed(np.arange(5000, 9000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)).mean() < 0.02
+    known.free()
+
+
 def test_runs_share_windows_and_minimisers():
     rng = np.random.default_rng(1)
     sizes = np.array([0, 30, 3, 50, 9])

@@ -183,8 +183,8 @@ class Known:
         return ((self.shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
     def free(self) -> None:
-        """The driver and the executors keep no copy; nothing that asks for the values may run again."""
-        self.shared.destroy()
+        """Executors keep no copy; the driver's goes with the last plan that names it. A task that still asks gets the values again."""
+        self.shared.unpersist()
 
 
 def _digests(packed: list[bytes]) -> np.ndarray:
